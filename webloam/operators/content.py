@@ -118,9 +118,10 @@ def apply_structure_fixes(docs: DataFrame, responses: DataFrame,
 def normalize_headings(markdown: Column) -> Column:
     """One H1 (the first), later ones become H2, no level is skipped, no text is lost.
 
-    A heading goes at most one level deeper than the heading before it.
+    A heading goes at most one level deeper than the heading before it; the first one is
+    an H1 or an H2.
     """
-    level_re, text_re = r"^(#{1,6})[ \t]+\S", r"^#{1,6}[ \t]+(.*)$"
+    level_re, text_re = r"^(#{1,6})[ \t]+[^ \t]", r"(?s)^#{1,6}[ \t]+(.*)$"
 
     def line(x: Column) -> Column:
         return F.struct(F.length(F.regexp_extract(x, level_re, 1)).alias("level"), x.alias("text"))
@@ -139,7 +140,7 @@ def normalize_headings(markdown: Column) -> Column:
                 F.when(big, F.array(new.cast("int"))).otherwise(F.array_append(acc["part"], new.cast("int"))).alias("part"),
                 F.when(big, F.array_append(acc["full"], acc["part"])).otherwise(acc["full"]).alias("full"))
 
-        return let(F.when(acc["last"] == 0, wanted).otherwise(F.least(wanted, acc["last"] + 1)), put)
+        return let(F.when(acc["last"] == 0, F.least(wanted, F.lit(2))).otherwise(F.least(wanted, acc["last"] + 1)), put)
 
     def relevel(lines: Column) -> Column:
         heads = F.filter(F.transform(lines, lambda x: x["level"]), lambda n: n > 0)
