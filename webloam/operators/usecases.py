@@ -57,20 +57,20 @@ def thin_content(docs: DataFrame, min_words: int, key: str = "doc_id") -> DataFr
 def content_changes(logs: DataFrame) -> DataFrame:
     """(url, timestamp, id, previous_hash, content_hash) where the content of a URL changed.
 
-    Two steps keep a URL with very many fetches from becoming one task: within each day
-    only the first fetch and the fetches that differ from the one before survive, and the
-    days of a URL are then linked through their last hashes, one row per day.
+    Two steps keep a URL with very many fetches from becoming one task: fetches are compared
+    within each hour, and the hours of a URL are then linked through their last hashes, one
+    row per hour.
     """
     rows = logs.filter(F.col("content_hash").isNotNull()).select(
-        "url", "timestamp", "id", "content_hash", F.to_date("timestamp").alias("day"))
+        "url", "timestamp", "id", "content_hash", F.date_trunc("hour", "timestamp").alias("hour"))
     order = [F.col("timestamp"), F.col("id")]
-    in_day = Window.partitionBy("url", "day").orderBy(*order)
-    marked = rows.withColumn("before", F.lag("content_hash").over(in_day))
-    last = rows.groupBy("url", "day").agg(F.max_by("content_hash", F.struct("timestamp", "id")).alias("last_hash"))
-    previous = last.select("url", "day", F.lag("last_hash").over(
-        Window.partitionBy("url").orderBy("day")).alias("day_before"))
+    in_hour = Window.partitionBy("url", "hour").orderBy(*order)
+    marked = rows.withColumn("before", F.lag("content_hash").over(in_hour))
+    last = rows.groupBy("url", "hour").agg(F.max_by("content_hash", F.struct("timestamp", "id")).alias("last_hash"))
+    previous = last.select("url", "hour", F.lag("last_hash").over(
+        Window.partitionBy("url").orderBy("hour")).alias("hour_before"))
     inner = marked.filter(F.col("before").isNotNull())
-    first = marked.filter(F.col("before").isNull()).join(previous, ["url", "day"]).withColumn("before", F.col("day_before"))
+    first = marked.filter(F.col("before").isNull()).join(previous, ["url", "hour"]).withColumn("before", F.col("hour_before"))
     cols = ["url", "timestamp", "id", F.col("before").alias("previous_hash"), "content_hash"]
     return inner.select(*cols).unionByName(first.select(*cols)).filter(F.col("previous_hash") != F.col("content_hash"))
 
