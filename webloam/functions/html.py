@@ -11,11 +11,12 @@ repair. The end tags that HTML lets an author leave out are implied.
 from __future__ import annotations
 
 from html.entities import name2codepoint
+from string import ascii_lowercase, ascii_uppercase
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from webloam.functions.text import WS, collapse_ws, let, strip
+from webloam.functions.text import UNI, WS, collapse_ws, let, strip
 
 # One token: comment, whole script or style element, tag, declaration, run of text, lone "<".
 # Inside a tag a quote opens a value only behind "=", so ">" in a value does not end the tag.
@@ -76,7 +77,8 @@ def is_close(tok: Column) -> Column:
 def tag_name(tok: Column) -> Column:
     """Lower-cased tag name, empty for text, comments and declarations."""
     return F.when(
-        tok.startswith("<"), F.lower(F.regexp_extract(F.left(tok, F.lit(64)), _TAG_NAME, 1))
+        tok.startswith("<"),
+        F.translate(F.regexp_extract(F.left(tok, F.lit(64)), _TAG_NAME, 1), ascii_uppercase, ascii_lowercase)
     ).otherwise(F.lit(""))
 
 
@@ -110,7 +112,7 @@ def has_class_containing(tok: Column, part: str) -> Column:
 def has_pruned_mark(tok: Column) -> Column:
     """Class or id of a start tag contains one of the furniture marks."""
     marks = "|".join(PRUNED_MARKS)
-    return tok.startswith("<") & tok.rlike(
+    return tok.startswith("<") & F.contains(tok, F.lit("=")) & tok.rlike(
         rf"""(?is)^<[a-z][^>]*?\s(?:class|id)\s*=\s*"""
         rf"""(?:"[^"]*(?:{marks})|'[^']*(?:{marks})|[^\s>"']*(?:{marks}))""")
 
@@ -281,6 +283,9 @@ def elements(tokens: Column) -> Column:
         F.transform(toks, describe), start, merge, finish_with(F.size(toks))))
 
 
+_NAMED_ENTITIES = "\x1e".join(f"{name}\x1f{chr(cp)}" for name, cp in name2codepoint.items())
+
+
 def decode_entities(text: Column) -> Column:
     """Character references of HTML 4 and numeric ones decoded, each once."""
     def numeric(ref: Column) -> Column:
@@ -290,7 +295,7 @@ def decode_entities(text: Column) -> Column:
             (n > 0) & (n <= 0x10FFFF) & ~n.between(0xD800, 0xDFFF),
             F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")).otherwise(F.lit("�")))
 
-    names = F.create_map(*[F.lit(x) for name, cp in name2codepoint.items() for x in (name, chr(cp))])
+    names = F.str_to_map(F.lit(_NAMED_ENTITIES), F.lit("\x1e"), F.lit("\x1f"))
 
     def one(part: Column) -> Column:
         return (
@@ -334,7 +339,7 @@ def _piece(tok: Column) -> Column:
             .otherwise(F.lit("")))
 
     clean = F.regexp_replace(
-        decode_entities(tok), r"[^\x{20}-\x{7e}\x{80}-\x{10ffff}\x{9}-\x{d}\x{1c}-\x{1f}]", "")
+        decode_entities(tok), r"[\p{Cntrl}&&[^\x{9}-\x{d}\x{1c}-\x{1f}]]", "")
     return F.when(tok.startswith("<") & (F.length(tok) > 1), let(tag_name(tok), tag_piece)).otherwise(clean)
 
 
@@ -344,7 +349,7 @@ def page_blocks(tokens: Column) -> Column:
     ``ctx`` is the element the block stands in (heading, li, td, th, pre), ``tr`` for a
     row mark; ``density`` is the share of its non-blank characters that sit in links.
     """
-    rendered = F.regexp_replace(F.array_join(F.transform(tokens, _piece), ""), WS + "+", " ")
+    rendered = F.regexp_replace(F.array_join(F.transform(tokens, _piece), ""), UNI + WS + "+", " ")
     body = F.regexp_replace(F.substring_index(rendered, _BODY, -1), r"\x{f}[^\x{10}]*\x{10}", "")
 
     def segment(seg: Column) -> Column:

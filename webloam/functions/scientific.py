@@ -11,7 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from webloam.functions.html import attribute, decode_entities, elements, tag_name
-from webloam.functions.text import WS, let, strip
+from webloam.functions.text import UNI, WS, let, strip
 
 # Id parts of skipped sections, class and id parts of skipped paragraphs,
 # the length a text must exceed, the number of paragraphs kept per section.
@@ -37,7 +37,7 @@ def page_tree(tokens: Column) -> Column:
             return let(F.get(toks, p["s"]), lambda tok: F.struct(
                 p["s"].alias("s"), p["e"].alias("e"), p["depth"].alias("depth"),
                 tag_name(tok).alias("tag"),
-                F.trim(F.regexp_replace(attribute(tok, "class"), WS + "+", " ")).alias("cls"),
+                F.trim(F.regexp_replace(attribute(tok, "class"), UNI + WS + "+", " ")).alias("cls"),
                 attribute(tok, "id").alias("id")))
 
         return F.struct(toks.alias("toks"), F.transform(elements(toks), element).alias("els"))

@@ -19,23 +19,20 @@ WS_CHARS = (
     "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
     "\u2028\u2029\u202f\u205f\u3000"
 )
-# The classes are stated as "none of the other characters", commonest range first, because a
-# matcher then decides ordinary letters at the first range.
-_NOT_WS = (
-    r"\x{21}-\x{84}\x{a1}-\x{167f}\x{0}-\x{8}\x{e}-\x{1b}\x{86}-\x{9f}\x{1681}-\x{1fff}"
-    r"\x{200b}-\x{2027}\x{202a}-\x{202e}\x{2030}-\x{205e}\x{2060}-\x{2fff}\x{3001}-\x{10ffff}"
-)
-WS = f"[^{_NOT_WS}]"
-WS_NO_NL = f"[^{_NOT_WS}\\n]"
+# The classes for patterns that start with the flag UNI, under which \s means Unicode white space.
+UNI = "(?U)"
+WS = r"[\s\x{1c}-\x{1f}]"
+WS_NO_NL = r"[\s\x{1c}-\x{1f}&&[^\n]]"
 
 
 def let(value: Column, body) -> Column:
     """Bind ``value`` once and use it many times inside ``body``.
 
-    A column captured by a lambda may be inlined there by the optimizer and be
-    evaluated per element; a lambda variable never is.
+    A column captured by a lambda may be inlined there by the optimizer and be evaluated
+    per element; a lambda variable never is. The binding is a fold over no elements: the
+    value is its start and the body its finish, which costs no array and no copy.
     """
-    return F.transform(F.array(value), body).getItem(0)
+    return F.aggregate(F.array().cast("array<int>"), value, lambda acc, _: acc, body)
 
 
 def strip(x: Column) -> Column:
@@ -43,7 +40,7 @@ def strip(x: Column) -> Column:
 
 
 def collapse_ws(x: Column) -> Column:
-    return strip(F.regexp_replace(x, WS + "+", " "))
+    return strip(F.regexp_replace(x, UNI + WS + "+", " "))
 
 
 # N1
@@ -104,7 +101,7 @@ def normalize_markdown_spacing(markdown: Column) -> Column:
 # N14
 def extract_text_content(markdown: Column) -> Column:
     """Markdown without marks. Links go before images, so ``![alt](x)`` leaves ``!alt``."""
-    x = F.regexp_replace(markdown, "(?md)^#{1,6}" + WS + "+", "")
+    x = F.regexp_replace(markdown, "(?Umd)^#{1,6}" + WS + "+", "")
     x = F.regexp_replace(x, r"\[([^\]]+)\]\([^)]+\)", "$1")
     x = F.regexp_replace(x, r"!\[[^\]]*\]\([^)]+\)", "")
     x = F.regexp_replace(x, r"[*_]{1,3}([^*_]+)[*_]{1,3}", "$1")
@@ -186,9 +183,9 @@ def dedupe_consecutive_blocks(markdown: Column) -> Column:
 
     Blank lines at both ends are dropped; the blank lines behind a dropped block stay.
     """
-    sep = f"\n(?:{WS_NO_NL}*+\n)++"
-    text = F.regexp_replace(markdown, rf"\A(?:{WS_NO_NL}*+\n)++", "")
-    text = F.regexp_replace(text, rf"(?:\n{WS_NO_NL}*+)++\z", "")
+    sep = f"{UNI}\n(?:{WS_NO_NL}*+\n)++"
+    text = F.regexp_replace(markdown, rf"{UNI}\A(?:{WS_NO_NL}*+\n)++", "")
+    text = F.regexp_replace(text, rf"{UNI}(?:\n{WS_NO_NL}*+)++\z", "")
 
     def fold(s: Column) -> Column:
         blocks, seps = s["b"], s["s"]
@@ -208,13 +205,13 @@ def dedupe_consecutive_blocks(markdown: Column) -> Column:
 # The removal rules of the cleaning chain, in their order (pattern, replacement).
 _LINK_RULES = [
     (r"\[]\([^)]*\)", ""),
-    (r"\[[^\]]+]\(" + WS + r"*\)", ""),
+    (UNI + r"\[[^\]]+]\(" + WS + r"*\)", ""),
 ]
 _IMAGES_OFF = (r"!\[[^\]]*\]\([^)]+\)", "")
-_IMAGES_ON = (r"!\[([^\]]*)\]\(" + WS + r"*\)", "")
+_IMAGES_ON = (UNI + r"!\[([^\]]*)\]\(" + WS + r"*\)", "")
 _BANG_RULES = [
-    ("!" + WS + "+!", ""),
-    ("!" + WS + "*\n", "\n"),
+    (UNI + "!" + WS + "+!", ""),
+    (UNI + "!" + WS + "*\n", "\n"),
 ]
 _LONE_BANG = ("(?md)^[ \t]*![ \t]*$", "")
 _NOISE_RULES = [
