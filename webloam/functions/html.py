@@ -319,7 +319,14 @@ _LINK_RE = r"\x{3}([^\x{3}\x{4}]*)\x{4}([^\x{3}\x{5}]*)\x{5}"
 
 def _piece(tok: Column) -> Column:
     """What one token adds to the rendered page."""
-    def tag_piece(tag: Column) -> Column:
+    def payload(tag: Column) -> Column:
+        """The part of the token that is text and may hold character references."""
+        return (
+            F.when(tag == "a", attribute(tok, "href"))
+            .when(tag == "img", F.concat(F.lit("!["), attribute(tok, "alt"), F.lit("]("), attribute(tok, "src"), F.lit(")")))
+            .otherwise(F.lit("")))
+
+    def tag_piece(tag: Column, text: Column) -> Column:
         close = is_close(tok)
         return (
             F.when(tag == "", F.lit(""))
@@ -328,19 +335,19 @@ def _piece(tok: Column) -> Column:
             .when(tag.isin(*CONTEXT_TAGS, *CONTEXT_EDGES), F.lit(_CTX + _CTX_END))
             .when((tag == "body") & ~close, F.lit(_BODY))
             .when(tag == "title", F.when(close, F.lit(_TITLE_END)).otherwise(F.lit(_TITLE)))
-            .when(tag.isin(*BOUNDARY_TAGS), F.lit(_BLOCK))
             .when((tag == "a") & close, F.lit(_LINK_END))
             .when(tag == "a", F.when(
-                has_attribute(tok, "href"),
-                F.concat(F.lit(_HREF), decode_entities(attribute(tok, "href")), F.lit(_HREF_END))).otherwise(F.lit("")))
-            .when(tag == "img", F.concat(
-                F.lit("!["), decode_entities(attribute(tok, "alt")), F.lit("]("),
-                decode_entities(attribute(tok, "src")), F.lit(")")))
+                has_attribute(tok, "href"), F.concat(F.lit(_HREF), text, F.lit(_HREF_END))).otherwise(F.lit("")))
+            .when(tag == "img", text)
+            .when(tag.isin(*BOUNDARY_TAGS), F.lit(_BLOCK))
             .otherwise(F.lit("")))
 
-    clean = F.regexp_replace(
-        decode_entities(tok), r"[\p{Cntrl}&&[^\x{9}-\x{d}\x{1c}-\x{1f}]]", "")
-    return F.when(tok.startswith("<") & (F.length(tok) > 1), let(tag_name(tok), tag_piece)).otherwise(clean)
+    is_tag = tok.startswith("<") & (F.length(tok) > 1)
+    named = let(F.when(is_tag, tag_name(tok)), lambda tag: F.struct(
+        tag.alias("tag"), F.when(tag.isNull(), tok).otherwise(payload(tag)).alias("raw")))
+    return let(named, lambda n: let(
+        F.regexp_replace(decode_entities(n["raw"]), r"[\p{Cntrl}&&[^\x{9}-\x{d}\x{1c}-\x{1f}]]", ""),
+        lambda text: F.when(n["tag"].isNull(), text).otherwise(tag_piece(n["tag"], text))))
 
 
 def page_blocks(tokens: Column) -> Column:
@@ -421,31 +428,47 @@ def blocks_markdown(blocks: Column) -> Column:
     return let(text, lambda t: F.when(t != "", t))
 
 
-def keep_main_blocks(blocks: Column) -> Column:
-    """Headings, blocks of few links, and link-rich blocks between two of those."""
-    def choose(bs: Column) -> Column:
-        def plain(b: Column) -> Column:
-            return F.coalesce((b["ctx"] != "tr") & (_is_heading(b) | (b["density"] <= 0.5)), F.lit(False))
+def _is_plain(b: Column) -> Column:
+    return F.coalesce((b["ctx"] != "tr") & (_is_heading(b) | (b["density"] <= 0.5)), F.lit(False))
+
 
-        return F.filter(bs, lambda b, i: (b["ctx"] == "tr") | plain(b) | (
-            (b["density"] <= 0.75) & plain(F.get(bs, i - 1)) & plain(F.get(bs, i + 1))))
+def keep_blocks(blocks: Column, main: Column, min_words: int) -> Column:
+    """The blocks that count.
+
+    Of a main text: headings, blocks of few links, and link-rich blocks between two of
+    those. Of a whole page: headings and blocks of at least ``min_words`` words.
+    """
+    def choose(bs: Column) -> Column:
+        return F.filter(bs, lambda b, i: (b["ctx"] == "tr") | _is_heading(b) | F.when(
+            main, _is_plain(b) | ((b["density"] <= 0.75) & _is_plain(F.get(bs, i - 1)) & _is_plain(F.get(bs, i + 1)))
+        ).otherwise(b["words"] >= min_words))
 
     return let(blocks, choose)
 
 
-def keep_wordy_blocks(blocks: Column, min_words: int = 10) -> Column:
-    """Headings and blocks of at least ``min_words`` words."""
-    return F.filter(blocks, lambda b: (b["ctx"] == "tr") | _is_heading(b) | (b["words"] >= min_words))
+def markdowns(sources: Column, min_words: int = 10) -> Column:
+    """Markdown of every ``struct<tokens, main>`` of an array, NULL where nothing is left."""
+    return F.transform(sources, lambda s: blocks_markdown(
+        keep_blocks(page_blocks(s["tokens"]), s["main"], min_words)))
+
+
+def _source(tokens: Column, main: bool) -> Column:
+    return F.struct(tokens.alias("tokens"), F.lit(main).alias("main"))
 
 
 # D9
 def main_markdown(tokens: Column) -> Column:
-    return blocks_markdown(keep_main_blocks(page_blocks(tokens)))
+    return F.get(markdowns(F.array(_source(tokens, True))), F.lit(0))
 
 
 # D10
 def whole_page_markdown(tokens: Column, min_words: int = 10) -> Column:
-    return blocks_markdown(keep_wordy_blocks(page_blocks(tokens), min_words))
+    return F.get(markdowns(F.array(_source(tokens, False)), min_words), F.lit(0))
+
+
+def both_markdowns(pruned: Column, whole: Column, min_words: int = 10) -> Column:
+    """array(main text of the pruned tokens, text of the whole page)."""
+    return markdowns(F.array(_source(pruned, True), _source(whole, False)), min_words)
 
 
 # D12

@@ -31,7 +31,7 @@ def no_cuts() -> Column:
 
 
 def page_tree(tokens: Column) -> Column:
-    """struct(toks, els): the tokens and the elements with tag, class and id."""
+    """struct(toks, txt, els): tokens, their stripped text, and the elements with tag, class and id."""
     def build(toks: Column) -> Column:
         def element(p: Column) -> Column:
             return let(F.get(toks, p["s"]), lambda tok: F.struct(
@@ -40,7 +40,9 @@ def page_tree(tokens: Column) -> Column:
                 F.trim(F.regexp_replace(attribute(tok, "class"), UNI + WS + "+", " ")).alias("cls"),
                 attribute(tok, "id").alias("id")))
 
-        return F.struct(toks.alias("toks"), F.transform(elements(toks), element).alias("els"))
+        texts = F.transform(toks, lambda tok: F.when(
+            tok.startswith("<") & (F.length(tok) > 1), F.lit("")).otherwise(strip(decode_entities(tok))))
+        return F.struct(toks.alias("toks"), texts.alias("txt"), F.transform(elements(toks), element).alias("els"))
 
     return let(tokens, build)
 
@@ -62,14 +64,10 @@ def _within(els: Column, el: Column, cuts: Column, test) -> Column:
     return F.filter(els, lambda x: (x["s"] > el["s"]) & (x["s"] <= el["e"]) & test(x) & ~_inside(x["s"], cuts))
 
 
-def _text(toks: Column, el: Column, cuts: Column, sep: str) -> Column:
+def _text(txt: Column, el: Column, cuts: Column, sep: str) -> Column:
     """Text runs of an element, each stripped, joined by ``sep``."""
-    def run(tok: Column, j: Column) -> Column:
-        gone = _inside(el["s"] + j, cuts) | (tok.startswith("<") & (F.length(tok) > 1))
-        return F.when(gone, F.lit("")).otherwise(strip(decode_entities(tok)))
-
-    part = F.slice(toks, el["s"] + 1, el["e"] - el["s"] + 1)
-    return F.array_join(F.filter(F.transform(part, run), lambda x: x != ""), sep)
+    part = F.slice(txt, el["s"] + 1, el["e"] - el["s"] + 1)
+    return F.array_join(F.filter(part, lambda x, j: (x != "") & ~_inside(el["s"] + j, cuts)), sep)
 
 
 def _state(out: Column, cuts: Column) -> Column:
@@ -79,7 +77,7 @@ def _state(out: Column, cuts: Column) -> Column:
 def abstracts(tree: Column) -> Column:
     """struct(out, cuts): one Markdown section per accepted abstract, and what was removed."""
     def work(t: Column) -> Column:
-        toks, els = t["toks"], t["els"]
+        txt, els = t["txt"], t["els"]
         found = F.filter(els, lambda x: _has(x, "abstract") & ~_has(x, "content"))
 
         def take(acc: Column, el: Column, cands: Column) -> Column:
@@ -91,9 +89,9 @@ def abstracts(tree: Column) -> Column:
                 content = F.get(_within(els, el, acc["cuts"], lambda x: _has(x, "content")), F.lit(0))
                 return F.struct(
                     let(head, lambda h: F.when(h.isNull(), F.lit("")).otherwise(
-                        _text(toks, h, acc["cuts"], ""))).alias("head"),
-                    let(content, lambda c: F.when(c.isNotNull(), _text(toks, c, acc["cuts"], " ")).otherwise(
-                        _text(toks, el, F.concat(acc["cuts"], F.transform(hs, _cut)), " "))).alias("text"))
+                        _text(txt, h, acc["cuts"], ""))).alias("head"),
+                    let(content, lambda c: F.when(c.isNotNull(), _text(txt, c, acc["cuts"], " ")).otherwise(
+                        _text(txt, el, F.concat(acc["cuts"], F.transform(hs, _cut)), " "))).alias("text"))
 
             def accept(r: Column) -> Column:
                 title = F.when(r["head"] != "", r["head"]).otherwise(F.lit(DEFAULT_ABSTRACT))
@@ -122,19 +120,19 @@ def abstracts(tree: Column) -> Column:
 def keywords(tree: Column, cuts: Column) -> Column:
     """struct(out, cuts): one section per keyword element; the elements are always removed."""
     def work(t: Column, before: Column) -> Column:
-        toks, els = t["toks"], t["els"]
+        txt, els = t["txt"], t["els"]
 
         def take(acc: Column, el: Column) -> Column:
             head = F.get(_within(els, el, acc["cuts"], lambda x: x["tag"].isin(*HEADINGS)), F.lit(0))
             title = let(head, lambda h: F.when(h.isNull(), F.lit(DEFAULT_KEYWORDS)).otherwise(
-                _text(toks, h, acc["cuts"], "")))
+                _text(txt, h, acc["cuts"], "")))
 
             def section(name: Column) -> Column:
                 marked = F.transform(
                     _within(els, el, acc["cuts"], lambda x: x["tag"].isin("span", "a") & _has(x, "keyword")),
-                    lambda x: _text(toks, x, acc["cuts"], ""))
+                    lambda x: _text(txt, x, acc["cuts"], ""))
                 listed = F.filter(marked, lambda k: (k != "") & (k != name))
-                whole = F.btrim(F.replace(_text(toks, el, acc["cuts"], ", "), name, F.lit("")), F.lit(", "))
+                whole = F.btrim(F.replace(_text(txt, el, acc["cuts"], ", "), name, F.lit("")), F.lit(", "))
                 split = F.filter(F.transform(F.split(whole, ","), strip), lambda k: F.length(k) > 1)
                 words = let(listed, lambda k: F.when(F.size(k) > 0, k).otherwise(split))
                 return let(words, lambda k: F.when(F.size(k) > 0, F.array(F.concat(
@@ -153,7 +151,7 @@ def keywords(tree: Column, cuts: Column) -> Column:
 def body_sections(tree: Column, cuts: Column) -> Column:
     """struct(out, cuts): headed sections of the article body; the body is removed."""
     def work(t: Column, before: Column) -> Column:
-        toks, els = t["toks"], t["els"]
+        txt, els = t["txt"], t["els"]
         alive = F.filter(els, lambda x: ~_inside(x["s"], before))
         by_id = F.filter(alive, lambda x: x["id"] == "body")
         by_class = F.filter(alive, lambda x: F.array_contains(F.split(x["cls"], " "), "Body"))
@@ -173,12 +171,12 @@ def body_sections(tree: Column, cuts: Column) -> Column:
                             x["tag"].isin("div", "p") & ~_inside(x["s"], nested)
                             & ~F.lower(x["cls"]).rlike("|".join(SKIPPED_CLASSES))
                             & ~x["id"].rlike("|".join(SKIPPED_IDS))))
-                        texts = F.transform(own, lambda x: _text(toks, x, before, " "))
+                        texts = F.transform(own, lambda x: _text(txt, x, before, " "))
                         return F.slice(F.array_distinct(F.filter(
                             texts, lambda x: F.length(x) > MIN_TEXT)), 1, MAX_PARAGRAPHS)
 
                     title = let(head, lambda h: F.when(h.isNull(), F.lit("")).otherwise(
-                        _text(toks, h, before, "")))
+                        _text(txt, h, before, "")))
                     skipped = sec["id"].rlike("|".join(SKIPPED_SECTION_IDS))
                     return F.when(~skipped, let(
                         F.struct(title.alias("h"), let(inner, paragraphs).alias("p")),

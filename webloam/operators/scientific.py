@@ -2,17 +2,39 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from webloam.functions import html as H
 from webloam.functions import scientific as S
 from webloam.functions.outcome import is_scientific_site
+from webloam.functions.reuse import per_application
 from webloam.functions.text import inject_section
 
 
-def with_tree(pages: DataFrame, html: str = "html") -> DataFrame:
-    return pages.withColumn("_tree", S.page_tree(H.html_tokens(F.col(html))))
+# The expressions of the steps, over fixed column names.
+@per_application
+def _tree() -> Column:
+    return S.page_tree(H.html_tokens(F.col("html")))
+
+
+@per_application
+def _abstracts() -> Column:
+    return S.abstracts(F.col("_tree"))
+
+
+@per_application
+def _keywords(after_abstracts: bool) -> Column:
+    return S.keywords(F.col("_tree"), F.col("_abs")["cuts"] if after_abstracts else S.no_cuts())
+
+
+@per_application
+def _body(after_keywords: bool) -> Column:
+    return S.body_sections(F.col("_tree"), F.col("_kw")["cuts"] if after_keywords else S.no_cuts())
+
+
+def with_tree(pages: DataFrame) -> DataFrame:
+    return pages.withColumn("_tree", _tree())
 
 
 def _one_section_per_row(df: DataFrame, state: str) -> DataFrame:
@@ -22,21 +44,21 @@ def _one_section_per_row(df: DataFrame, state: str) -> DataFrame:
 # D5
 def extract_abstracts(pages: DataFrame) -> DataFrame:
     """(page_id, ordinal, section): the abstracts of each page, deepest first."""
-    df = with_tree(pages).withColumn("_abs", S.abstracts(F.col("_tree")))
+    df = with_tree(pages).withColumn("_abs", _abstracts())
     return _one_section_per_row(df, "_abs")
 
 
 # D6
 def extract_keywords(pages: DataFrame) -> DataFrame:
     """(page_id, ordinal, section): the keyword sections of each page."""
-    df = with_tree(pages).withColumn("_kw", S.keywords(F.col("_tree"), S.no_cuts()))
+    df = with_tree(pages).withColumn("_kw", _keywords(False))
     return _one_section_per_row(df, "_kw")
 
 
 # D7
 def extract_body_sections(pages: DataFrame) -> DataFrame:
     """(page_id, ordinal, section): headed sections of the article body of each page."""
-    df = with_tree(pages).withColumn("_body", S.body_sections(F.col("_tree"), S.no_cuts()))
+    df = with_tree(pages).withColumn("_body", _body(False))
     return _one_section_per_row(df, "_body")
 
 
@@ -49,10 +71,10 @@ def scientific_preprocess(pages: DataFrame) -> DataFrame:
     scientific = is_scientific_site(F.col("url"))
     return (
         pages.withColumn("is_scientific", scientific)
-        .withColumn("_tree", F.when(F.col("is_scientific"), S.page_tree(H.html_tokens(F.col("html")))))
-        .withColumn("_abs", F.when(F.col("is_scientific"), S.abstracts(F.col("_tree"))))
-        .withColumn("_kw", F.when(F.col("is_scientific"), S.keywords(F.col("_tree"), F.col("_abs")["cuts"])))
-        .withColumn("_body", F.when(F.col("is_scientific"), S.body_sections(F.col("_tree"), F.col("_kw")["cuts"])))
+        .withColumn("_tree", F.when(F.col("is_scientific"), _tree()))
+        .withColumn("_abs", F.when(F.col("is_scientific"), _abstracts()))
+        .withColumn("_kw", F.when(F.col("is_scientific"), _keywords(True)))
+        .withColumn("_body", F.when(F.col("is_scientific"), _body(True)))
         .withColumn("html", F.when(F.col("is_scientific"), H.tokens_html(
             S.without_cuts(F.col("_tree"), F.col("_body")["cuts"]))).otherwise(F.col("html")))
         .withColumn("scientific_content", F.when(F.col("is_scientific"), F.array_join(F.concat(

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from webloam.functions import html as H
+from webloam.functions.reuse import per_application
 from webloam.functions.text import inject_section, inject_title
 from webloam.operators import content as C
 from webloam.operators.pages import pruned_tokens
@@ -13,6 +14,41 @@ from webloam.operators.scientific import scientific_preprocess
 from webloam.schemas import PipelineConfig
 
 
+# The large expressions of the chain, over fixed column names.
+@per_application
+def _texts(config: PipelineConfig) -> Column:
+    nothing = F.array().cast("array<string>")
+    kept = pruned_tokens(F.col("_tokens")) if config.prune else F.col("_tokens")
+    whole = F.when(F.col("_classic") & F.col("fallback_markdown").isNull(), F.col("_whole")).otherwise(nothing)
+    return H.both_markdowns(kept if config.extract else nothing, whole, config.min_words)
+
+
+@per_application
+def _titles() -> Column:
+    return F.struct(H.page_title(F.col("_whole")).alias("page"), H.og_title(F.col("_whole")).alias("og"))
+
+
+@per_application
+def _titled() -> Column:
+    return inject_title(F.coalesce("html_answer", F.col("_pick.markdown")), F.coalesce("page_title", "_titles.page"),
+                        F.coalesce("og_title", "_titles.og"), F.col("url"))
+
+
+@per_application
+def _finished(config: PipelineConfig) -> Column:
+    markdown = C.cleaned(F.col("_doc"), config) if config.regex_clean else F.col("_doc")
+    return C.strip_interface_residue(markdown) if config.strip_residue else markdown
+
+
+def spread(pages: DataFrame) -> DataFrame:
+    """Pages over all cores when the files alone would leave most of them idle.
+
+    Only an input of fewer partitions than cores is moved, which is a small one.
+    """
+    cores = pages.sparkSession.sparkContext.defaultParallelism
+    return pages.repartition(cores) if pages.rdd.getNumPartitions() < cores else pages
+
+
 # D13
 def process_pages(pages: DataFrame, config: PipelineConfig = PipelineConfig(),
                   responses: DataFrame | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -22,7 +58,7 @@ def process_pages(pages: DataFrame, config: PipelineConfig = PipelineConfig(),
     joined by page_id and only unanswered pages go through the classic steps. ``keep``
     names further page columns to carry along.
     """
-    df = pages
+    df = spread(pages)
     for name in ("fallback_markdown", "page_title", "og_title"):
         if name not in df.columns:
             df = df.withColumn(name, F.lit(None).cast("string"))
@@ -44,25 +80,17 @@ def process_pages(pages: DataFrame, config: PipelineConfig = PipelineConfig(),
     df = df.withColumn("_whole", F.when(scientific, raw_tokens).otherwise(F.col("_tokens")))
     if responses is not None:
         df = df.withColumn("_whole", F.when(classic, F.col("_whole")).otherwise(raw_tokens))
-    kept = pruned_tokens(F.col("_tokens")) if config.prune else F.col("_tokens")
+    df = df.withColumn("_classic", classic)
     df = df.select(
-        "page_id", "url", "html_answer", "scientific_content", "is_scientific", *keep,
-        (H.main_markdown(kept) if config.extract else F.lit(None).cast("string")).alias("_main"),
-        F.coalesce("fallback_markdown", F.when(classic, H.whole_page_markdown(F.col("_whole"), config.min_words)))
-        .alias("_fallback"),
-        F.coalesce("page_title", H.page_title(F.col("_whole"))).alias("_title"),
-        F.coalesce("og_title", H.og_title(F.col("_whole"))).alias("_og"),
-    )
+        "page_id", "url", "html_answer", "scientific_content", "is_scientific", "fallback_markdown", *keep,
+        _texts(config).alias("_texts"), _titles().alias("_titles"), "page_title", "og_title")
+    df = df.withColumn("_main", F.col("_texts")[0]).withColumn(
+        "_fallback", F.coalesce("fallback_markdown", F.col("_texts")[1]))
     df = df.withColumn("_pick", C.choose_extraction(F.col("_main"), F.col("_fallback"), config))
-    df = df.withColumn("_titled", inject_title(
-        F.coalesce("html_answer", F.col("_pick.markdown")), F.col("_title"), F.col("_og"), F.col("url")))
+    df = df.withColumn("_titled", _titled())
     has_science = classic & (F.length("scientific_content") > 0)
-    markdown = F.when(has_science, inject_section(F.col("_titled.markdown"), F.col("scientific_content"))) \
-        .otherwise(F.col("_titled.markdown"))
-    if config.regex_clean:
-        markdown = C.cleaned(markdown, config)
-    if config.strip_residue:
-        markdown = C.strip_interface_residue(markdown)
+    df = df.withColumn("_doc", F.when(has_science, inject_section(
+        F.col("_titled.markdown"), F.col("scientific_content"))).otherwise(F.col("_titled.markdown")))
     steps = F.array_compact(F.array(
         F.when(~classic, F.lit("llm_html_sanitize")),
         F.when(scientific, F.lit("scientific_preprocess")),
@@ -72,7 +100,7 @@ def process_pages(pages: DataFrame, config: PipelineConfig = PipelineConfig(),
         F.when(has_science, F.lit("scientific_inject")),
         F.lit("regex_cleaning") if config.regex_clean else F.lit(None).cast("string"),
     ))
-    docs = df.select("page_id", "url", markdown.alias("markdown"), F.col("_titled.title").alias("title"),
+    docs = df.select("page_id", "url", _finished(config).alias("markdown"), F.col("_titled.title").alias("title"),
                      steps.alias("steps_applied"), *keep)
     if responses is not None:
         docs = C.apply_structure_fixes(docs, responses, config)
