@@ -13,6 +13,8 @@ from datetime import datetime, timezone
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from webloam.sources.pages import spread_small
+
 AS_OF = datetime(2024, 1, 31, tzinfo=timezone.utc)
 FAILED = ("error", "signup")
 
@@ -34,11 +36,11 @@ def _count(df: DataFrame) -> Column:
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages")
+    return spread_small(table(spark, sf_dir, "pages"), os.path.join(sf_dir, "pages.parquet"))
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents")
+    return spread_small(table(spark, sf_dir, "documents"), os.path.join(sf_dir, "documents.parquet"))
 
 
 def logs(spark: SparkSession, sf_dir: str) -> DataFrame:

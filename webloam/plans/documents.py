@@ -40,15 +40,6 @@ def _finished(config: PipelineConfig) -> Column:
     return C.strip_interface_residue(markdown) if config.strip_residue else markdown
 
 
-def spread(pages: DataFrame) -> DataFrame:
-    """Pages over all cores when the files alone would leave most of them idle.
-
-    Only an input of fewer partitions than cores is moved, which is a small one.
-    """
-    cores = pages.sparkSession.sparkContext.defaultParallelism
-    return pages.repartition(cores) if pages.rdd.getNumPartitions() < cores else pages
-
-
 # D13
 def process_pages(pages: DataFrame, config: PipelineConfig = PipelineConfig(),
                   responses: DataFrame | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -58,7 +49,7 @@ def process_pages(pages: DataFrame, config: PipelineConfig = PipelineConfig(),
     joined by page_id and only unanswered pages go through the classic steps. ``keep``
     names further page columns to carry along.
     """
-    df = spread(pages)
+    df = pages
     for name in ("fallback_markdown", "page_title", "og_title"):
         if name not in df.columns:
             df = df.withColumn(name, F.lit(None).cast("string"))
