@@ -292,8 +292,8 @@ NON_TOKEN_CLASS = r"[^\p{L}\p{N}]"
 
 def fold(text: Column) -> Column:
     """Lower-cased, with single diacritics of Latin letters removed. ASCII texts skip the table."""
-    return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(
-        F.translate(F.lower(text), FOLD_FROM, FOLD_TO))
+    return let(text, lambda x: F.when(F.octet_length(x) == F.length(x), F.lower(x)).otherwise(
+        F.translate(F.lower(x), FOLD_FROM, FOLD_TO)))
 
 
 def fold_term(term: str) -> str:

@@ -39,7 +39,8 @@ def tokenize_html(pages: DataFrame) -> DataFrame:
             t["pos"].alias("pos"), t["tok"].alias("tok"), t["tag"].alias("tag"), t["d"].alias("d"),
             e["e"].alias("end_pos"), e["depth"].alias("depth")))
 
-    return pages.select("page_id", F.inline(let(H.html_tokens(F.col("html")), rows)))
+    # The outer form keeps the optimizer from making the tokens a second time in an inferred filter.
+    return pages.select("page_id", F.inline_outer(let(H.html_tokens(F.col("html")), rows))).filter(F.col("pos").isNotNull())
 
 
 def _with_tokens(pages: DataFrame) -> DataFrame:

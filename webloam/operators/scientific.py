@@ -38,7 +38,9 @@ def with_tree(pages: DataFrame) -> DataFrame:
 
 
 def _one_section_per_row(df: DataFrame, state: str) -> DataFrame:
-    return df.select("page_id", F.posexplode(F.col(state)["out"]).alias("ordinal", "section"))
+    # The outer form keeps the optimizer from extracting twice, the second time in an inferred filter.
+    return df.select("page_id", F.posexplode_outer(F.col(state)["out"]).alias("ordinal", "section")) \
+        .filter(F.col("section").isNotNull())
 
 
 # D5

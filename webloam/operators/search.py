@@ -97,7 +97,9 @@ def build_postings(logs: DataFrame) -> DataFrame:
         F.struct(F.lit(name).alias("field"), F.coalesce(F.col(c), F.lit("")).alias("text")) for name, c in FIELDS.items()])
     words = (
         logs.select("id", *day, F.explode(fields).alias("f"))
-        .select("id", *day, F.col("f.field").alias("field"), F.posexplode(search_tokens(F.col("f.text"))).alias("pos", "term"))
+        .select("id", *day, F.col("f.field").alias("field"), search_tokens(F.col("f.text")).alias("w"))
+        .select("id", *day, "field", F.posexplode_outer("w").alias("pos", "term"))
+        .filter(F.col("term").isNotNull())
     )
     return words.groupBy("field", "term", "id", *day).agg(
         F.sort_array(F.collect_list("pos")).alias("positions"))

@@ -14,12 +14,16 @@ from webloam.functions.text import collapse_ws, extract_text_content, let, searc
 def keyword_density(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """(key, term, count, share): share of each term among the terms of its document.
 
-    The total travels with the exploded terms, so one partial aggregation is all.
+    The total travels with the exploded terms, so one partial aggregation is all. The outer
+    form of explode keeps the optimizer from testing the array in a filter of its own, which
+    would make the terms twice.
     """
     words = search_tokens(extract_text_content(F.col("markdown")))
     return (
         docs.select(key, words.alias("_w"))
-        .select(key, F.size("_w").alias("total"), F.explode("_w").alias("term"))
+        .select(key, "_w", F.size("_w").alias("total"))
+        .select(key, "total", F.explode_outer("_w").alias("term"))
+        .filter(F.col("term").isNotNull())
         .groupBy(key, "term", "total").agg(F.count(F.lit(1)).alias("count"))
         .select(key, "term", "count", (F.col("count") / F.col("total")).alias("share"))
     )
@@ -33,7 +37,7 @@ def heading_structure(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     heading of a lower level: a running last per level, over windows as small as one document.
     """
     lines = F.filter(F.split(F.col("markdown"), "\n"), lambda x: x.rlike(r"^#{1,6}[ \t]+[^ \t]"))
-    heads = docs.select(key, F.posexplode(lines).alias("ordinal", "line")).select(
+    heads = docs.select(key, F.posexplode_outer(lines).alias("ordinal", "line")).filter(F.col("line").isNotNull()).select(
         key, "ordinal", F.length(F.regexp_extract("line", "^(#{1,6})", 1)).alias("level"),
         collapse_ws(F.regexp_extract("line", r"(?s)^#{1,6}[ \t]+(.*)$", 1)).alias("heading"))
     before = Window.partitionBy(key).orderBy("ordinal").rowsBetween(Window.unboundedPreceding, -1)
