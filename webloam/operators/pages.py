@@ -10,17 +10,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from webloam.functions import html as H
+from webloam.functions.reuse import per_application
 from webloam.functions.text import let, url_host
 
 
-# D1
-def tokenize_html(pages: DataFrame) -> DataFrame:
-    """One row per token: (page_id, pos, tok, tag, d, end_pos, depth).
-
-    ``d`` is the level step (+1 start, -1 end, 0 alone). Start tags carry ``end_pos``,
-    the last position of their element, and ``depth``: the descendants of an element
-    are the positions between ``pos`` and ``end_pos``.
-    """
+@per_application
+def _token_rows() -> Column:
     def rows(toks: Column) -> Column:
         def token(tok: Column, i: Column) -> Column:
             return let(H.tag_name(tok), lambda tag: F.struct(
@@ -39,8 +34,19 @@ def tokenize_html(pages: DataFrame) -> DataFrame:
             t["pos"].alias("pos"), t["tok"].alias("tok"), t["tag"].alias("tag"), t["d"].alias("d"),
             e["e"].alias("end_pos"), e["depth"].alias("depth")))
 
+    return let(H.html_tokens(F.col("html")), rows)
+
+
+# D1
+def tokenize_html(pages: DataFrame) -> DataFrame:
+    """One row per token: (page_id, pos, tok, tag, d, end_pos, depth).
+
+    ``d`` is the level step (+1 start, -1 end, 0 alone). Start tags carry ``end_pos``,
+    the last position of their element, and ``depth``: the descendants of an element
+    are the positions between ``pos`` and ``end_pos``.
+    """
     # The outer form keeps the optimizer from making the tokens a second time in an inferred filter.
-    return pages.select("page_id", F.inline_outer(let(H.html_tokens(F.col("html")), rows))).filter(F.col("pos").isNotNull())
+    return pages.select("page_id", F.inline_outer(_token_rows())).filter(F.col("pos").isNotNull())
 
 
 def _with_tokens(pages: DataFrame) -> DataFrame:
@@ -55,16 +61,36 @@ def _prune(tokens: Column, tags: bool, marks: bool) -> Column:
     return H.drop_elements(tokens, mark)
 
 
+@per_application
+def _pruned_html(tags: bool, marks: bool) -> Column:
+    return H.tokens_html(_prune(H.html_tokens(F.col("html")), tags, marks))
+
+
+@per_application
+def _main() -> Column:
+    return H.main_markdown(pruned_tokens(H.html_tokens(F.col("html"))))
+
+
+@per_application
+def _whole(min_words: int) -> Column:
+    return H.whole_page_markdown(H.html_tokens(F.col("html")), min_words)
+
+
+@per_application
+def _scrubbed() -> Column:
+    return H.tokens_html(H.scrub_tokens(H.html_tokens(F.col("html"))))
+
+
 # D2
 def prune_tags(pages: DataFrame) -> DataFrame:
     """``html`` without navigation, scripts, forms, media and other furniture elements."""
-    return pages.withColumn("html", H.tokens_html(_prune(H.html_tokens(F.col("html")), True, False)))
+    return pages.withColumn("html", _pruned_html(True, False))
 
 
 # D3
 def prune_class_id(pages: DataFrame) -> DataFrame:
     """``html`` without elements whose class or id names cookie notes, sharing, menus and the like."""
-    return pages.withColumn("html", H.tokens_html(_prune(H.html_tokens(F.col("html")), False, True)))
+    return pages.withColumn("html", _pruned_html(False, True))
 
 
 def pruned_tokens(tokens: Column) -> Column:
@@ -74,19 +100,19 @@ def pruned_tokens(tokens: Column) -> Column:
 # D4
 def prune_dom(pages: DataFrame) -> DataFrame:
     """D2 and D3 in one pass. Comments stay, they are no elements."""
-    return pages.withColumn("html", H.tokens_html(pruned_tokens(H.html_tokens(F.col("html")))))
+    return pages.withColumn("html", _pruned_html(True, True))
 
 
 # D9
 def extract_main_content(pages: DataFrame) -> DataFrame:
     """(page_id, main_markdown): main text of the pruned page, NULL when nothing is left."""
-    return pages.select("page_id", H.main_markdown(pruned_tokens(H.html_tokens(F.col("html")))).alias("main_markdown"))
+    return pages.select("page_id", _main().alias("main_markdown"))
 
 
 # D10
 def page_fallback_markdown(pages: DataFrame, min_words: int = 10) -> DataFrame:
     """(page_id, fallback_markdown): a supplied fallback, else the whole page without short blocks."""
-    own = H.whole_page_markdown(H.html_tokens(F.col("html")), min_words)
+    own = _whole(min_words)
     if "fallback_markdown" in pages.columns:
         own = F.coalesce(F.col("fallback_markdown"), own)
     return pages.select("page_id", own.alias("fallback_markdown"))
@@ -127,4 +153,4 @@ def link_image_counts(pages: DataFrame) -> DataFrame:
 # D14
 def scrub_html_for_prompt(pages: DataFrame) -> DataFrame:
     """``html`` without scripts, styles, vector images, meta and link elements, style and data-* attributes."""
-    return pages.withColumn("html", H.tokens_html(H.scrub_tokens(H.html_tokens(F.col("html")))))
+    return pages.withColumn("html", _scrubbed())
