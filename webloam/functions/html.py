@@ -66,6 +66,11 @@ def html_tokens(html: Column) -> Column:
     return F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit(TOKEN_RE), F.lit(0))
 
 
+def text_tokens(html: Column) -> Column:
+    """Tokens for rendering: control characters, which serve as marks there, are removed first."""
+    return html_tokens(F.regexp_replace(html, r"[\p{Cntrl}&&[^\x{9}-\x{d}\x{1c}-\x{1f}]]", ""))
+
+
 def tokens_html(tokens: Column) -> Column:
     return F.array_join(tokens, "")
 
@@ -96,7 +101,8 @@ def attribute(tok: Column, name: str) -> Column:
     """Raw value of an attribute of a start tag, empty when it has none."""
     raw = F.regexp_extract(
         tok, rf"""(?is)^<[a-z][^>]*?[\s"'/]{name}\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+)""", 1)
-    return F.regexp_replace(raw, r"""^["']|["']$""", "")
+    return let(raw, lambda x: F.when(
+        x.startswith('"') | x.startswith("'"), F.substring(x, F.lit(2), F.length(x) - 2)).otherwise(x))
 
 
 def has_attribute(tok: Column, name: str) -> Column:
@@ -287,11 +293,12 @@ _NAMED_ENTITIES = "\x1e".join(f"{name}\x1f{chr(cp)}" for name, cp in name2codepo
 
 
 def decode_entities(text: Column) -> Column:
-    """Character references of HTML 4 and numeric ones decoded, each once."""
+    """Character references of HTML 4 and numeric ones decoded, each once; control characters give nothing."""
     def numeric(ref: Column) -> Column:
         digits = F.when(ref.rlike("^&#[xX]"), F.conv(F.regexp_extract(ref, "^&#[xX]([0-9a-fA-F]+)", 1), 16, 10)) \
             .otherwise(F.regexp_extract(ref, "^&#([0-9]+)", 1))
         return let(digits.try_cast("long"), lambda n: F.when(
+            n.between(1, 8) | n.between(14, 27) | (n == 127), F.lit("")).when(
             (n > 0) & (n <= 0x10FFFF) & ~n.between(0xD800, 0xDFFF),
             F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")).otherwise(F.lit("�")))
 
@@ -310,7 +317,7 @@ def decode_entities(text: Column) -> Column:
         F.transform(F.regexp_extract_all(x, parts, F.lit(0)), one), "")).otherwise(x))
 
 
-# Marks inside a rendered page; control characters are removed from the text first.
+# Marks inside a rendered page; the tokens come from text_tokens and hold no such characters.
 _CTX, _CTX_END, _BLOCK = "\x01", "\x08", "\x02"
 _HREF, _HREF_END, _LINK_END = "\x03", "\x04", "\x05"
 _BODY, _TITLE, _TITLE_END = "\x0e", "\x0f", "\x10"
@@ -346,8 +353,7 @@ def _piece(tok: Column) -> Column:
     named = let(F.when(is_tag, tag_name(tok)), lambda tag: F.struct(
         tag.alias("tag"), F.when(tag.isNull(), tok).otherwise(payload(tag)).alias("raw")))
     return let(named, lambda n: let(
-        F.regexp_replace(decode_entities(n["raw"]), r"[\p{Cntrl}&&[^\x{9}-\x{d}\x{1c}-\x{1f}]]", ""),
-        lambda text: F.when(n["tag"].isNull(), text).otherwise(tag_piece(n["tag"], text))))
+        decode_entities(n["raw"]), lambda text: F.when(n["tag"].isNull(), text).otherwise(tag_piece(n["tag"], text))))
 
 
 def page_blocks(tokens: Column) -> Column:
@@ -357,7 +363,8 @@ def page_blocks(tokens: Column) -> Column:
     row mark; ``density`` is the share of its non-blank characters that sit in links.
     """
     rendered = F.regexp_replace(F.array_join(F.transform(tokens, _piece), ""), UNI + WS + "+", " ")
-    body = F.regexp_replace(F.substring_index(rendered, _BODY, -1), r"\x{f}[^\x{10}]*\x{10}", "")
+    body = let(F.substring_index(rendered, _BODY, -1), lambda x: F.when(
+        F.contains(x, F.lit(_TITLE)), F.regexp_replace(x, r"\x{f}[^\x{10}]*\x{10}", "")).otherwise(x))
 
     def segment(seg: Column) -> Column:
         has_ctx = F.contains(seg, F.lit(_CTX_END))
@@ -382,10 +389,10 @@ def page_blocks(tokens: Column) -> Column:
         md = F.when(marked, tidy(without(F.regexp_replace(raw, _LINK_RE, r"[$2]($1)"), start_mark)))
         linked = F.when(marked, bare(F.array_join(F.regexp_extract_all(raw, F.lit(_LINK_RE), F.lit(2)), ""))) \
             .otherwise(F.lit(0))
-        return let(vis, lambda v: F.struct(
+        return let(vis, lambda v: let(bare(v), lambda n: F.struct(
             b["ctx"].alias("ctx"), v.alias("vis"), F.coalesce(md, v).alias("md"),
-            F.when(v == "", F.lit(0)).otherwise(F.length(v) - bare(v) + 1).alias("words"),
-            F.when(v == "", F.lit(0.0)).otherwise(linked / bare(v)).alias("density")))
+            F.when(n == 0, F.lit(0)).otherwise(F.length(v) - n + 1).alias("words"),
+            F.when(n == 0, F.lit(0.0)).otherwise(linked / n).alias("density"))))
 
     blocks = F.flatten(F.transform(F.split(body, _CTX), segment))
     return F.filter(F.transform(blocks, measure), lambda b: (b["vis"] != "") | (b["ctx"] == "tr"))

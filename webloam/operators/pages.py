@@ -68,12 +68,12 @@ def _pruned_html(tags: bool, marks: bool) -> Column:
 
 @per_application
 def _main() -> Column:
-    return H.main_markdown(pruned_tokens(H.html_tokens(F.col("html"))))
+    return H.main_markdown(pruned_tokens(H.text_tokens(F.col("html"))))
 
 
 @per_application
 def _whole(min_words: int) -> Column:
-    return H.whole_page_markdown(H.html_tokens(F.col("html")), min_words)
+    return H.whole_page_markdown(H.text_tokens(F.col("html")), min_words)
 
 
 @per_application

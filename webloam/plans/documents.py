@@ -65,8 +65,8 @@ def process_pages(pages: DataFrame, config: PipelineConfig = PipelineConfig(),
 
     df = scientific_preprocess(df)
     scientific = F.col("is_scientific") & classic
-    raw_tokens = H.html_tokens(F.col("_raw"))
-    df = df.withColumn("_tokens", H.html_tokens(F.col("html")))
+    raw_tokens = H.text_tokens(F.col("_raw"))
+    df = df.withColumn("_tokens", H.text_tokens(F.col("html")))
     # The whole-page fallback and the titles see the page as it was fetched.
     df = df.withColumn("_whole", F.when(scientific, raw_tokens).otherwise(F.col("_tokens")))
     if responses is not None:
