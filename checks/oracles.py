@@ -502,6 +502,23 @@ SQL["d8_scientific_preprocess"] = f"""WITH {_SCIENCE} SELECT page_id, CASE WHEN
     ELSE {_HEAD_HTML} || '<div class="Abstracts">' || {_ABS_HTML} || '</div>' || {_REST} END AS html,
   CASE WHEN page_id % 2 = 1 THEN '' ELSE {_SECTIONS} END AS scientific_content FROM science"""
 
+_LEFT_HTML = f"""CASE WHEN page_id % 2 = 1 THEN {_HEAD_HTML} || {_FULL}
+    WHEN length(t) > 50 THEN {_HEAD_HTML} || '<div class="Abstracts"></div>' || {_REST}
+    ELSE {_HEAD_HTML} || '<div class="Abstracts">' || {_ABS_HTML} || '</div>' || {_REST} END"""
+SQL["d13_process_pages_scientific"] = f"""WITH {_SCIENCE},
+  art AS (SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'https://www.plos.org/a/' ELSE 'https://www.example.org/a/' END || page_id AS url,
+    {_LEFT_HTML} AS html, CASE WHEN page_id % 2 = 1 THEN '' ELSE {_SECTIONS} END AS content FROM science),
+  raw AS (SELECT page_id, '' AS url, {_HEAD_HTML} || {_FULL} AS html FROM science),
+  {tokens('art')}, {levels('tk')}, {pruned('lv', _BY_TAG + ' OR ' + _BY_MARK)}, {blocks('pr', True, 'mb')}, {tokens('raw', 'tr')}, {blocks('tr', False, 'fb')},
+  ch AS (SELECT s.page_id, s.url, s.content, 'Article' AS page_title, coalesce(mb.md, '') AS e, coalesce(fb.md, '') AS f
+    FROM art s LEFT JOIN mb ON mb.page_id = s.page_id LEFT JOIN fb ON fb.page_id = s.page_id),
+  pk AS (SELECT *, CASE WHEN e = '' THEN 'fallback_empty' WHEN length(e) >= floor(length(f) * 0.3::DOUBLE) OR f = '' THEN 'main_content' ELSE 'fallback_short' END AS step FROM ch),
+  {titled_ctes('pk', 'page_id, url, step, content', "CASE WHEN step = 'main_content' THEN e ELSE f END", 'page_title', "''", 'url', 'ti')},
+  inj AS (SELECT page_id, url, step, content, title, CASE WHEN content <> '' THEN {injected('markdown', 'content')} ELSE markdown END AS md FROM ti),
+  {dedupe_ctes('inj', 'page_id', rules('md'), 'dd')}
+  SELECT inj.page_id, inj.url, {clean_md('dd.t')} AS markdown, inj.title, CASE WHEN inj.page_id % 2 = 0 THEN 'scientific_preprocess,' ELSE '' END || 'dom_pruning,' || step
+    || ',title_injection,' || CASE WHEN content <> '' THEN 'scientific_inject,' ELSE '' END || 'regex_cleaning' AS steps FROM inj JOIN dd ON dd.page_id = inj.page_id"""
+
 _PDF_ERROR = "CASE WHEN file_size > 52428800 THEN 'PDF too large: ' || format('{:.1f}', file_size / 1048576.0) || 'MB (max: 50MB)' END"
 PDF_DOCS = f"""pdf_docs AS (SELECT doc_id, any_value(url) AS url, CAST(count(*) AS INTEGER) AS n, any_value(title) AS title, any_value(author) AS author, any_value(subject) AS subject,
     any_value(created) AS created, any_value({_PDF_ERROR}) AS error,
