@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from webloam.functions.html import html_tokens
 from webloam.functions.outcome import classify_status, result_content_type
+from webloam.functions.reuse import per_application
 from webloam.functions.text import content_hash, content_length
 from webloam.operators.pages import link_counts
 from webloam.operators.pdf import pdf_results
@@ -27,31 +28,36 @@ def to_result(outcomes: DataFrame) -> DataFrame:
     pdf = F.struct(F.col("pdf_title").alias("title"), F.col("pdf_author").alias("author"),
                    F.col("pdf_pages").alias("pages"), F.col("pdf_creation_date").alias("creation_date"))
     has_pdf = (F.col("content_type") == "pdf") & ((F.length("pdf_title") > 0) | (F.col("pdf_pages") > 0))
-    return (
-        df.withColumn("markdown", F.coalesce("markdown", F.lit("")))
-        .withColumn("content_type", F.coalesce("content_type", result_content_type(F.lit("html"), F.col("success"))))
-        .withColumn("content_hash", content_hash(F.col("markdown"), F.col("success")))
-        .withColumn("content_length", content_length(F.col("markdown")))
-        .withColumn("duration_ms", F.coalesce("duration_ms", F.lit(0).cast("long")))
-        .withColumn("links_count", F.coalesce("links_count", F.lit(0)))
-        .withColumn("images_count", F.coalesce("images_count", F.lit(0)))
-        .withColumn("retry_count", F.coalesce("retry_count", F.lit(0)))
-        .withColumn("js_executed", F.coalesce("js_executed", F.lit(False)))
-        .withColumn("redirects", F.when(F.length("redirected_url") > 0, F.array("redirected_url")))
-        .withColumn("pdf_metadata", F.when(F.coalesce(has_pdf, F.lit(False)), pdf))
-    )
+    filled = df.withColumns({
+        "markdown": F.coalesce("markdown", F.lit("")),
+        "content_type": F.coalesce("content_type", result_content_type(F.lit("html"), F.col("success"))),
+        "duration_ms": F.coalesce("duration_ms", F.lit(0).cast("long")),
+        "links_count": F.coalesce("links_count", F.lit(0)),
+        "images_count": F.coalesce("images_count", F.lit(0)),
+        "retry_count": F.coalesce("retry_count", F.lit(0)),
+        "js_executed": F.coalesce("js_executed", F.lit(False)),
+    })
+    return filled.withColumns({
+        "content_hash": content_hash(F.col("markdown"), F.col("success")),
+        "content_length": content_length(F.col("markdown")),
+        "redirects": F.when(F.length("redirected_url") > 0, F.array("redirected_url")),
+        "pdf_metadata": F.when(F.coalesce(has_pdf, F.lit(False)), pdf),
+    })
 
 
 def to_log_row(results: DataFrame) -> DataFrame:
     """Log rows (without id and time, which the table gives) out of result rows."""
-    logs = (
-        results.withColumn("status", classify_status(F.col("success"), F.col("error")))
-        .withColumn("error_message", F.col("error"))
-        .withColumn("markdown_content", F.col("markdown"))
-    )
+    logs = results.withColumns({
+        "status": classify_status(F.col("success"), F.col("error")),
+        "error_message": F.col("error"), "markdown_content": F.col("markdown")})
     return conform(logs, T.StructType([f for f in LOG if f.name not in ("id", "timestamp")]))
 
 
+@per_application
+def _counts() -> Column:
+    return link_counts(html_tokens(F.col("html")), F.col("url"))
+
+
 def page_outcomes(pages: DataFrame, config: PipelineConfig = PipelineConfig(),
                   responses: DataFrame | None = None) -> DataFrame:
     """Outcomes of the HTML branch; a page that carries ``fetch_error`` failed and yields no document."""
@@ -63,7 +69,7 @@ def page_outcomes(pages: DataFrame, config: PipelineConfig = PipelineConfig(),
         present.append("fetch_error")
     # Failed pages enter no step: their html is emptied.
     df = df.withColumn("html", F.when(F.col("fetch_error").isNull(), F.col("html")).otherwise(F.lit("")))
-    df = df.withColumn("_counts", link_counts(html_tokens(F.col("html")), F.col("url")))
+    df = df.withColumn("_counts", _counts())
     docs = process_pages(df, config, responses, keep=(*present, "_counts"))
     ok = F.col("fetch_error").isNull()
     return docs.select(
