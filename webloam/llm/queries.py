@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webloam.llm import chat, fertility, licenses, packing, prefix_counts
+from webloam.llm import chat, fertility, licenses, packing, prefix_counts, sharding
+from webloam.llm.common import fresh_path
 
 
 #: What both turns of conversation -7 say.
@@ -48,6 +49,16 @@ FROM w GROUP BY conv_id
 """
 
 
+def op2_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", "n_chars")
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 1
+    written = sharding.write_shards(
+        docs, fresh_path(spark, "shards"), 16, ["n_chars", "lang", "source"], F.coalesce(F.col("text"), F.lit("")), size, "doc_id")
+    rows = written.select("shard", "_part", "_curve", "_group", "_size", "doc_id", F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32"))
+    return sharding.with_slots(rows.withColumn("size", F.col("_size")), "doc_id").select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.token_pieces(table(spark, sf_dir, "documents"))
     return packing.pack(pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")))
@@ -71,6 +82,7 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_chat_formatting": op1_chat_formatting,
+    "op2_hilbert_shards": op2_hilbert_shards,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_license_scan": op6_license_scan,
     "op7_quality_rules": op7_quality_rules,
