@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webloam.llm import chat, fertility, licenses, packing, prefix_counts, sharding
+from webloam.llm import chat, fertility, licenses, packing, prefix_counts, sharding, warc
 from webloam.llm.common import fresh_path
 
 
@@ -59,6 +59,30 @@ def op2_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = fresh_path(spark, "archive")
+    warc.write_warc(warc.page_records(table(spark, sf_dir, "pages")), path)
+    # responses answer by their payloads, revisits by their headers
+    responses = warc.read_warc(spark, path).filter(F.col("record_type") == "response").select(
+        "record_id", "record_type", "refers_to", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha1("payload").alias("payload_digest"))
+    revisits = warc.read_warc(spark, path, payload=False).filter(F.col("record_type") == "revisit").select(
+        "record_id", "record_type", "refers_to", F.col("payload_length").alias("payload_bytes"),
+        F.substring_index("payload_digest", ":", -1).alias("payload_digest"))
+    return responses.unionByName(revisits).select(
+        warc.page_id_of(F.col("record_id")).alias("page_id"), "payload_bytes", "payload_digest", "record_type",
+        warc.page_id_of(F.col("refers_to")).alias("refers_to"))
+
+
+OP3_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+f AS (SELECT html, max(page_id) AS first FROM p WHERE strlen(html) >= 1000 GROUP BY html)
+SELECT page_id, CAST(strlen(p.html) AS BIGINT) AS payload_bytes, sha1(p.html) AS payload_digest,
+       CASE WHEN page_id < first THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id < first THEN first END AS refers_to
+FROM p LEFT JOIN f ON p.html = f.html
+"""
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.token_pieces(table(spark, sf_dir, "documents"))
     return packing.pack(pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")))
@@ -83,6 +107,7 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_chat_formatting": op1_chat_formatting,
     "op2_hilbert_shards": op2_hilbert_shards,
+    "op3_warc": op3_warc,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_license_scan": op6_license_scan,
     "op7_quality_rules": op7_quality_rules,
@@ -90,4 +115,4 @@ QUERIES = {
 }
 
 #: SQL twins, where SQL can express the whole query.
-SQL: dict[str, str] = {"op1_chat_formatting": OP1_SQL}
+SQL: dict[str, str] = {"op1_chat_formatting": OP1_SQL, "op3_warc": OP3_SQL}
