@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webloam.llm import chat, fertility, licenses, packing, prefix_counts, sharding, warc
+from webloam.llm import chat, decontaminate, fertility, licenses, packing, prefix_counts, sharding, warc
 from webloam.llm.common import fresh_path
 
 
@@ -104,6 +104,10 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
         prefix_counts.longest_prefix(F.col("prefix_tokens"), 2048).alias("chars_in_limit"))
 
 
+def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_chat_formatting": op1_chat_formatting,
     "op2_hilbert_shards": op2_hilbert_shards,
@@ -112,6 +116,7 @@ QUERIES = {
     "op6_license_scan": op6_license_scan,
     "op7_quality_rules": op7_quality_rules,
     "op8_token_counts": op8_token_counts,
+    "op9_benchmark_decontamination": op9_benchmark_decontamination,
 }
 
 #: SQL twins, where SQL can express the whole query.
