@@ -16,6 +16,7 @@ BYTE_MARK = "<0x"
 SYMBOLS = "#*$%&|<>"
 BLANKS = "\t\n\x0b\x0c\r "
 MEASURES = ("chars_per_token", "byte_share", "token_entropy")
+SALTS = 64
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
@@ -142,5 +143,8 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         wide = F.col(f"{m}_wide") * noise
         inside = inside & F.coalesce(F.col(m).between(F.col(f"{m}_q1") - wide, F.col(f"{m}_q3") + wide), F.lit(False))
     failed = base_failed()
-    return measured.join(bands(measured), F.col("lang") == F.col("_lang"), "left").select(
+    # most rows may be of one language: each language's bands stand SALTS times, and rows choose one by their id
+    salted = bands(measured).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salt = F.pmod(F.xxhash64(F.col(id_col)), F.lit(SALTS)).cast("int")
+    return measured.join(salted, (F.col("lang") == F.col("_lang")) & (salt == F.col("_salt")), "left").select(
         *measured.columns, failed.alias("base_failed"), (~failed & inside).alias("kept"))

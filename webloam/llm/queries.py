@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webloam.llm import chat, decontaminate, fertility, licenses, packing, prefix_counts, sharding, warc
+from webloam.llm import chat, decontaminate, fertility, licenses, near_dedup, packing, prefix_counts, sharding, warc
 from webloam.llm.common import fresh_path
 
 
@@ -108,6 +108,10 @@ def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_classes(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_chat_formatting": op1_chat_formatting,
     "op2_hilbert_shards": op2_hilbert_shards,
@@ -117,6 +121,7 @@ QUERIES = {
     "op7_quality_rules": op7_quality_rules,
     "op8_token_counts": op8_token_counts,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
+    "op10_near_dedup": op10_near_dedup,
 }
 
 #: SQL twins, where SQL can express the whole query.
