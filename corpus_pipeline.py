@@ -1,31 +1,67 @@
-"""Documents to packed training sequences, stage by stage."""
+"""Documents to packed training sequences, stage by stage.
+
+Each stage takes the documents that the one before kept, and all but the last give documents with the same columns. A stage
+decides by document id: rows of one id are one document, and go or stay together.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from webloam.llm import fertility, packing
+from webloam.llm import decontaminate, fertility, kneser_ney, near_dedup, packing
 from webloam.llm.common import settled
 
 
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """Documents but those whose id is in ``gone`` (doc_id). A NULL id is never in it."""
+    ids = gone.select(F.col("doc_id").alias("_gone")).distinct()
+    return docs.join(ids, F.col("doc_id") == F.col("_gone"), "left_anti")
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose perplexity under the model of trusted text of their language is no worse than its threshold."""
+    trusted = spark.read.parquet(f"{sf_dir}/labels.parquet").filter("quality = 1 AND toxic = 0")
+    return without(docs, kneser_ney.classify(docs, trusted).filter("NOT kept"))
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules keep. A document goes by its id: of rows with one id, all stay or the failing ones go alike."""
-    kept = fertility.quality_rules(docs).filter("kept").select("doc_id").distinct()
-    return docs.join(kept, docs.doc_id.eqNullSafe(kept.doc_id), "left_semi")
+    """Documents that the rules keep."""
+    return without(docs, fertility.quality_rules(docs).filter("NOT kept"))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class of near copies, the document of the least id, once. Documents without an id stay."""
+    classes = near_dedup.near_classes(docs.filter("doc_id IS NOT NULL"))
+    rest = without(docs, classes.filter("doc_id <> class_id"))
+    again = classes.filter("doc_id = class_id").groupBy("doc_id").count().filter("count > 1")
+    repeated = docs.join(again.select(F.col("doc_id").alias("_again")), F.col("doc_id") == F.col("_again"), "left_semi").dropDuplicates(["doc_id"])
+    return without(rest, again).unionByName(repeated)
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no passage of the benchmark."""
+    return without(docs, decontaminate.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row for each piece of each document: where it lies in which sequence."""
-    return packing.pack(packing.token_pieces(docs).drop("ids"))
+    return packing.pack(packing.token_pieces(docs).select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")))
 
 
-STAGES = [("quality rules", quality_rules), ("best-fit packing", best_fit_packing)]
+STAGES = [
+    ("quality classifier", quality_classifier),
+    ("quality rules", quality_rules),
+    ("near duplicates", near_duplicates),
+    ("benchmark decontamination", benchmark_decontamination),
+    ("best-fit packing", best_fit_packing),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written and read again as the next one's input."""
+    """All stages over documents, each written as Parquet and read again as the next one's input."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (name, stage) in enumerate(STAGES):
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = settled(docs, "stage")

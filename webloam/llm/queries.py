@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webloam.llm import chat, decontaminate, fertility, licenses, near_dedup, packing, prefix_counts, sharding, warc
+from webloam.llm import chat, decontaminate, fertility, kneser_ney, licenses, near_dedup, packing, prefix_counts, sharding, warc
 from webloam.llm.common import fresh_path
 
 
@@ -83,6 +83,11 @@ FROM p LEFT JOIN f ON p.html = f.html
 """
 
 
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trusted = table(spark, sf_dir, "labels").filter("quality = 1 AND toxic = 0")
+    return kneser_ney.classify(table(spark, sf_dir, "documents"), trusted)
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.token_pieces(table(spark, sf_dir, "documents"))
     return packing.pack(pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")))
@@ -116,6 +121,7 @@ QUERIES = {
     "op1_chat_formatting": op1_chat_formatting,
     "op2_hilbert_shards": op2_hilbert_shards,
     "op3_warc": op3_warc,
+    "op4_quality_classifier": op4_quality_classifier,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_license_scan": op6_license_scan,
     "op7_quality_rules": op7_quality_rules,
