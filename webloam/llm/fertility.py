@@ -137,7 +137,7 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     shorter they are. A language of which no text passes the base rules has no band, and none is needed.
     """
     measured = settled(measure(docs, id_col, text_col, lang_col, vocabulary), "fertility")
-    noise = F.greatest(F.lit(1.0), F.sqrt(F.col("_words") / F.col("n_words"))) * reach
+    noise = F.greatest(F.lit(1.0), F.sqrt(F.col("_words") / F.greatest(F.col("n_words"), F.lit(1)))) * reach
     inside = F.lit(True)
     for m in MEASURES:
         wide = F.col(f"{m}_wide") * noise

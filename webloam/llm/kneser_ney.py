@@ -149,9 +149,9 @@ def counted(texts: DataFrame, marks: str, shelves: int) -> DataFrame:
 def discounts(grams_: DataFrame) -> DataFrame:
     """``d1``, ``d2``, ``d3`` by language, from how many n-grams have one, two, three and four occurrences."""
     of = lambda k: F.count(F.when(F.col("n") == k, 1)).cast("double").alias(f"n{k}")
-    y = F.col("n1") / (F.col("n1") + 2 * F.col("n2"))
+    y = F.try_divide(F.col("n1"), F.col("n1") + 2 * F.col("n2"))
     usable = (F.col("n1") > 0) & (F.col("n2") > 0) & (F.col("n3") > 0)
-    d = lambda k: F.when(usable, F.least(F.greatest(k - (k + 1) * y * F.col(f"n{k + 1}") / F.col(f"n{k}"), F.lit(0.1)), F.lit(float(k)))) \
+    d = lambda k: F.when(usable, F.least(F.greatest(k - (k + 1) * y * F.try_divide(F.col(f"n{k + 1}"), F.col(f"n{k}")), F.lit(0.1)), F.lit(float(k)))) \
         .otherwise(k / 2).alias(f"d{k}")
     return grams_.groupBy("lang").agg(*[of(k) for k in range(1, 5)]).select("lang", d(1), d(2), d(3))
 
@@ -179,7 +179,7 @@ def probabilities(top: DataFrame) -> DataFrame:
         else:
             rows = rows.withColumn("suffix", F.col("gram").bitwiseAND(F.lit((1 << (BITS * (k - 1))) - 1))).join(
                 lower.select("lang", F.col("gram").alias("suffix"), F.col("p").alias("q")), ["lang", "suffix"])
-        p = F.when(F.col("total") > 0, (F.greatest(F.col("n") - discount(F.col("n")), F.lit(0.0)) + F.col("kept_back") * F.col("q")) / F.col("total")).otherwise(F.col("q"))
+        p = F.when(F.col("total") > 0, (F.greatest(F.col("n") - discount(F.col("n")), F.lit(0.0)) + F.col("kept_back") * F.col("q")) / F.greatest(F.col("total"), F.lit(1))).otherwise(F.col("q"))
         lower = settled(rows.select("lang", "gram", p.alias("p")), f"order{k}")
     return lower
 

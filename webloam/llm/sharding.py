@@ -127,9 +127,9 @@ def write_shards(docs: DataFrame, path: str, shards: int, dims: list[str], group
     """
     placed = shard(docs, shards, dims, group, size, tie, whole)
     keys = ["shard", "_curve", "_group", tie]
-    placed.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_part", F.spark_partition_id()) \
-        .write.partitionBy("shard").parquet(path)
-    return docs.sparkSession.read.parquet(path)
+    rows = placed.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_part", F.spark_partition_id())
+    rows.write.partitionBy("shard").parquet(path)
+    return docs.sparkSession.read.schema(rows.schema).parquet(path)
 
 
 def with_slots(written: DataFrame, tie: str) -> DataFrame:
