@@ -127,8 +127,8 @@ SQL["s4_read_logs"] = """SELECT CAST(event_id AS VARCHAR) AS id, CASE WHEN event
   CASE WHEN event_id % 7 = 0 THEN NULL ELSE json_extract_string(props, '$.k') END AS k, event_type AS redirect, 'u' || user_id AS issuer FROM events"""
 logs_sql("s5_export_csv", f"""SELECT id AS "ID", url AS "URL", epoch_us(timestamp) AS "Timestamp", status AS "Status", content_type AS "Content Type",
   duration_ms AS "Duration (ms)", content_length AS "Content Length", http_status_code AS "HTTP Status", error_message AS "Error",
-  CAST(0 AS INTEGER) AS "Links", CAST(0 AS INTEGER) AS "Images" FROM logs WHERE status = 'success' {NEWEST} LIMIT 500""")
-logs_sql("s6_export_json", f"SELECT id, url, epoch_us(timestamp) AS ts_us, error_message, content_type FROM logs WHERE status = 'error' {NEWEST} LIMIT 300")
+  CAST(0 AS INTEGER) AS "Links", CAST(0 AS INTEGER) AS "Images" FROM logs WHERE status = 'success' {NEWEST}""")
+logs_sql("s6_export_json", f"SELECT id, url, epoch_us(timestamp) AS ts_us, error_message, content_type FROM logs WHERE status = 'error' {NEWEST}")
 SQL["s6_export_json_manifest"] = ("SELECT count(*) AS total_records, 'error' AS status, CAST(NULL AS VARCHAR) AS url_search "
                                   "FROM events WHERE event_type = 'error'")
 SQL["s7_format_markdown_report"] = rf"""WITH {DOCS}, parts AS (SELECT *, regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) AS host,
@@ -263,7 +263,7 @@ SQL["t2_page_logs_keyset"] = SQL["t2_page_logs_keyset"].replace(
 logs_sql("t3_cursors", """SELECT id, CASE WHEN CAST(id AS BIGINT) % 4 = 0 THEN '!' || id ELSE base64(encode(epoch_us(timestamp) || '|' || id)) END AS cursor,
   CASE WHEN CAST(id AS BIGINT) % 4 <> 0 THEN epoch_us(timestamp) END AS ts_us, CASE WHEN CAST(id AS BIGINT) % 4 <> 0 THEN id END AS back_id FROM logs""")
 logs_sql("t4_recent_logs", f"SELECT {SUMMARY} FROM logs {NEWEST} LIMIT 10")
-logs_sql("t5_export_cap", f"SELECT id, epoch_us(timestamp) AS ts_us, content_length FROM logs {NEWEST} LIMIT 250")
+logs_sql("t5_export_cap", f"SELECT id, epoch_us(timestamp) AS ts_us, content_length FROM logs {NEWEST}")
 
 # --- scalar functions --------------------------------------------------------------------
 
@@ -574,15 +574,15 @@ SQL["m4_clear_all_logs"] = "SELECT 'kept' AS part, CAST(0 AS BIGINT) AS n UNION
 SQL["p1_pdf_size_gate"] = """SELECT doc_id, f AS file_size, f <= 2097152 AS success, CASE WHEN f > 2097152 THEN 'PDF too large: ' || format('{:.1f}', f / 1048576.0) || 'MB (max: 2MB)' END AS error
   FROM (SELECT doc_id, CAST(CASE WHEN doc_id % 50 = 7 THEN 60*1024*1024 ELSE n_chars END AS BIGINT) * 700 AS f FROM documents)"""
 SQL["p2_pdf_metadata"] = f"""WITH {PDFS} SELECT doc_id, title, author, subject, CAST(NULL AS VARCHAR) AS creator, CAST(NULL AS VARCHAR) AS producer, created AS creation_date,
-  CAST(NULL AS VARCHAR) AS modification_date, CAST(4 AS INTEGER) AS pages, file_size FROM pdfs WHERE page_num = 1"""
+  CAST(NULL AS VARCHAR) AS modification_date, CAST(count(*) OVER (PARTITION BY doc_id) AS INTEGER) AS pages, file_size FROM pdfs QUALIFY page_num = 1"""
 SQL["p3_assemble_pdf_markdown"] = f"WITH {PDFS}, {PDF_DOCS} SELECT doc_id, markdown, error FROM pdf_out"
 SQL["p4_pdf_results"] = f"""WITH {PDFS}, {PDF_DOCS} SELECT doc_id, url, error IS NULL AS success, markdown, error, 'pdf' AS content_type,
   CAST(CASE WHEN error IS NULL THEN 200 END AS INTEGER) AS http_status_code, pdf_title, pdf_author, pdf_pages, pdf_creation_date FROM pdf_out"""
 
-# --- streams: windows that the watermark has closed --------------------------------------
+# --- streams ------------------------------------------------------------------------------
 
 logs_sql("x2_stream_daily_stats", """SELECT CAST(CAST(timestamp AS DATE) AS VARCHAR) AS date, count(*) AS count, count(*) FILTER (status = 'success') AS success FROM logs
-  GROUP BY CAST(timestamp AS DATE) HAVING CAST(timestamp AS DATE) + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 DAY""")
+  GROUP BY CAST(timestamp AS DATE)""")
 
 # --- use cases ---------------------------------------------------------------------------
 
@@ -596,4 +596,5 @@ SQL["u3_thin_content"] = f"""WITH {DOCS}, t AS (SELECT doc_id, {plain_text('mark
   SELECT * FROM (SELECT doc_id, CAST(CASE WHEN t = '' THEN 0 ELSE len(str_split(t, ' ')) END AS INTEGER) AS words FROM t) WHERE words < 120"""
 logs_sql("u4_content_changes", """SELECT url, epoch_us(timestamp) AS ts_us, id, previous_hash, content_hash FROM (SELECT *, lag(content_hash) OVER
   (PARTITION BY url ORDER BY timestamp, id) AS previous_hash FROM logs WHERE content_hash IS NOT NULL) WHERE previous_hash <> content_hash""")
-logs_sql("u5_new_urls", "SELECT url, epoch_us(min(timestamp)) AS first_seen FROM logs GROUP BY url HAVING min(timestamp) >= TIMESTAMP '2024-01-01 18:00:00'")
+logs_sql("u5_new_urls", "SELECT url, epoch_us(min(timestamp)) + length(url) % 20 * 86400000000 AS first_seen FROM logs GROUP BY url "
+         "HAVING epoch_us(min(timestamp)) + length(url) % 20 * 86400000000 >= epoch_us(TIMESTAMP '2024-01-15 00:00:00')")

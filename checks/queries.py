@@ -27,7 +27,7 @@ from webloam.plans.documents import process_pages
 from webloam.schemas import LogFilters, PipelineConfig
 from webloam.sources import logs as L
 from webloam.sources.pages import read_pages, read_pdf_pages
-from webloam.streaming.jobs import stream_daily_stats, stream_pages_to_logs
+from webloam.streaming.jobs import read_daily_stats, stream_daily_stats, stream_pages_to_logs
 
 UTC = timezone.utc
 us = lambda c: F.unix_micros(c)
@@ -92,13 +92,13 @@ def _(spark, d):
 
 @query("s5_export_csv")
 def _(spark, d):
-    rows = L.csv_rows(V.logs(spark, d), LogFilters(status="success"), cap=500)
+    rows = L.csv_rows(V.logs(spark, d), LogFilters(status="success"))
     return rows.withColumn("Timestamp", us("Timestamp"))
 
 
 @query("s6_export_json")
 def _(spark, d):
-    return L.json_rows(V.logs(spark, d), LogFilters(status="error"), cap=300).select(
+    return L.json_rows(V.logs(spark, d), LogFilters(status="error")).select(
         "id", "url", us("timestamp").alias("ts_us"), "error_message", "content_type")
 
 
@@ -336,7 +336,7 @@ def _(spark, d):
 
 @query("t5_export_cap")
 def _(spark, d):
-    return A.newest_rows(V.logs(spark, d), n=250).select("id", us("timestamp").alias("ts_us"), "content_length")
+    return A.newest_rows(V.logs(spark, d)).select("id", us("timestamp").alias("ts_us"), "content_length")
 
 
 # --- scalar functions --------------------------------------------------------------------
@@ -472,7 +472,7 @@ def _(spark, d):
 @query("o1_run_batch")
 def _(spark, d):
     pages = V.pages(spark, d).withColumn("fetch_error", F.when(F.col("page_id") % 10 == 3, F.lit("Timeout after 30000ms")))
-    return run_batch(pages, V.pdf_pages(spark, d)).select(
+    return run_batch(pages, V.pdf_pages(spark, d), PipelineConfig(max_pdf_mb=50)).select(
         "url", "success", "error", "content_type", "content_hash", "content_length", "links_count", "images_count",
         "http_status_code", "pdf_pages", F.array_join("pipeline_steps", ",").alias("steps"))
 
@@ -542,24 +542,25 @@ def _(spark, d):
 
 @query("p1_pdf_size_gate")
 def _(spark, d):
-    files = V.pdf_pages(spark, d).filter("page_num = 1").withColumn("file_size", F.col("file_size") * 700)
+    files = V.pdf_pages(spark, d).groupBy("doc_id").agg((F.max("file_size") * 700).alias("file_size"))
     return P.pdf_size_gate(files, 2).select("doc_id", "file_size", "success", "error")
 
 
 @query("p2_pdf_metadata")
 def _(spark, d):
-    files = V.pdf_pages(spark, d).filter("page_num = 1")
-    return files.select("doc_id", P.pdf_metadata(F.col("meta"), F.lit(4), F.col("file_size")).alias("m")).select("doc_id", "m.*")
+    files = V.pdf_pages(spark, d).groupBy("doc_id").agg(
+        F.max("meta").alias("meta"), F.count("page_num").alias("n"), F.max("file_size").alias("file_size"))
+    return files.select("doc_id", P.pdf_metadata(F.col("meta"), F.col("n"), F.col("file_size")).alias("m")).select("doc_id", "m.*")
 
 
 @query("p3_assemble_pdf_markdown")
 def _(spark, d):
-    return P.assemble_pdf_markdown(V.pdf_pages(spark, d)).select("doc_id", "markdown", "error")
+    return P.assemble_pdf_markdown(V.pdf_pages(spark, d), 50).select("doc_id", "markdown", "error")
 
 
 @query("p4_pdf_results")
 def _(spark, d):
-    return P.pdf_results(V.pdf_pages(spark, d))
+    return P.pdf_results(V.pdf_pages(spark, d), 50)
 
 
 # --- streams -----------------------------------------------------------------------------
@@ -577,9 +578,8 @@ def _(spark, d):
     source, out = V.scratch(spark, "log-files"), V.scratch(spark, "daily")
     V.logs(spark, d).select("timestamp", "status").write.parquet(source)
     stream = spark.readStream.schema("timestamp timestamp, status string").parquet(source)
-    (stream_daily_stats(stream).writeStream.outputMode("append").format("parquet").option("path", out)
-     .option("checkpointLocation", V.scratch(spark, "daily-checkpoint")).trigger(availableNow=True).start().awaitTermination())
-    return spark.read.schema("date date, count bigint, success bigint").parquet(out).withColumn("date", F.col("date").cast("string"))
+    stream_daily_stats(stream, out, V.scratch(spark, "daily-checkpoint")).awaitTermination()
+    return read_daily_stats(spark, out).withColumn("date", F.col("date").cast("string"))
 
 
 # --- use cases ---------------------------------------------------------------------------
@@ -606,4 +606,6 @@ def _(spark, d):
 
 @query("u5_new_urls")
 def _(spark, d):
-    return U.new_urls(V.logs(spark, d), datetime(2024, 1, 1, 18, tzinfo=UTC)).withColumn("first_seen", us("first_seen"))
+    # URLs enter the log on different days, by their length
+    logs = V.logs(spark, d).withColumn("timestamp", F.timestamp_micros(us("timestamp") + F.length("url") % 20 * F.lit(86_400_000_000)))
+    return U.new_urls(logs, datetime(2024, 1, 15, tzinfo=UTC)).withColumn("first_seen", us("first_seen"))

@@ -11,7 +11,7 @@ from webloam.plans.batch import run_batch, to_log_row
 from webloam.schemas import PAGES
 from webloam.sources.logs import LOG_FILES
 from webloam.sources.pages import conform
-from webloam.streaming.jobs import stream_daily_stats, stream_pages_to_logs
+from webloam.streaming.jobs import read_daily_stats, stream_daily_stats, stream_pages_to_logs
 
 SF = "/root/testdata/sf0.001"
 
@@ -33,20 +33,19 @@ def test_page_stream_writes_every_file_once(spark, tmp_path):
     assert {r["url"]: r["content_hash"] for r in run().collect()} == expected
 
 
-def test_daily_stream_drops_late_rows(spark, tmp_path):
+def test_daily_stream_counts_late_and_open_days(spark, tmp_path):
     source, out, checkpoint = (str(tmp_path / n) for n in ("in", "out", "checkpoint"))
 
     def run(times):
         df = spark.createDataFrame([(t, "success") for t in times], "t string, status string")
         df.select(F.col("t").cast("timestamp").alias("timestamp"), "status").coalesce(1).write.mode("append").parquet(source)
         stream = spark.readStream.schema("timestamp timestamp, status string").parquet(source)
-        (stream_daily_stats(stream).writeStream.outputMode("append").format("parquet").option("path", out)
-         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination())
+        stream_daily_stats(stream, out, checkpoint).awaitTermination()
 
     run(["2024-01-01 01:00", "2024-01-01 23:00", "2024-01-02 10:00", "2024-01-05 00:00"])
     run(["2024-01-01 05:00", "2024-01-09 00:00"])
-    got = spark.read.schema("date date, count long, success long").parquet(out).orderBy("date").collect()
-    assert [(str(r["date"]), r["count"]) for r in got] == [("2024-01-01", 2), ("2024-01-02", 1), ("2024-01-05", 1)]
+    got = read_daily_stats(spark, out).orderBy("date").collect()
+    assert [(str(r["date"]), r["count"]) for r in got] == [("2024-01-01", 3), ("2024-01-02", 1), ("2024-01-05", 1), ("2024-01-09", 1)]
 
 
 def test_every_query_has_a_twin():

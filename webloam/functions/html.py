@@ -20,13 +20,14 @@ from webloam.functions.text import UNI, WS, collapse_ws, let, strip
 
 # One token: comment, whole script or style element, tag, declaration, run of text, lone "<".
 # Inside a tag a quote opens a value only behind "=", so ">" in a value does not end the tag.
+# Outside of values a tag ends at the next "<" at the latest: one that is never closed is text, found out in linear time.
 TOKEN_RE = (
     r"(?is)<!--.*?(?:-->|\z)"
     r"|<script\b[^>]*>.*?(?:</script\s*>|\z)"
     r"|<style\b[^>]*>.*?(?:</style\s*>|\z)"
-    r"""|</?[a-z][^>=]*(?:=\s*(?:"[^"]*"|'[^']*')?[^>=]*)*+>"""
-    r"|</?[a-z][^>]*>"
-    r"|<![^>]*>"
+    r"""|</?[a-z][^<>=]*+(?:=\s*+(?:"[^"]*+"|'[^']*+')?[^<>=]*+)*+>"""
+    r"|</?[a-z][^<>]*+>"
+    r"|<![^<>]*+>"
     r"|[^<]+"
     r"|<"
 )
@@ -83,7 +84,7 @@ def tag_name(tok: Column) -> Column:
     """Lower-cased tag name, empty for text, comments and declarations."""
     return F.when(
         tok.startswith("<"),
-        F.translate(F.regexp_extract(F.left(tok, F.lit(64)), _TAG_NAME, 1), ascii_uppercase, ascii_lowercase)
+        F.translate(F.regexp_extract(tok, _TAG_NAME, 1), ascii_uppercase, ascii_lowercase)
     ).otherwise(F.lit(""))
 
 

@@ -14,12 +14,11 @@ from webloam.functions.html import attribute, decode_entities, elements, tag_nam
 from webloam.functions.text import UNI, WS, let, strip
 
 # Id parts of skipped sections, class and id parts of skipped paragraphs,
-# the length a text must exceed, the number of paragraphs kept per section.
+# the length a text must exceed.
 SKIPPED_SECTION_IDS = ("bibl", "coi", "ref")
 SKIPPED_CLASSES = ("figure", "caption", "download")
 SKIPPED_IDS = ("fig", "cap", "spar")
 MIN_TEXT = 50
-MAX_PARAGRAPHS = 5
 DEFAULT_ABSTRACT, DEFAULT_KEYWORDS = "Abstract", "Mots clés"
 HEADINGS = ("h2", "h3", "h4")
 
@@ -172,8 +171,7 @@ def body_sections(tree: Column, cuts: Column) -> Column:
                             & ~F.lower(x["cls"]).rlike("|".join(SKIPPED_CLASSES))
                             & ~x["id"].rlike("|".join(SKIPPED_IDS))))
                         texts = F.transform(own, lambda x: _text(txt, x, before, " "))
-                        return F.slice(F.array_distinct(F.filter(
-                            texts, lambda x: F.length(x) > MIN_TEXT)), 1, MAX_PARAGRAPHS)
+                        return F.array_distinct(F.filter(texts, lambda x: F.length(x) > MIN_TEXT))
 
                     title = let(head, lambda h: F.when(h.isNull(), F.lit("")).otherwise(
                         _text(txt, h, before, "")))

@@ -285,7 +285,7 @@ def http_status_class(code: Column) -> Column:
 
 
 # N22
-def truncate_chars(text: Column, n: int = 100_000) -> Column:
+def truncate_chars(text: Column, n: int) -> Column:
     """First n code points."""
     return F.substring(text, 1, n)
 

@@ -9,13 +9,14 @@ from __future__ import annotations
 import base64
 import binascii
 from datetime import datetime, timedelta, timezone
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from webloam.schemas import (
-    CONTENT_TYPES, EXPORT_CAP, PER_PAGE_DEFAULT, PER_PAGE_MAX, PER_PAGE_MIN, RETENTION_DAYS, STATUSES,
-    TIMEOUT_DEFAULT_MS, TIMEOUT_MAX_MS, TIMEOUT_MIN_MS, LogFilters,
+    CONTENT_TYPES, PER_PAGE_DEFAULT, PER_PAGE_MAX, PER_PAGE_MIN, RETENTION_DAYS, STATUSES,
+    TIMEOUT_DEFAULT_MS, TIMEOUT_MAX_MS, TIMEOUT_MIN_MS, LogFilters, utc_date, utc_day,
 )
 
 SUMMARY = ("id", "url", "timestamp", "duration_ms", "status", "content_type", "content_length", "http_status_code")
@@ -96,7 +97,7 @@ def daily_stats(logs: DataFrame, as_of: datetime, days: int = 7) -> DataFrame:
     """(date, count, success) of the last days, ascending; days without rows are absent."""
     recent = filter_logs(logs, LogFilters(date_from=as_of - timedelta(days=days)))
     return (
-        recent.groupBy(F.to_date("timestamp").alias("date"))
+        recent.groupBy(utc_day(F.col("timestamp")).alias("date"))
         .agg(F.count(F.lit(1)).alias("count"), _count_of("status", "success").alias("success"))
         .orderBy("date")
     )
@@ -115,7 +116,7 @@ def full_stats(logs: DataFrame, as_of: datetime, days: int = 7) -> DataFrame:
     most ``days`` + 2 partial rows for the second step.
     """
     cutoff = F.lit(as_of - timedelta(days=days))
-    day = F.when(F.col("timestamp") >= cutoff, F.to_date("timestamp"))
+    day = F.when(F.col("timestamp") >= cutoff, utc_day(F.col("timestamp")))
     sums = [f"{s}_count" for s in STATUSES] + [f"{t}_count" for t in CONTENT_TYPES]
     parts = logs.groupBy(day.alias("day")).agg(
         F.count(F.lit(1)).alias("n"),
@@ -193,7 +194,10 @@ def page_logs_keyset(logs: DataFrame, cursor: str | None = None, limit: int = 50
 
     One row more than asked for is fetched to learn whether there are more. A bad cursor
     is ignored. The key is (timestamp, id); its bound on ``timestamp`` is pushed to the scan.
+    ``limit`` is bounded as a page is, which also bounds the windows below.
     """
+    if not PER_PAGE_MIN <= limit <= PER_PAGE_MAX:
+        raise ValueError(f"limit must be within {PER_PAGE_MIN}..{PER_PAGE_MAX}")
     rows = filter_logs(logs, LogFilters(status=status, content_type=content_type))
     at = parse_cursor(cursor)
     if at is not None:
@@ -201,7 +205,7 @@ def page_logs_keyset(logs: DataFrame, cursor: str | None = None, limit: int = 50
         rows = rows.filter((F.col("timestamp") <= moment)
                            & ((F.col("timestamp") < moment) | (F.col("id") < last_id)))
         if "log_date" in logs.columns:
-            rows = rows.filter(F.col("log_date") <= F.to_date(moment))
+            rows = rows.filter(F.col("log_date") <= F.lit(utc_date(at[0])))
     top = summarize(rows).orderBy(*_newest_first()).limit(limit + 1)
     # At most limit + 1 rows are left, so the windows over all of them are small.
     ranked = top.withColumn("_rn", F.row_number().over(Window.orderBy(*_newest_first())))
@@ -220,17 +224,19 @@ def recent_logs(logs: DataFrame, n: int = 10) -> DataFrame:
 
 
 # T5
-def newest_rows(logs: DataFrame, filters: LogFilters | None = None, n: int = EXPORT_CAP) -> DataFrame:
-    """Whole rows of the newest ``n`` matches.
+def newest_rows(logs: DataFrame, filters: LogFilters | None = None, n: int | None = None) -> DataFrame:
+    """Whole rows of all matches, newest first, or of the newest ``n``; rows without a time come last.
 
-    The keys are found first, on narrow columns; the wide rows are then fetched by a join
-    with those at most ``n`` keys (a broadcast of fixed bound), which also prunes the days.
+    For ``n`` the keys are found first, on narrow columns, and the wide rows are then fetched by a join with those keys, NULL
+    keys included. Rows of equal keys at the end are cut to ``n``.
     """
+    rows = filter_logs(logs, filters)
+    if n is None:
+        return rows.orderBy(*_newest_first())
     keys = [c for c in ("log_date", "timestamp", "id") if c in logs.columns]
-    if n > EXPORT_CAP:
-        return filter_logs(logs, filters).orderBy(*_newest_first()).limit(n)
-    top = filter_logs(logs, filters).select(*keys).orderBy(*_newest_first()).limit(n)
-    return logs.join(F.broadcast(top), keys, "left_semi").orderBy(*_newest_first())
+    top = rows.select(*[F.col(c).alias(f"_{c}") for c in keys]).orderBy(F.desc("_timestamp"), F.desc("_id")).limit(n)
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in keys]
+    return rows.join(top, reduce(lambda a, b: a & b, same), "left_semi").orderBy(*_newest_first()).limit(n)
 
 
 def _removed(logs: DataFrame, gone: Column) -> DataFrame:

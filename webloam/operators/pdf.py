@@ -6,19 +6,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from webloam.functions.text import clean_pdf_text, let, parse_pdf_date, strip
-from webloam.schemas import MAX_PDF_MB
 
 _MB = 1024 * 1024
 
 
 # P1
-def pdf_size_error(file_size: Column, max_mb: int = MAX_PDF_MB) -> Column:
-    """Error text for a file above the limit, else NULL."""
+def pdf_size_error(file_size: Column, max_mb: int | None) -> Column:
+    """Error text for a file above the limit, else NULL; without a limit always NULL."""
+    if max_mb is None:
+        return F.lit(None).cast("string")
     return F.when(file_size > max_mb * _MB, F.concat(
         F.lit("PDF too large: "), F.format_string("%.1f", file_size / F.lit(float(_MB))), F.lit(f"MB (max: {max_mb}MB)")))
 
 
-def pdf_size_gate(pdfs: DataFrame, max_mb: int = MAX_PDF_MB) -> DataFrame:
+def pdf_size_gate(pdfs: DataFrame, max_mb: int) -> DataFrame:
     """(doc_id, file_size, success, error) per file row."""
     error = pdf_size_error(F.col("file_size"), max_mb)
     return pdfs.withColumn("error", error).withColumn("success", F.col("error").isNull())
@@ -56,13 +57,15 @@ def assembled_text(info: Column, pages: Column) -> Column:
 
 
 # P3
-def assemble_pdf_markdown(pdf_pages: DataFrame, max_mb: int = MAX_PDF_MB) -> DataFrame:
+def assemble_pdf_markdown(pdf_pages: DataFrame, max_mb: int | None = None) -> DataFrame:
     """(doc_id, url, info, markdown, error): one row per file.
 
-    Texts of files above the size limit are dropped before the grouping: a group, which
-    becomes one document, is bounded by the limit on its file.
+    All pages of a file are kept unless the caller gives a limit on files. Texts that will not be written, those of files above
+    the limit or with ``fetch_error``, are left out before the grouping, so a group holds what its document will.
     """
     error = pdf_size_error(F.col("file_size"), max_mb)
+    if "fetch_error" in pdf_pages.columns:
+        error = F.coalesce(F.col("fetch_error"), error)
     page = F.when(error.isNull(), F.struct(F.col("page_num").alias("page_num"), F.col("text").alias("text")))
     extras = {c: F.max(c).alias(c) for c in ("fetch_error", "duration_ms") if c in pdf_pages.columns}
     grouped = pdf_pages.groupBy("doc_id").agg(
@@ -79,7 +82,7 @@ def assemble_pdf_markdown(pdf_pages: DataFrame, max_mb: int = MAX_PDF_MB) -> Dat
 
 
 # P4
-def pdf_results(pdf_pages: DataFrame, max_mb: int = MAX_PDF_MB) -> DataFrame:
+def pdf_results(pdf_pages: DataFrame, max_mb: int | None = None) -> DataFrame:
     """Result columns of the PDF branch: 200 on success, NULL status otherwise."""
     docs = assemble_pdf_markdown(pdf_pages, max_mb)
     ok = F.col("error").isNull()

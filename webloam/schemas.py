@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
-from datetime import datetime
+from datetime import date, datetime, timezone
 from functools import reduce
 
 from pyspark.sql import Column
@@ -104,14 +104,12 @@ JSON_FIELDS = {
     "ssl_info": "struct<valid:boolean,issuer:string,expires:string>",
 }
 
-# The allowed states of a log row, the numeric limits, the export cap.
+# The allowed states of a log row, the numeric limits.
 STATUSES = ("success", "error", "timeout")
 CONTENT_TYPES = ("html", "pdf", "spa")
 TIMEOUT_MIN_MS, TIMEOUT_DEFAULT_MS, TIMEOUT_MAX_MS = 1_000, 30_000, 120_000
 PER_PAGE_MIN, PER_PAGE_DEFAULT, PER_PAGE_MAX = 10, 20, 100
-EXPORT_CAP = 10_000
 RETENTION_DAYS = 30
-MAX_PDF_MB = 50
 MAX_ATTEMPTS = 3
 
 
@@ -129,8 +127,17 @@ class PipelineConfig:
     min_words: int = 10
     max_loss: float = 10.0
     min_answer_chars: int = 100
-    max_prompt_chars: int = 100_000
-    max_pdf_mb: int = MAX_PDF_MB
+    max_pdf_mb: int | None = None
+
+
+def utc_day(timestamp: Column) -> Column:
+    """The UTC day of an instant, whatever the session's time zone."""
+    return F.date_from_unix_date(F.floor(F.unix_micros(timestamp) / 86_400_000_000).cast("int"))
+
+
+def utc_date(moment: datetime) -> date:
+    """The UTC day of a moment; one without a time zone is local, as Spark takes it."""
+    return moment.astimezone(timezone.utc).date()
 
 
 def like_anywhere(column: Column, needle: str) -> Column:
@@ -169,7 +176,7 @@ class LogFilters:
         """The date bounds restated on the partition column, so that whole days are pruned."""
         parts = []
         if self.date_from:
-            parts.append(F.col(day) >= F.to_date(F.lit(self.date_from)))
+            parts.append(F.col(day) >= F.lit(utc_date(self.date_from)))
         if self.date_to:
-            parts.append(F.col(day) <= F.to_date(F.lit(self.date_to)))
+            parts.append(F.col(day) <= F.lit(utc_date(self.date_to)))
         return reduce(lambda a, b: a & b, parts, F.lit(True))

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from webloam.functions.text import from_json_field, let, url_path
 from webloam.operators.audit import count_logs, delete_log, filter_logs, newest_rows
-from webloam.schemas import EXPORT_CAP, JSON_FIELDS, LOG, RETENTION_DAYS, LogFilters
+from webloam.schemas import JSON_FIELDS, LOG, RETENTION_DAYS, LogFilters, utc_day
 from webloam.sources.pages import conform
 
 # On disk the JSON columns are text and the day is the partition column.
@@ -34,13 +34,14 @@ def prepare_logs(df: DataFrame, now: datetime | None = None) -> DataFrame:
     return (
         full.withColumn("id", F.coalesce("id", F.uuid()))
         .withColumn("timestamp", F.coalesce(F.col("timestamp"), moment))
-        .withColumn("log_date", F.to_date("timestamp"))
+        .withColumn("log_date", utc_day(F.col("timestamp")))
     )
 
 
 # S3
 def append_logs(df: DataFrame, path: str, now: datetime | None = None) -> None:
-    prepare_logs(df, now).write.mode("append").partitionBy("log_date").parquet(path)
+    """Rows are rebalanced by day before they are written: a day has few files, and a hot one is split."""
+    prepare_logs(df, now).hint("rebalance", "log_date").write.mode("append").partitionBy("log_date").parquet(path)
 
 
 def read_log_files(spark: SparkSession, path: str) -> DataFrame:
@@ -66,23 +67,24 @@ CSV_COLUMNS = {
 
 
 # S5
-def csv_rows(logs: DataFrame, filters: LogFilters | None = None, cap: int = EXPORT_CAP) -> DataFrame:
-    """The 11 export columns of the newest matches."""
+def csv_rows(logs: DataFrame, filters: LogFilters | None = None, cap: int | None = None) -> DataFrame:
+    """The 11 export columns of all matches, newest first; of the newest ``cap`` where the caller gives one."""
     narrow = filter_logs(logs, filters).select(*CSV_COLUMNS)
-    top = narrow.orderBy(F.desc("timestamp"), F.desc("id")).limit(cap)
+    top = narrow.orderBy(F.desc("timestamp"), F.desc("id"))
+    top = top if cap is None else top.limit(cap)
     return top.select(*[F.col(c).alias(name) for c, name in CSV_COLUMNS.items()])
 
 
-def export_csv(logs: DataFrame, path: str, filters: LogFilters | None = None) -> None:
-    """One CSV file with a header, NULL as empty; the export is capped, so one file is small."""
-    (csv_rows(logs, filters).coalesce(1).write.mode("overwrite").option("header", True)
+def export_csv(logs: DataFrame, path: str, filters: LogFilters | None = None, cap: int | None = None) -> None:
+    """CSV files with a header each, NULL as empty; file after file in the order of the rows."""
+    (csv_rows(logs, filters, cap).write.mode("overwrite").option("header", True)
      .option("emptyValue", "").option("nullValue", "").csv(path))
 
 
 # S6
 def json_rows(logs: DataFrame, filters: LogFilters | None = None, include_content: bool = False,
-              cap: int = EXPORT_CAP) -> DataFrame:
-    """The newest matches, without the content unless asked for (then it is never read)."""
+              cap: int | None = None) -> DataFrame:
+    """All matches, newest first, or the newest ``cap``, without the content unless asked for (then it is never read)."""
     return newest_rows(logs if include_content else logs.drop("markdown_content"), filters, cap)
 
 
@@ -96,10 +98,10 @@ def json_manifest(logs: DataFrame, filters: LogFilters | None, exported_at: date
 
 
 def export_json(logs: DataFrame, path: str, exported_at: datetime, filters: LogFilters | None = None,
-                include_content: bool = False) -> None:
+                include_content: bool = False, cap: int | None = None) -> None:
     """``<path>/manifest`` and ``<path>/logs``, JSON lines."""
     json_manifest(logs, filters, exported_at).coalesce(1).write.mode("overwrite").json(f"{path}/manifest")
-    json_rows(logs, filters, include_content).write.mode("overwrite").json(f"{path}/logs")
+    json_rows(logs, filters, include_content, cap).write.mode("overwrite").json(f"{path}/logs")
 
 
 # S7

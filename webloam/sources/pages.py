@@ -22,19 +22,6 @@ def _read(spark: SparkSession, path: str, fmt: str, schema: T.StructType) -> Dat
     return spark.read.schema(schema).format(fmt).load(path)
 
 
-def spread_small(df: DataFrame, path: str, bytes_per_core: int = 4 * 1024 * 1024) -> DataFrame:
-    """Rows over all cores when the files are so small that most cores would stay idle.
-
-    The size of the files is looked up first: only an input of a few megabytes per core is
-    moved, a large one is read as it is split.
-    """
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    size = hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(hadoop_path).getLength()
-    return df.repartition(cores) if size < cores * bytes_per_core else df
-
-
 # S1
 def read_pages(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
     return _read(spark, path, fmt, PAGES)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
 from webloam.plans.batch import run_batch, to_log_row
-from webloam.schemas import PAGES, PipelineConfig
+from webloam.schemas import PAGES, PipelineConfig, utc_day
 from webloam.sources.logs import prepare_logs
 
 
@@ -35,12 +35,21 @@ def stream_pages_to_logs(spark: SparkSession, source: str, out: str, checkpoint:
 
 
 # X2
-def stream_daily_stats(logs: DataFrame, delay: str = "1 day") -> DataFrame:
-    """(date, count, success) per UTC day over a stream of logs; rows later than ``delay`` are dropped."""
-    return (
-        logs.withWatermark("timestamp", delay)
-        .groupBy(F.window("timestamp", "1 day").alias("w"))
-        .agg(F.count(F.lit(1)).alias("count"),
-             F.count_if(F.coalesce(F.col("status") == "success", F.lit(False))).alias("success"))
-        .select(F.to_date("w.start").alias("date"), "count", "success")
-    )
+def stream_daily_stats(logs: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
+    """Count a stream of logs by UTC day; ``read_daily_stats`` has all days seen so far, open ones included.
+
+    Each micro-batch leaves its own counts in ``batch_id=<n>``, a row a day, and replaces them when it is run again. Late rows
+    count as any others.
+    """
+    def write(batch: DataFrame, batch_id: int) -> None:
+        (batch.groupBy(utc_day(F.col("timestamp")).alias("date"))
+         .agg(F.count(F.lit(1)).alias("count"), F.count_if(F.coalesce(F.col("status") == "success", F.lit(False))).alias("success"))
+         .write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}"))
+
+    return logs.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def read_daily_stats(spark: SparkSession, out: str) -> DataFrame:
+    """(date, count, success) of all days, out of the counts that the batches left."""
+    parts = spark.read.schema("date date, count long, success long, batch_id long").parquet(out)
+    return parts.groupBy("date").agg(F.sum("count").alias("count"), F.sum("success").alias("success"))
