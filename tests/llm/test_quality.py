@@ -5,7 +5,7 @@ import random
 from collections import Counter, defaultdict
 
 from tests.llm.helpers import PROSE, no_documents, odd_documents
-from webloam.llm import fertility, kneser_ney
+from webloam.llm import common, fertility, kneser_ney
 
 
 def repeats(words, size=5):
@@ -78,7 +78,7 @@ def model(texts, order, n_symbols):
 
 
 def test_perplexities_equal_the_formulas(spark, monkeypatch):
-    monkeypatch.setattr(kneser_ney, "BLOCK_CHARS", 600)  # many blocks
+    monkeypatch.setattr(common, "BLOCK_CHARS", 600)  # many blocks
     rng = random.Random(5)
     vocabulary = PROSE.split()
     docs = [(k, " ".join(rng.choice(vocabulary) for _ in range(rng.randint(1, 30))), "en") for k in range(60)] + [(60, None, "en"), (61, "Ünïcode 漢字", "en"), (62, "no model", "xx")]

@@ -5,9 +5,17 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+
+
+#: Characters of documents that make a block, about.
+BLOCK_CHARS = 16 << 20
+#: Blocks whose answers lie in one folder.
+SHELF = 64
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -49,5 +57,99 @@ def with_running(df: DataFrame, order: list[str], sums: list[str], name: str) ->
     )
 
 
-def words_of(text: Column) -> Column:
-    return F.coalesce(text.cast("string"), F.lit(""))
+def blocks(rows: Iterator, size_of) -> Iterator:
+    """(block, rows): whole rows of a partition, about BLOCK_CHARS characters together. rows: tuples that begin with an id.
+
+    A block's number follows from the ids and lengths of its rows, so passes over the same partitions agree on it.
+    """
+    import xxhash
+
+    def number(held):
+        return xxhash.xxh64_intdigest(repr([(r[0], size_of(r)) for r in held])) >> 1
+
+    held, size = [], 0
+    for row in rows:
+        held.append(row)
+        size += size_of(row)
+        if size >= BLOCK_CHARS:
+            yield number(held), held
+            held, size = [], 0
+    if held:
+        yield number(held), held
+
+
+def tuples(batches: Iterator) -> Iterator:
+    for batch in batches:
+        yield from zip(*[c.to_pylist() for c in batch.columns])
+
+
+def put_by_block(rows: DataFrame, shelves: int, name: str) -> str:
+    """Write rows (with a column block) so that a task finds those of its block by reading part of one folder."""
+    path = fresh_path(rows.sparkSession, name)
+    rows.withColumn("shelf", F.pmod("block", F.lit(shelves))).repartition("shelf").sortWithinPartitions("shelf", "block") \
+        .write.partitionBy("shelf").parquet(path)
+    return path
+
+
+def of_block(path: str, shelves: int, block: int, columns: list[str]):
+    """The rows of a block, as an Arrow table; none where the block has none."""
+    import pyarrow.dataset as ds
+    from pyarrow import fs
+
+    system, root = fs.FileSystem.from_uri(path)
+    folder = f"{root}/shelf={block % shelves}"
+    if system.get_file_info(folder).type == fs.FileType.NotFound:
+        return None
+    return ds.dataset(folder, filesystem=system, format="parquet").to_table(columns=columns, filter=ds.field("block") == block)
+
+
+def block_of(texts: DataFrame) -> DataFrame:
+    """``id`` and ``block`` of rows (id, text, ...); only ids and lengths of texts leave the scan."""
+    kind, id_type = dict(texts.dtypes)["id"], to_arrow_type(texts.schema["id"].dataType)
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for block, held in blocks(tuples(batches), lambda r: r[1]):
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in held], id_type), pa.array([block] * len(held), pa.int64())], ["id", "block"])
+
+    return texts.select("id", F.length("text").cast("long").alias("n")).mapInArrow(run, f"id {kind}, block long")
+
+
+def without(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Rows of docs but those whose id is in ``gone`` (its column ``id_col``), with the same columns. A NULL id is never in it.
+
+    Ids to leave out are sorted to the blocks of their documents, and each task reads those of its blocks: documents are read
+    twice and not shuffled, however many ids there are.
+    """
+    texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    placed = settled(block_of(texts), "placed")
+    ids = gone.select(F.col(id_col).alias("id")).dropna().distinct()
+    shelves = max(1, placed.agg(F.count_distinct("block")).first()[0] // SHELF)
+    path = put_by_block(placed.join(ids, "id").select("block", "id").distinct(), shelves, "gone")
+    id_at, text_at = docs.columns.index(id_col), docs.columns.index(text_col)
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        def rows():
+            for batch in batches:
+                sizes = pc.fill_null(pc.utf8_length(batch.column(text_at)), 0).to_pylist()
+                for k, (i, n) in enumerate(zip(batch.column(id_at).to_pylist(), sizes)):
+                    yield i, n, batch, k
+
+        for block, held in blocks(rows(), lambda r: r[1]):
+            named = of_block(path, shelves, block, ["id"])
+            ids = set(named["id"].to_pylist()) if named is not None else ()
+            at = 0
+            while at < len(held):  # the block's rows of one batch follow each other
+                batch, first, to = held[at][2], held[at][3], at
+                while to < len(held) and held[to][2] is batch:
+                    to += 1
+                kept = batch.slice(first, to - at).filter(pa.array([r[0] not in ids for r in held[at:to]], pa.bool_()))
+                if kept.num_rows:
+                    yield kept
+                at = to
+
+    return docs.mapInArrow(run, docs.schema)

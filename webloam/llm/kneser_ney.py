@@ -13,17 +13,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from webloam.llm.common import fresh_path, settled
+from webloam.llm.common import SHELF, block_of, blocks, of_block, put_by_block, settled, tuples
 
 ORDER = 4
 #: Bits of a symbol. Code points below half the symbols' number stand for themselves, others share the upper half.
 BITS = 12
 SYMBOLS = 1 << BITS
 START, END = 0, 1
-#: Characters of documents that make a block, about.
-BLOCK_CHARS = 16 << 20
-#: Blocks whose answers lie in one folder.
-SHELF = 64
 #: One trusted text in so many is held out of training, for the thresholds.
 FOLDS = 5
 SALTS = 64
@@ -55,52 +51,6 @@ def grams(texts: list[str]):
     return key[own], sizes - (ORDER - 1)
 
 
-def blocks(rows: Iterator, size_of) -> Iterator:
-    """(block, rows): whole rows of a partition, about BLOCK_CHARS characters together. rows: tuples that begin with an id.
-
-    A block's number follows from the ids and lengths of its rows, so passes over the same partitions agree on it.
-    """
-    import xxhash
-
-    def number(held):
-        return xxhash.xxh64_intdigest(repr([(r[0], size_of(r)) for r in held])) >> 1
-
-    held, size = [], 0
-    for row in rows:
-        held.append(row)
-        size += size_of(row)
-        if size >= BLOCK_CHARS:
-            yield number(held), held
-            held, size = [], 0
-    if held:
-        yield number(held), held
-
-
-def tuples(batches: Iterator) -> Iterator:
-    for batch in batches:
-        yield from zip(*[c.to_pylist() for c in batch.columns])
-
-
-def put_by_block(rows: DataFrame, shelves: int, name: str) -> str:
-    """Write rows (with a column block) so that a task finds those of its block by reading part of one folder."""
-    path = fresh_path(rows.sparkSession, name)
-    rows.withColumn("shelf", F.pmod("block", F.lit(shelves))).repartition("shelf").sortWithinPartitions("shelf", "block") \
-        .write.partitionBy("shelf").parquet(path)
-    return path
-
-
-def of_block(path: str, shelves: int, block: int, columns: list[str]):
-    """The rows of a block, as an Arrow table; none where the block has none."""
-    import pyarrow.dataset as ds
-    from pyarrow import fs
-
-    system, root = fs.FileSystem.from_uri(path)
-    folder = f"{root}/shelf={block % shelves}"
-    if system.get_file_info(folder).type == fs.FileType.NotFound:
-        return None
-    return ds.dataset(folder, filesystem=system, format="parquet").to_table(columns=columns, filter=ds.field("block") == block)
-
-
 def by_language(held: list[tuple]) -> Iterator:
     """(lang, its rows) of a block of rows (id, text, lang)."""
     places: dict[str, list[tuple]] = {}
@@ -109,20 +59,6 @@ def by_language(held: list[tuple]) -> Iterator:
     return iter(places.items())
 
 
-def block_of(texts: DataFrame) -> DataFrame:
-    """``id`` and ``block`` of rows (id, text, lang); only lengths of texts leave the scan."""
-    kind = dict(texts.dtypes)["id"]
-
-    def run(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
-        for block, held in blocks(tuples(batches), lambda r: r[1]):
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in held], batch_type), pa.array([block] * len(held))], ["id", "block"])
-
-    batch_type = to_arrow_type(texts.schema["id"].dataType)
-    return texts.select("id", F.length("text").cast("long").alias("n")).mapInArrow(run, f"id {kind}, block long")
-
-
 def counted(texts: DataFrame, marks: str, shelves: int) -> DataFrame:
     """For each block: every n-gram of its documents by language, once, with its count in texts that train (0 where none has it)."""
     def run(batches: Iterator) -> Iterator:

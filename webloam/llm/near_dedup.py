@@ -8,7 +8,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from webloam.llm.common import settled
+from webloam.llm.common import SHELF, blocks, of_block, put_by_block, settled, tuples
 from webloam.llm.components import components
 from webloam.llm.tokens import Memo
 
@@ -182,21 +182,26 @@ def similarity(a_keys, a_weights, b_keys, b_weights) -> float:
     return float(shared / whole) if whole else 0.0
 
 
-def vectors(texts: DataFrame, idf) -> DataFrame:
-    """``node``, its shingles' hashes (sorted, 32 bits) and weights, for rows of (node, text)."""
+def vectors(texts: DataFrame, idf, wanted: str, shelves: int) -> DataFrame:
+    """``node``, its shingles' hashes (sorted, 32 bits) and weights, for those rows (id, text) of each block that ``wanted`` names."""
     def run(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
         memo, table = word_memo(), idf.astype(np.float64)
-        for part in parts(batches):
-            text, key, weight = shingles(part.column(1).to_pylist(), memo, table)
-            short = (key >> np.uint64(32)).astype(np.int64)
-            order = np.lexsort((short, text))
-            ends = np.searchsorted(text[order], np.arange(part.num_rows + 1)).astype(np.int32)
-            lists = [pa.ListArray.from_arrays(pa.array(ends), x) for x in (
-                pa.array(short[order].astype(np.uint32).view(np.int32)), pa.array(weight[order].astype(np.float32)))]
-            yield pa.RecordBatch.from_arrays([part.column(0), *lists], ["node", "keys", "weights"])
+        for block, held in blocks(tuples(batches), lambda r: len(r[1])):
+            named = of_block(wanted, shelves, block, ["node"])
+            ids = set(named["node"].to_pylist()) if named is not None else ()
+            own = [r for r in held if r[0] in ids]
+            for at in range(0, len(own), BATCH):
+                some = own[at:at + BATCH]
+                text, key, weight = shingles([r[1] for r in some], memo, table)
+                short = (key >> np.uint64(32)).astype(np.int64)
+                order = np.lexsort((short, text))
+                ends = np.searchsorted(text[order], np.arange(len(some) + 1)).astype(np.int32)
+                lists = [pa.ListArray.from_arrays(pa.array(ends), x) for x in (
+                    pa.array(short[order].astype(np.uint32).view(np.int32)), pa.array(weight[order].astype(np.float32)))]
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in some], pa.int64()), *lists], ["node", "keys", "weights"])
 
     return texts.mapInArrow(run, "node long, keys array<int>, weights array<float>")
 
@@ -270,6 +275,7 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     similarity is 0.8 or more; classes are the connected components of links and equal texts. NULL texts are empty, and equal
     to each other; texts without words are linked to none. Other columns are ignored, an empty table gives no rows.
 
+    Documents are read three times and never shuffled; rows must lie in the same partitions each time, as those of files do.
     Equal texts are one node. Of each band's bucket, first the member with the most company is compared with all others, twice, which
     settles groups around a centre in linear work; members of buckets that then still hold several components are compared in
     blocks, so no link is lost and no pairs are put out.
@@ -278,27 +284,37 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     idf = inverse_frequencies(texts.select("text"))
 
     def sign(batches: Iterator) -> Iterator:
+        import hashlib
+
         import numpy as np
         import pyarrow as pa
 
         memo, table, sampler = word_memo(), idf.astype(np.float64), Sampler()
-        for part in parts(batches):
-            text, key, weight = shingles(part.column(2).to_pylist(), memo, table)
-            known, starts = np.unique(text, return_index=True)
-            bands = sampler.bands(starts, key, weight) if len(known) else np.empty((0, BANDS), np.int64)
-            ends = np.concatenate([[0], np.cumsum(np.isin(np.arange(part.num_rows), known) * BANDS)]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [part.column(0), part.column(1), pa.ListArray.from_arrays(pa.array(ends), pa.array(bands.ravel()))], ["id", "same", "bands"])
-
-    signed = settled(texts.select("id", F.md5("text").alias("same"), "text").mapInArrow(sign, "id long, same string, bands array<long>"), "signed")
+        for block, held in blocks(tuples(batches), lambda r: len(r[1])):
+            for at in range(0, len(held), BATCH):
+                some = held[at:at + BATCH]
+                text, key, weight = shingles([r[1] for r in some], memo, table)
+                known, starts = np.unique(text, return_index=True)
+                bands = sampler.bands(starts, key, weight) if len(known) else np.empty((0, BANDS), np.int64)
+                ends = np.concatenate([[0], np.cumsum(np.isin(np.arange(len(some)), known) * BANDS)]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([r[0] for r in some], pa.int64()), pa.array([hashlib.md5(r[1].encode()).digest() for r in some], pa.binary()),
+                     pa.array([block] * len(some), pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(bands.ravel()))],
+                    ["id", "same", "block", "bands"])
+
+    signed = settled(texts.mapInArrow(sign, "id long, same binary, block long, bands array<long>"), "signed")
     firsts = signed.groupBy("same").agg(F.min("id").alias("node"))
-    nodes = signed.join(firsts, (signed.same == firsts.same) & (signed.id == firsts.node), "left_semi").select(F.col("id").alias("node"), "bands").distinct()
+    nodes = signed.join(firsts, (signed.same == firsts.same) & (signed.id == firsts.node), "left_semi").select(
+        F.col("id").alias("node"), "block", "bands").dropDuplicates(["node"])
     banded = nodes.select("node", F.explode("bands").alias("key"))
     shared = banded.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     members = settled(banded.join(shared, "key"), "members")
-    wanted = members.select("node").distinct()
-    some = texts.join(wanted, F.col("id") == F.col("node"), "left_semi").select(F.col("id").alias("node"), "text")
-    vecs = settled(vectors(some, idf).dropDuplicates(["node"]), "vectors")
+    # only texts that share a bucket with another are compared; their blocks are told which, so that no text is shuffled
+    wanted = settled(members.select("node").distinct().join(nodes.select("node", "block"), "node"), "wanted")
+    shelves = max(1, signed.agg(F.count_distinct("block")).first()[0] // SHELF)
+    vecs = settled(vectors(texts, idf, put_by_block(wanted.select("block", "node"), shelves, "named"), shelves).dropDuplicates(["node"]), "vectors")
+    if vecs.count() != wanted.count():
+        raise RuntimeError("two passes over the documents disagree; settle them first")
     company = members.groupBy("node").agg(F.sum("n").alias("_company"))
     left = settled(members.select("key", "node").join(company, "node"), "left")
     links, roots = None, None
