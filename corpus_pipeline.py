@@ -10,13 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from webloam.llm import decontaminate, fertility, kneser_ney, near_dedup, packing
-from webloam.llm.common import settled
-
-
-def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """Documents but those whose id is in ``gone`` (doc_id). A NULL id is never in it."""
-    ids = gone.select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(ids, F.col("doc_id") == F.col("_gone"), "left_anti")
+from webloam.llm.common import settled, without
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,11 +26,13 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of near copies, the document of the least id, once. Documents without an id stay."""
-    classes = near_dedup.near_classes(docs.filter("doc_id IS NOT NULL"))
-    rest = without(docs, classes.filter("doc_id <> class_id"))
-    again = classes.filter("doc_id = class_id").groupBy("doc_id").count().filter("count > 1")
+    classes = settled(near_dedup.near_classes(docs.filter("doc_id IS NOT NULL")), "classes")
+    again = classes.filter("doc_id = class_id").groupBy("doc_id").count().filter("count > 1").select("doc_id")
+    gone = classes.filter("doc_id <> class_id").select("doc_id")
+    if again.isEmpty():
+        return without(docs, gone)
     repeated = docs.join(again.select(F.col("doc_id").alias("_again")), F.col("doc_id") == F.col("_again"), "left_semi").dropDuplicates(["doc_id"])
-    return without(rest, again).unionByName(repeated)
+    return without(docs, gone.unionByName(again)).unionByName(repeated)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
