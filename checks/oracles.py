@@ -182,6 +182,12 @@ _PHRASE = rf"""WITH {DOC_LOGS} SELECT id FROM (SELECT id, {fold('url')} AS fu, {
   WHERE {both('of[^' + chr(92) + 'p{L}' + chr(92) + 'p{N}]+the')}"""
 SQL["j1_search_phrase"] = _PHRASE
 SQL["j3_search_postings"] = _PHRASE
+SQL["j3_search_postings_prefix"] = rf"""WITH {DOC_LOGS} SELECT id FROM (SELECT id, {fold('url')} AS fu, {fold('markdown_content')} AS fm FROM doc_logs)
+  WHERE {both('of[^' + chr(92) + 'p{L}' + chr(92) + 'p{N}]+th', True)} AND ({both('que')} OR {both('with')})"""
+_FOUND = (f"(SELECT *, {fold('markdown_content')} AS fm FROM logs) WHERE "
+          + has_word("fm", "of[^" + chr(92) + "p{L}" + chr(92) + "p{N}]+the", False))
+logs_sql("t1_page_logs_search", f"SELECT {SUMMARY} FROM {_FOUND} AND status = 'success' {NEWEST} LIMIT 50 OFFSET 50")
+logs_sql("g4_count_search", f"SELECT count(*) AS total FROM {_FOUND}")
 logs_sql("j2_search_logs_like", "SELECT id, url FROM logs WHERE content_type = 'spa' AND (url ILIKE '%Thing%the%' OR markdown_content ILIKE '%Thing%the%')")
 _POSTINGS = rf"""WITH {DOC_LOGS}, f AS (SELECT id, 'url' AS field, url AS text FROM doc_logs UNION ALL SELECT id, 'markdown', markdown_content FROM doc_logs),
   w AS (SELECT f.id, f.field, t.term, t.n - 1 AS pos FROM f, unnest(regexp_extract_all({fold('f.text')}, '[\p{{L}}\p{{N}}]+')) WITH ORDINALITY AS t(term, n))

@@ -237,6 +237,12 @@ def _(spark, d):
     return J.search_with_postings(logs, J.build_postings(logs), PHRASE).select("id")
 
 
+@query("j3_search_postings_prefix")
+def _(spark, d):
+    logs = V.doc_logs(spark, d)
+    return J.search_with_postings(logs, J.build_postings(logs), J.Terms(prefix="of th", any_of=("que", "with"))).select("id")
+
+
 @query("j4_maintain_postings")
 def _(spark, d):
     logs_path, postings_path = V.scratch(spark, "logs"), V.scratch(spark, "postings")
@@ -308,6 +314,16 @@ def _(spark, d):
     return summary(A.page_logs(V.logs(spark, d), 3, 50, LogFilters(status="success")))
 
 
+@query("t1_page_logs_search")
+def _(spark, d):
+    return summary(A.page_logs(V.logs(spark, d), 2, 50, LogFilters(status="success", matching=J.match(J.Terms(phrase="of the", field="markdown")))))
+
+
+@query("g4_count_search")
+def _(spark, d):
+    return A.count_logs(V.logs(spark, d), LogFilters(matching=J.match(J.Terms(phrase="of the", field="markdown"))))
+
+
 @query("t1_page_meta")
 def _(spark, d):
     return A.page_meta(V.logs(spark, d), 3, 50, LogFilters(status="success"))

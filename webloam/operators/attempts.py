@@ -11,9 +11,11 @@ from webloam.schemas import MAX_ATTEMPTS
 
 
 # W2
-def resolve_attempts(attempts: DataFrame, max_attempts: int = MAX_ATTEMPTS) -> DataFrame:
+def resolve_attempts(attempts: DataFrame, max_attempts: int = MAX_ATTEMPTS, run_key: tuple[str, ...] = ()) -> DataFrame:
     """(url, success, error, attempts, retry_count) from (url, attempt, success, error, kind, restarted).
 
+    ``run_key`` names the columns that tell several runs of one URL apart; they stand before the result's others.
+
     The first success or final error ends the run; later attempts and attempts beyond the
     limit count for nothing. Only ``max_attempts`` slots per URL are aggregated, each with a
     map-side maximum, so a URL with very many rows is no hot group. A run whose log ends
@@ -26,7 +28,7 @@ def resolve_attempts(attempts: DataFrame, max_attempts: int = MAX_ATTEMPTS) -> D
     lost = F.coalesce(crashed & ~F.coalesce(F.col("restarted"), F.lit(False)), F.lit(False))
     slot = F.struct(F.col("attempt").alias("attempt"), F.coalesce(F.col("success"), F.lit(False)).alias("success"),
                     error.alias("error"), again.alias("again"), lost.alias("lost"))
-    slots = attempts.filter(F.col("attempt").between(1, max_attempts)).groupBy("url").agg(
+    slots = attempts.filter(F.col("attempt").between(1, max_attempts)).groupBy(*run_key, "url").agg(
         *[F.max(F.when(F.col("attempt") == k, slot)).alias(f"a{k}") for k in range(1, max_attempts + 1)])
 
     def resolve(run: Column) -> Column:
@@ -47,4 +49,4 @@ def resolve_attempts(attempts: DataFrame, max_attempts: int = MAX_ATTEMPTS) -> D
         return let(stop, final)
 
     run = F.array_compact(F.array(*[F.col(f"a{k}") for k in range(1, max_attempts + 1)]))
-    return slots.select("url", let(run, resolve).alias("r")).select("url", "r.*")
+    return slots.select(*run_key, "url", let(run, resolve).alias("r")).select(*run_key, "url", "r.*")

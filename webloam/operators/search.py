@@ -89,27 +89,38 @@ def search_logs_like(logs: DataFrame, query: str, filters: LogFilters | None = N
 def build_postings(logs: DataFrame) -> DataFrame:
     """(field, term, id, positions[, log_date]): inverted index over url and markdown.
 
-    All positions of a term in a log come out of one row, so the partial aggregation
-    already finishes every group and only finished postings are exchanged.
+    All positions of a term in a log come out of one row: its words are sorted with their places and cut where the word
+    changes, so finished postings leave the row and nothing is exchanged.
     """
     day = ["log_date"] if "log_date" in logs.columns else []
     fields = F.array(*[
         F.struct(F.lit(name).alias("field"), F.coalesce(F.col(c), F.lit("")).alias("text")) for name, c in FIELDS.items()])
-    words = (
+
+    def postings(words: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(1), F.size(words)), lambda i: (i == 1) | (F.get(words, i - 1)["w"] != F.get(words, i - 2)["w"]))
+        return F.when(F.size(words) > 0, let(starts, lambda ss: F.transform(ss, lambda s, k: F.struct(
+            F.get(words, s - 1)["w"].alias("term"),
+            F.transform(F.slice(words, s, F.coalesce(F.get(ss, k + 1), F.size(words) + 1) - s), lambda x: x["i"]).alias("positions")))))
+
+    placed = lambda text: F.array_sort(F.transform(search_tokens(text), lambda w, i: F.struct(w.alias("w"), i.alias("i"))))
+    return (
         logs.select("id", *day, F.explode(fields).alias("f"))
-        .select("id", *day, F.col("f.field").alias("field"), search_tokens(F.col("f.text")).alias("w"))
-        .select("id", *day, "field", F.posexplode_outer("w").alias("pos", "term"))
-        .filter(F.col("term").isNotNull())
+        .select("id", *day, F.col("f.field").alias("field"), F.explode_outer(let(placed(F.col("f.text")), postings)).alias("p"))
+        .filter(F.col("p").isNotNull())
+        .select("field", "p.term", "id", *day, "p.positions")
     )
-    return words.groupBy("field", "term", "id", *day).agg(
-        F.sort_array(F.collect_list("pos")).alias("positions"))
+
+
+def _moved(places: Column, back: int) -> Column:
+    return F.transform(places, lambda p: p - back)
 
 
 def search_postings(postings: DataFrame, terms: Terms) -> DataFrame:
     """Ids of matching logs, from the postings alone (``all_of``, ``any_of``, ``phrase``, ``prefix``).
 
-    Only postings of the wanted terms are read. The grouping by id and field sees at most
-    one row per wanted word, so no group grows with the data.
+    Only postings of the wanted terms are read. The grouping by id and field sees one row per wanted word, or per word of the
+    log that begins with the prefix, so no group grows with the number of logs. A term without a word matches nothing, as
+    in ``search_logs``; no terms at all are for ``search_with_postings``, since logs without words have no postings.
     """
     if terms.none_of:
         raise ValueError("none_of needs the log rows: use search_logs")
@@ -118,6 +129,8 @@ def search_postings(postings: DataFrame, terms: Terms) -> DataFrame:
     names = sorted({w for ws in asked + either for w in ws})
     wanted = F.col("term").isin(*names) if names else F.lit(False)
     start = words_of(terms.prefix) if terms.prefix else []
+    names = sorted({*names, *start[:-1]})
+    wanted = F.col("term").isin(*names) if names else F.lit(False)
     if start:
         wanted = wanted | F.col("term").startswith(start[-1])
     rows = postings.filter(wanted)
@@ -127,21 +140,22 @@ def search_postings(postings: DataFrame, terms: Terms) -> DataFrame:
     per_field = rows.groupBy("id", "field").agg(
         F.max(F.lit(1)).alias("_any"),
         *[F.first(F.when(F.col("term") == w, F.col("positions")), ignorenulls=True).alias(c) for w, c in slot.items()],
-        *([F.max(F.col("term").startswith(start[-1])).alias("pre")] if start else []))
+        *([F.flatten(F.collect_list(F.when(F.col("term").startswith(start[-1]), F.col("positions")))).alias("pre")] if start else []))
+
+    def adjoining(places: list[Column]) -> Column:
+        """Some place of the first is followed by places of the others, in order: each moved back by its number, they meet."""
+        return F.size(reduce(F.array_intersect, [_moved(c, k) for k, c in enumerate(places)])) > 0
 
     def phrase(ws: list[str]) -> Column:
-        head, rest = F.col(slot[ws[0]]), [F.col(slot[w]) for w in ws[1:]]
-        present = reduce(lambda a, b: a & b, [c.isNotNull() for c in rest], head.isNotNull())
-        if not rest:
-            return present
-        return present & F.exists(head, lambda p: reduce(
-            lambda a, b: a & b, [F.array_contains(c, p + i + 1) for i, c in enumerate(rest)]))
+        return adjoining([F.col(slot[w]) for w in ws]) if ws else F.lit(False)
 
     tests = [phrase(ws) for ws in asked]
-    if either:
+    if terms.any_of:
         tests.append(reduce(lambda a, b: a | b, [phrase(ws) for ws in either]))
-    if start:
-        tests.append(F.col("pre"))
+    if terms.prefix:
+        tests.append(adjoining([*[F.col(slot[w]) for w in start[:-1]], F.col("pre")]) if start else F.lit(False))
+    if not tests:
+        raise ValueError("no terms: every log matches")
     flags = per_field.select("id", *[F.coalesce(t, F.lit(False)).alias(f"t{i}") for i, t in enumerate(tests)])
     whole = flags.groupBy("id").agg(*[F.max(f"t{i}").alias(f"t{i}") for i in range(len(tests))])
     return whole.filter(reduce(lambda a, b: a & b, [F.col(f"t{i}") for i in range(len(tests))])).select("id")
@@ -149,7 +163,9 @@ def search_postings(postings: DataFrame, terms: Terms) -> DataFrame:
 
 def search_with_postings(logs: DataFrame, postings: DataFrame, terms: Terms,
                          filters: LogFilters | None = None) -> DataFrame:
-    """J1 through the postings: semi-join of the filtered logs with the matching ids."""
+    """J1 through the postings: semi-join of the filtered logs with the matching ids. Without terms, all filtered logs."""
+    if terms == Terms(field=terms.field):
+        return filter_logs(logs, filters)
     return filter_logs(logs, filters).join(search_postings(postings, terms), "id", "left_semi")
 
 
@@ -173,7 +189,9 @@ def maintain_postings(logs_path: str, postings_path: str):
         for day in days:
             if day not in live:
                 drop_day(spark, postings_path, day)
-        (build_postings(logs).sortWithinPartitions("log_date", "field", "term")
+        # by range, so that a term lies in few files, which the search finds by their bounds
+        order = ("log_date", "field", "term")
+        (build_postings(logs).repartitionByRange(*order).sortWithinPartitions(*order)
          .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
          .partitionBy("log_date").parquet(postings_path))
 

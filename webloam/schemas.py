@@ -157,6 +157,8 @@ class LogFilters:
     url_search: str | None = None
     date_from: datetime | None = None
     date_to: datetime | None = None
+    #: A further condition, such as a search (``search.match(terms)``): paging, counting and exports then go by it too.
+    matching: Column | None = None
 
     def predicate(self) -> Column:
         parts = []
@@ -170,6 +172,8 @@ class LogFilters:
             parts.append(F.col("timestamp") >= F.lit(self.date_from))
         if self.date_to:
             parts.append(F.col("timestamp") <= F.lit(self.date_to))
+        if self.matching is not None:
+            parts.append(self.matching)
         return reduce(lambda a, b: a & b, parts, F.lit(True))
 
     def day_predicate(self, day: str = "log_date") -> Column:
