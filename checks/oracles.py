@@ -575,6 +575,11 @@ SQL["m2_cleanup_old_logs"] = """SELECT 'kept' AS part, count(*) FILTER (ts >= TI
 SQL["m3_delete_old_logs"] = "SELECT CAST(event_id AS VARCHAR) AS id, epoch_us(ts) AS ts_us FROM events WHERE ts >= TIMESTAMP '2024-01-22'"
 SQL["m4_clear_all_logs"] = "SELECT 'kept' AS part, CAST(0 AS BIGINT) AS n UNION ALL SELECT 'removed', count(*) FROM events"
 
+SQL["m1_delete_log_at"] = SQL["m1_delete_log"]
+SQL["m3_delete_old_logs_at"] = """SELECT CAST(event_id AS VARCHAR) AS id, epoch_us(ts) AS ts_us,
+  (SELECT count(*) FROM events WHERE ts < TIMESTAMP '2024-01-22 12:00:00') AS removed FROM events WHERE ts >= TIMESTAMP '2024-01-22 12:00:00'"""
+SQL["m4_clear_logs_at"] = SQL["m4_clear_all_logs"]
+
 # --- PDF ---------------------------------------------------------------------------------
 
 SQL["p1_pdf_size_gate"] = """SELECT doc_id, f AS file_size, f <= 2097152 AS success, CASE WHEN f > 2097152 THEN 'PDF too large: ' || format('{:.1f}', f / 1048576.0) || 'MB (max: 2MB)' END AS error

@@ -554,6 +554,35 @@ def _(spark, d):
     return _removal(A.clear_all_logs(V.logs(spark, d)))
 
 
+def _on_disk(spark: SparkSession, d: str) -> str:
+    path = V.scratch(spark, "kept-logs")
+    L.append_logs(V.logs(spark, d), path)
+    return path
+
+
+@query("m1_delete_log_at")
+def _(spark, d):
+    path = _on_disk(spark, d)
+    L.delete_log_at(spark, path, "42")
+    return L.read_log_files(spark, path).select("id", "url")
+
+
+@query("m3_delete_old_logs_at")
+def _(spark, d):
+    path = _on_disk(spark, d)
+    removed = L.delete_old_logs_at(spark, path, V.AS_OF + timedelta(hours=12), 9)
+    return L.read_log_files(spark, path).select("id", us("timestamp").alias("ts_us"), F.lit(removed).cast("long").alias("removed"))
+
+
+@query("m4_clear_logs_at")
+def _(spark, d):
+    path = _on_disk(spark, d)
+    removed = L.clear_logs_at(spark, path)
+    left = L.read_log_files(spark, path).agg(F.count(F.lit(1)).alias("n"))
+    return left.select(F.lit("kept").alias("part"), "n").unionByName(
+        left.select(F.lit("removed").alias("part"), F.lit(removed).cast("long").alias("n")))
+
+
 # --- PDF ---------------------------------------------------------------------------------
 
 @query("p1_pdf_size_gate")

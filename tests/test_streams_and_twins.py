@@ -1,4 +1,5 @@
 import os
+from datetime import datetime, timedelta, timezone
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,7 +10,7 @@ from checks.oracles import SQL
 from checks.queries import QUERIES
 from webloam.plans.batch import run_batch, to_log_row
 from webloam.schemas import PAGES
-from webloam.sources.logs import LOG_FILES
+from webloam.sources.logs import LOG_FILES, clear_logs_at, delete_log_at, delete_old_logs_at, parts_of, read_log_files, write_batch
 from webloam.sources.pages import conform
 from webloam.streaming.jobs import read_daily_stats, stream_daily_stats, stream_pages_to_logs
 
@@ -31,6 +32,18 @@ def test_page_stream_writes_every_file_once(spark, tmp_path):
     assert run().count() == 6 and run().count() == 6
     expected = {r["url"]: r["content_hash"] for r in to_log_row(run_batch(pages)).collect()}
     assert {r["url"]: r["content_hash"] for r in run().collect()} == expected
+    # the same batch again, on another day: the same ids, nothing twice
+    before = sorted(r["id"] for r in run().collect())
+    later = datetime.now(timezone.utc) + timedelta(days=3)
+    write_batch(to_log_row(run_batch(pages.filter("page_id < 4").coalesce(1))), out, 0, now=later)
+    assert sorted(r["id"] for r in read_log_files(spark, out).collect()) == before
+    # retention on what the stream wrote
+    assert delete_log_at(spark, out, before[0]) and run().count() == 5
+    left = run().count()
+    gone = delete_old_logs_at(spark, out, later + timedelta(days=29), 30)  # the first batch is of a later day and stays
+    assert gone > 0 and run().count() == left - gone > 0
+    left -= gone
+    assert clear_logs_at(spark, out) == left and not parts_of(spark, out)
 
 
 def test_daily_stream_counts_late_and_open_days(spark, tmp_path):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from datetime import date, datetime, timedelta
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,13 +12,16 @@ from pyspark.sql import types as T
 
 from webloam.functions.text import from_json_field, let, url_path
 from webloam.operators.audit import count_logs, delete_log, filter_logs, newest_rows
-from webloam.schemas import JSON_FIELDS, LOG, RETENTION_DAYS, LogFilters, utc_day
+from webloam.schemas import JSON_FIELDS, LOG, RETENTION_DAYS, LogFilters, utc_date, utc_day
 from webloam.sources.pages import conform
 
-# On disk the JSON columns are text and the day is the partition column.
+# On disk the JSON columns are text. Partitions are days, and in a day the batch that wrote the rows.
 LOG_FILES = T.StructType([
     T.StructField(f.name, T.StringType() if f.name in JSON_FIELDS else f.dataType) for f in LOG
-] + [T.StructField("log_date", T.DateType())])
+] + [T.StructField("log_date", T.DateType()), T.StructField("batch_id", T.LongType())])
+PARTS = ("log_date", "batch_id")
+#: The batch of rows that ``append_logs`` writes.
+APPENDED = -1
 
 
 def serialize_json(df: DataFrame) -> DataFrame:
@@ -29,7 +33,7 @@ def serialize_json(df: DataFrame) -> DataFrame:
 
 def prepare_logs(df: DataFrame, now: datetime | None = None) -> DataFrame:
     """Rows ready for the table: an id each, a time where missing, JSON text, the day."""
-    full = conform(serialize_json(df), T.StructType(LOG_FILES.fields[:-1]))
+    full = conform(serialize_json(df), T.StructType(LOG_FILES.fields[:-2]))
     moment = F.date_trunc("second", F.current_timestamp()) if now is None else F.lit(now)
     return (
         full.withColumn("id", F.coalesce("id", F.uuid()))
@@ -41,7 +45,21 @@ def prepare_logs(df: DataFrame, now: datetime | None = None) -> DataFrame:
 # S3
 def append_logs(df: DataFrame, path: str, now: datetime | None = None) -> None:
     """Rows are rebalanced by day before they are written: a day has few files, and a hot one is split."""
-    prepare_logs(df, now).hint("rebalance", "log_date").write.mode("append").partitionBy("log_date").parquet(path)
+    rows = prepare_logs(df, now).withColumn("batch_id", F.lit(APPENDED).cast("long"))
+    rows.hint("rebalance", "log_date").write.mode("append").partitionBy(*PARTS).parquet(path)
+
+
+def write_batch(df: DataFrame, path: str, batch_id: int, now: datetime | None = None) -> None:
+    """Rows of a micro-batch. Running it again replaces what it wrote before, on whatever day, and gives rows the same ids.
+
+    A row without an id gets one from the batch and all its values.
+    """
+    spark = df.sparkSession
+    values = F.to_json(F.struct(*[c for c in df.columns if c not in ("id", "timestamp")]))
+    made = F.md5(F.concat_ws("|", F.lit(batch_id).cast("string"), values))
+    own = F.coalesce(F.col("id"), made) if "id" in df.columns else made
+    rows = prepare_logs(df.withColumn("id", own), now).withColumn("batch_id", F.lit(batch_id).cast("long"))
+    replace_parts(rows.hint("rebalance", "log_date"), path, [p for p in parts_of(spark, path) if p[1] == batch_id])
 
 
 def read_log_files(spark: SparkSession, path: str) -> DataFrame:
@@ -129,72 +147,94 @@ def write_markdown_reports(results: DataFrame, path: str) -> None:
         .write.mode("overwrite").partitionBy("name").text(path)
 
 
-def _filesystem(spark: SparkSession, path: str):
-    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()), hadoop_path
+def _store(path: str):
+    """The file system that holds the path, and the path in it."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(path.replace("file:/", "file:///", 1) if path.startswith("file:/") and not path.startswith("file://") else path)
+
+
+def _folders(path: str, column: str) -> dict[str, str]:
+    """Values of a partition column that have a folder below the path, by folder (a listing)."""
+    from pyarrow import fs
+
+    store, root = _store(path)
+    found = store.get_file_info(fs.FileSelector(root, allow_not_found=True))
+    return {x.base_name: x.base_name.split("=", 1)[1] for x in found if x.type == fs.FileType.Directory and x.base_name.startswith(f"{column}=")}
+
+
+def _drop(path: str) -> bool:
+    from pyarrow import fs
+
+    store, root = _store(path)
+    if store.get_file_info(root).type == fs.FileType.NotFound:
+        return False
+    store.delete_dir(root)
+    return True
 
 
 def drop_day(spark: SparkSession, path: str, day: date) -> bool:
     """Remove the whole partition of a day; false when there was none."""
-    fs, day_path = _filesystem(spark, f"{path}/log_date={day.isoformat()}")
-    return bool(fs.exists(day_path) and fs.delete(day_path, True))
+    return _drop(f"{path}/log_date={day.isoformat()}")
 
 
 def days_of(spark: SparkSession, path: str) -> list[date]:
-    """Days that have a partition (a directory listing; one entry per calendar day)."""
-    fs, root = _filesystem(spark, path)
-    if not fs.exists(root):
-        return []
-    names = [s.getPath().getName() for s in fs.listStatus(root)]
-    return sorted(date.fromisoformat(n.split("=", 1)[1]) for n in names if n.startswith("log_date=")
-                  and n.split("=", 1)[1][:1].isdigit())
+    """Days that have a partition (one entry per calendar day)."""
+    return sorted(date.fromisoformat(v) for v in _folders(path, "log_date").values() if v[:1].isdigit())
+
 
+def parts_of(spark: SparkSession, path: str) -> list[tuple[date, int]]:
+    """(day, batch) of all partitions."""
+    return [(day, int(b)) for day in days_of(spark, path) for b in _folders(f"{path}/log_date={day.isoformat()}", "batch_id").values()]
 
-def rewrite_day(spark: SparkSession, path: str, day: date, kept: DataFrame) -> None:
-    """Replace the partition of a day by ``kept``: staged beside the table first, then moved in.
 
-    The path is never overwritten while it is being read.
+def replace_parts(rows: DataFrame, path: str, parts: list[tuple[date, int]]) -> None:
+    """Put ``rows`` in the place of those partitions, each swapped by Spark's own partition overwrite; those left empty are removed.
+
+    Rows may be read from the table itself: they are staged beside it first.
     """
+    spark = rows.sparkSession
     stage = f"{path}_stage_{uuid.uuid4().hex}"
-    kept.drop("log_date").write.parquet(stage)
-    fs, staged = _filesystem(spark, stage)
-    live = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/log_date={day.isoformat()}")
-    empty = spark.read.schema(T.StructType(LOG_FILES.fields[:-1])).parquet(stage).isEmpty()
-    fs.delete(live, True)
-    if empty:
-        fs.delete(staged, True)
-    else:
-        fs.rename(staged, live)
+    rows.write.partitionBy(*PARTS).parquet(stage)
+    filled = set(parts_of(spark, stage))
+    if filled:
+        (spark.read.schema(LOG_FILES).parquet(stage).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy(*PARTS).parquet(path))
+    for day, batch in parts:
+        if (day, batch) not in filled:
+            _drop(f"{path}/log_date={day.isoformat()}/batch_id={batch}")
+    _drop(stage)
 
 
 def delete_log_at(spark: SparkSession, path: str, log_id: str) -> bool:
-    """M1 on disk: only the day that holds the log is rewritten. True if it was there."""
+    """M1 on disk: only the partitions that hold the log are rewritten. True if it was there."""
     logs = read_log_files(spark, path)
-    days = [r["log_date"] for r in logs.filter(F.col("id") == log_id).select("log_date").distinct().collect()]
-    for day in days:
-        kept, _ = delete_log(logs.filter(F.col("log_date") == day), log_id)
-        rewrite_day(spark, path, day, kept)
-    return bool(days)
+    parts = [tuple(r) for r in logs.filter(F.col("id") == log_id).select(*PARTS).distinct().collect()]
+    if parts:
+        here = reduce(lambda a, b: a | b, [(F.col("log_date") == F.lit(day)) & (F.col("batch_id") == batch) for day, batch in parts])
+        replace_parts(delete_log(logs.filter(here), log_id)[0], path, parts)
+    return bool(parts)
 
 
 def delete_old_logs_at(spark: SparkSession, path: str, as_of: datetime, days: int = RETENTION_DAYS) -> int:
-    """M2 and M3 on disk: older days go whole, the day of the cutoff is rewritten."""
+    """M2 and M3 on disk: older days go whole, the day of the cutoff is rewritten. Rows that went."""
     cutoff = as_of - timedelta(days=days)
+    last = utc_date(cutoff)
     logs = read_log_files(spark, path)
-    removed = logs.filter((F.col("log_date") <= F.lit(cutoff.date())) & (F.col("timestamp") < F.lit(cutoff))).count()
+    old = logs.filter((F.col("log_date") <= F.lit(last)) & (F.col("timestamp") < F.lit(cutoff)))
+    removed = old.count()
+    split = [p for p in parts_of(spark, path) if p[0] == last]
+    if split and removed:
+        replace_parts(logs.filter((F.col("log_date") == F.lit(last)) & (F.col("timestamp") >= F.lit(cutoff))), path, split)
     for day in days_of(spark, path):
-        if day < cutoff.date():
+        if day < last:
             drop_day(spark, path, day)
-        elif day == cutoff.date() and removed:
-            rewrite_day(spark, path, day, logs.filter((F.col("log_date") == F.lit(day)) & (F.col("timestamp") >= F.lit(cutoff))))
     return removed
 
 
 def clear_logs_at(spark: SparkSession, path: str) -> int:
-    """M4 on disk."""
+    """M4 on disk. Rows that went."""
     removed = read_log_files(spark, path).count()
-    for day in days_of(spark, path):
-        drop_day(spark, path, day)
+    for folder in _folders(path, "log_date"):
+        _drop(f"{path}/{folder}")
     return removed
-
-

@@ -8,7 +8,7 @@ from pyspark.sql.streaming.query import StreamingQuery
 
 from webloam.plans.batch import run_batch, to_log_row
 from webloam.schemas import PAGES, PipelineConfig, utc_day
-from webloam.sources.logs import prepare_logs
+from webloam.sources.logs import read_log_files, write_batch
 
 
 # X1
@@ -16,16 +16,13 @@ def stream_pages_to_logs(spark: SparkSession, source: str, out: str, checkpoint:
                          config: PipelineConfig = PipelineConfig(), also=None) -> StreamingQuery:
     """Run every newly arrived page file through the chain and write its log rows.
 
-    Each micro-batch owns the directory ``batch_id=<n>`` of the log table and replaces it
-    when it is run again, so a restart writes nothing twice. ``also`` gets the written rows
-    and the batch id, for example to maintain postings.
+    Each micro-batch owns its partitions of the log table and replaces them when it is run again, so a restart writes nothing
+    twice. ``also`` gets the written rows and the batch id, for example to maintain postings.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
-        rows = prepare_logs(to_log_row(run_batch(batch, config=config)))
-        target = f"{out}/batch_id={batch_id}"
-        rows.write.mode("overwrite").partitionBy("log_date").parquet(target)
+        write_batch(to_log_row(run_batch(batch, config=config)), out, batch_id)
         if also is not None:
-            also(spark.read.parquet(target), batch_id)
+            also(read_log_files(spark, out).filter(F.col("batch_id") == batch_id), batch_id)
 
     return (
         spark.readStream.schema(PAGES).parquet(source)
