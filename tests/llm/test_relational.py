@@ -112,7 +112,7 @@ def test_curve_visits_each_cell_once_by_single_steps():
 
 def sharded(spark, docs, path, dims=("n_chars", "lang", "source"), shards=4):
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 1
-    return sharding.with_slots(sharding.write_shards(docs, str(path), shards, list(dims), F.coalesce("text", F.lit("")), size, "doc_id"), "doc_id")
+    return sharding.with_slots(sharding.write_shards(docs, str(path), shards, list(dims), "text", size, "doc_id"), "doc_id")
 
 
 def test_shards_are_even_gapless_and_keep_equal_texts(spark, tmp_path):

@@ -116,21 +116,12 @@ def block_of(texts: DataFrame) -> DataFrame:
     return texts.select("id", F.length("text").cast("long").alias("n")).mapInArrow(run, f"id {kind}, block long")
 
 
-def without(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows of docs but those whose id is in ``gone`` (its column ``id_col``), with the same columns. A NULL id is never in it.
-
-    Ids to leave out are sorted to the blocks of their documents, and each task reads those of its blocks: documents are read
-    twice and not shuffled, however many ids there are.
-    """
-    texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    placed = settled(block_of(texts), "placed")
-    ids = gone.select(F.col(id_col).alias("id")).dropna().distinct()
-    shelves = max(1, placed.agg(F.count_distinct("block")).first()[0] // SHELF)
-    path = put_by_block(placed.join(ids, "id").select("block", "id").distinct(), shelves, "gone")
+def map_blocks(docs: DataFrame, id_col: str, text_col: str, path: str, shelves: int, columns: list[str], work, schema) -> DataFrame:
+    """``work(rows, ids, found)`` over all rows of docs, some at a time: rows and result are Arrow batches, ids the rows' ids, and found
+    what ``put_by_block`` put at ``path`` for the rows' block (NULL where nothing). Blocks are those of ``block_of``."""
     id_at, text_at = docs.columns.index(id_col), docs.columns.index(text_col)
 
     def run(batches: Iterator) -> Iterator:
-        import pyarrow as pa
         import pyarrow.compute as pc
 
         def rows():
@@ -140,16 +131,39 @@ def without(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id", text_col:
                     yield i, n, batch, k
 
         for block, held in blocks(rows(), lambda r: r[1]):
-            named = of_block(path, shelves, block, ["id"])
-            ids = set(named["id"].to_pylist()) if named is not None else ()
-            at = 0
+            found, at = of_block(path, shelves, block, columns), 0
             while at < len(held):  # the block's rows of one batch follow each other
                 batch, first, to = held[at][2], held[at][3], at
                 while to < len(held) and held[to][2] is batch:
                     to += 1
-                kept = batch.slice(first, to - at).filter(pa.array([r[0] not in ids for r in held[at:to]], pa.bool_()))
-                if kept.num_rows:
-                    yield kept
+                out = work(batch.slice(first, to - at), [r[0] for r in held[at:to]], found)
+                if out.num_rows:
+                    yield out
                 at = to
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(run, schema)
+
+
+def shelves_for(placed: DataFrame) -> int:
+    return max(1, placed.agg(F.count_distinct("block")).first()[0] // SHELF)
+
+
+def without(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Rows of docs but those whose id is in ``gone`` (its column ``id_col``), with the same columns. A NULL id is never in it.
+
+    Ids to leave out are sorted to the blocks of their documents, and each task reads those of its blocks: documents are read
+    twice and not shuffled, however many ids there are.
+    """
+    texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    placed = settled(block_of(texts), "placed")
+    ids = gone.select(F.col(id_col).alias("id")).dropna().distinct()
+    shelves = shelves_for(placed)
+    path = put_by_block(placed.join(ids, "id").select("block", "id").distinct(), shelves, "gone")
+
+    def keep(rows, own, found):
+        import pyarrow as pa
+
+        out = set(found["id"].to_pylist()) if found is not None else ()
+        return rows.filter(pa.array([i not in out for i in own], pa.bool_()))
+
+    return map_blocks(docs, id_col, text_col, path, shelves, ["id"], keep, docs.schema)

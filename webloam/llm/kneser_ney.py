@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from webloam.llm.common import SHELF, block_of, blocks, of_block, put_by_block, settled, tuples
+from webloam.llm.common import block_of, blocks, of_block, put_by_block, settled, shelves_for, tuples
 
 ORDER = 4
 #: Bits of a symbol. Code points below half the symbols' number stand for themselves, others share the upper half.
@@ -161,7 +161,7 @@ def perplexities(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", te
     marks = settled(trusted.select(F.col(id_col).cast(dict(texts.dtypes)["id"]).alias("id")).dropna().distinct().select(
         "id", (F.pmod(F.xxhash64(F.col("id").cast("string")), F.lit(FOLDS)) == 0).alias("held_out")), "marks")
     placed = settled(block_of(texts), "placed")
-    shelves = max(1, placed.agg(F.count_distinct("block")).first()[0] // SHELF)
+    shelves = shelves_for(placed)
     train = put_by_block(placed.join(marks.filter(~F.col("held_out")), "id").select("block", "id"), shelves, "train")
     asked = settled(counted(texts, train, shelves), "asked")
     model = probabilities(asked.groupBy("lang", "gram").agg(F.sum("n").alias("n")))

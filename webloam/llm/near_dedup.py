@@ -8,7 +8,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from webloam.llm.common import SHELF, blocks, of_block, put_by_block, settled, tuples
+from webloam.llm.common import blocks, of_block, put_by_block, settled, shelves_for, tuples
 from webloam.llm.components import components
 from webloam.llm.tokens import Memo
 
@@ -311,7 +311,7 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     members = settled(banded.join(shared, "key"), "members")
     # only texts that share a bucket with another are compared; their blocks are told which, so that no text is shuffled
     wanted = settled(members.select("node").distinct().join(nodes.select("node", "block"), "node"), "wanted")
-    shelves = max(1, signed.agg(F.count_distinct("block")).first()[0] // SHELF)
+    shelves = shelves_for(signed)
     vecs = settled(vectors(texts, idf, put_by_block(wanted.select("block", "node"), shelves, "named"), shelves).dropDuplicates(["node"]), "vectors")
     if vecs.count() != wanted.count():
         raise RuntimeError("two passes over the documents disagree; settle them first")

@@ -53,7 +53,7 @@ def op2_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", "n_chars")
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 1
     written = sharding.write_shards(
-        docs, fresh_path(spark, "shards"), 16, ["n_chars", "lang", "source"], F.coalesce(F.col("text"), F.lit("")), size, "doc_id")
+        docs, fresh_path(spark, "shards"), 16, ["n_chars", "lang", "source"], "text", size, "doc_id")
     rows = written.select("shard", "_part", "_curve", "_group", "_size", "doc_id", F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32"))
     return sharding.with_slots(rows.withColumn("size", F.col("_size")), "doc_id").select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from webloam.llm.common import settled, with_running
+from webloam.llm.common import block_of, map_blocks, put_by_block, settled, shelves_for, with_running
 
 #: Bits to which each dimension is quantised.
 BITS = 5
@@ -83,18 +84,19 @@ def hilbert(df: DataFrame, dims: list[str], bits: int = BITS) -> DataFrame:
     return quantised(df, dims, bits).withColumn("_curve", index(F.struct(*cells))).drop(*cells)
 
 
-def shard(docs: DataFrame, shards: int, dims: list[str], group: Column, size: Column, tie: str, whole: float = 0.125) -> DataFrame:
+def shard(docs: DataFrame, shards: int, dims: list[str], text: str, size: Column, tie: str, whole: float = 0.125) -> DataFrame:
     """Rows of docs with ``shard`` (int) and their keys ``_curve``, ``_group``, ``_size``: runs of the curve of near equal ``size``.
 
     Rows go by the curve index of their group (the least of its rows' dimensions stand for all, so that equal rows stay together),
     then by group, then by ``tie``. A row's shard follows from the sizes before it, so shards differ by a row at most;
     a cut inside a group moves to the group's start where the group takes no more than ``whole`` of a shard's share, and
-    leaves it in two shards where it takes more. NULLs of dimensions are cells of their own. Nothing but the cuts
-    (one row a shard) reaches the driver; only keys and sizes are ordered, the rows themselves move once.
+    leaves it in two shards where it takes more. Groups are equal values of the column ``text``. NULLs of dimensions are cells of their
+    own. Nothing but the cuts (one row a shard) reaches the driver; only keys and sizes are ordered, and a row learns its group's
+    index in its block, so rows are not shuffled here.
     A column named shard is replaced; repeated rows stay together; an empty table gives none.
     """
     own = [c for c in docs.columns if c not in ("shard", "slot", "_curve", "_group", "_size", "_part")]
-    keyed = docs.select(*own, F.xxhash64(group).alias("_group"), size.cast("long").alias("_size"))
+    keyed = docs.select(*own, F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("_group"), size.cast("long").alias("_size"))
     groups = keyed.groupBy("_group").agg(F.min(F.struct(*dims)).alias("_dims"), F.sum("_size").alias("_all"))
     curved = settled(hilbert(groups.select("_group", "_all", *[F.col("_dims")[d].alias(d) for d in dims]), dims).select("_group", "_all", "_curve"), "curve")
     keys = ["_curve", "_group", tie]
@@ -116,16 +118,32 @@ def shard(docs: DataFrame, shards: int, dims: list[str], group: Column, size: Co
     shard_of = F.lit(0)
     for r in cuts:
         shard_of = F.when(beyond(r["cut"]), int(r["_n"])).otherwise(shard_of)
-    placed = keyed.join(curved.drop("_all"), "_group").withColumn("shard", shard_of.cast("int"))
-    return placed.select(*own, "shard", "_curve", "_group", "_size")
+    placed = settled(block_of(keyed.select(F.col("_group").alias("id"), F.coalesce(text, F.lit("")).alias("text"))), "placed")
+    shelves = shelves_for(placed)
+    path = put_by_block(placed.distinct().join(curved.select(F.col("_group").alias("id"), "_curve"), "id"), shelves, "curves")
 
+    def add_index(rows, groups, found):
+        import numpy as np
+        import pyarrow as pa
 
-def write_shards(docs: DataFrame, path: str, shards: int, dims: list[str], group: Column, size: Column, tie: str, whole: float = 0.125) -> DataFrame:
+        known, curve = found["id"].to_numpy(), found["_curve"].to_numpy()
+        order = np.argsort(known)
+        at = order[np.searchsorted(known, np.array(groups, np.int64), sorter=order)]
+        if not (known[at] == np.array(groups, np.int64)).all():
+            raise RuntimeError("two passes over the documents disagree; settle them first")
+        return pa.RecordBatch.from_arrays([*rows.columns, pa.array(curve[at])], [*rows.schema.names, "_curve"])
+
+    schema = T.StructType([*keyed.schema.fields, T.StructField("_curve", T.LongType())])
+    indexed = map_blocks(keyed, "_group", text, path, shelves, ["id", "_curve"], add_index, schema)
+    return indexed.withColumn("shard", shard_of.cast("int")).select(*own, "shard", "_curve", "_group", "_size")
+
+
+def write_shards(docs: DataFrame, path: str, shards: int, dims: list[str], text: str, size: Column, tie: str, whole: float = 0.125) -> DataFrame:
     """Write the shards (folders ``shard=<n>``, files in the order of the curve), and read them back.
 
     A shard's rows lie in as many files as ranges of the order fall into it, so shards may grow beyond one task.
     """
-    placed = shard(docs, shards, dims, group, size, tie, whole)
+    placed = shard(docs, shards, dims, text, size, tie, whole)
     keys = ["shard", "_curve", "_group", tie]
     rows = placed.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_part", F.spark_partition_id())
     rows.write.partitionBy("shard").parquet(path)
