@@ -78,7 +78,8 @@ def model(texts, order, n_symbols):
 
 
 def test_perplexities_equal_the_formulas(spark, monkeypatch):
-    monkeypatch.setattr(common, "BLOCK_CHARS", 600)  # many blocks
+    monkeypatch.setattr(common, "BLOCK_CHARS", 600)  # many blocks, in several parts
+    monkeypatch.setattr(kneser_ney, "PART_CHARS", 200)
     rng = random.Random(5)
     vocabulary = PROSE.split()
     docs = [(k, " ".join(rng.choice(vocabulary) for _ in range(rng.randint(1, 30))), "en") for k in range(60)] + [(60, None, "en"), (61, "Ünïcode 漢字", "en"), (62, "no model", "xx")]

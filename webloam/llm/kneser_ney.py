@@ -20,6 +20,8 @@ ORDER = 4
 BITS = 12
 SYMBOLS = 1 << BITS
 START, END = 0, 1
+#: Characters whose n-grams are in memory at once.
+PART_CHARS = 1 << 20
 #: One trusted text in so many is held out of training, for the thresholds.
 FOLDS = 5
 SALTS = 64
@@ -59,6 +61,19 @@ def by_language(held: list[tuple]) -> Iterator:
     return iter(places.items())
 
 
+def parts(held: list[tuple]) -> Iterator:
+    """Rows (id, text, ...) of a block, about PART_CHARS characters at a time, which bounds the arrays made of them."""
+    part, size = [], 0
+    for row in held:
+        part.append(row)
+        size += len(row[1])
+        if size >= PART_CHARS:
+            yield part
+            part, size = [], 0
+    if part:
+        yield part
+
+
 def counted(texts: DataFrame, marks: str, shelves: int) -> DataFrame:
     """For each block: every n-gram of its documents by language, once, with its count in texts that train (0 where none has it)."""
     def run(batches: Iterator) -> Iterator:
@@ -69,10 +84,17 @@ def counted(texts: DataFrame, marks: str, shelves: int) -> DataFrame:
             marked = of_block(marks, shelves, block, ["id"])
             train = set(marked["id"].to_pylist()) if marked is not None else set()
             for lang, own in by_language(held):
-                key, sizes = grams([r[1] for r in own])
-                known, at = np.unique(key, return_inverse=True)
-                trained = np.repeat(np.array([r[0] in train for r in own]), sizes)
-                count = np.bincount(at[trained], minlength=len(known))
+                some, counts = [], []
+                for part in parts(own):
+                    key, sizes = grams([r[1] for r in part])
+                    trained = np.repeat(np.array([r[0] in train for r in part]), sizes)
+                    for own_key, step in ((key[trained], 1), (key[~trained], 0)):
+                        known, n = np.unique(own_key, return_counts=True)
+                        some.append(known)
+                        counts.append(n * step)
+                known, at = np.unique(np.concatenate(some), return_inverse=True)
+                count = np.zeros(len(known), np.int64)
+                np.add.at(count, at, np.concatenate(counts))
                 for cut in range(0, len(known), 100_000):
                     some = known[cut:cut + 100_000]
                     yield pa.RecordBatch.from_arrays(
@@ -134,15 +156,16 @@ def scored(texts: DataFrame, answers: str, shelves: int) -> DataFrame:
             for lang, own in by_language(held):
                 mine = np.flatnonzero(langs == lang)
                 mine = mine[np.argsort(gram[mine])]
-                key, sizes = grams([r[1] for r in own])
-                known, cost = gram[mine], nats[mine]
-                at = np.minimum(np.searchsorted(known, key), len(known) - 1)
-                if not len(known) or not (known[at] == key).all():
-                    raise RuntimeError("two passes over the documents disagree; settle them first")
-                total = np.add.reduceat(cost[at].astype(np.float64), np.cumsum(sizes) - sizes)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([r[0] for r in own], id_type), pa.array([lang] * len(own), pa.string()), pa.array(sizes), pa.array(total)],
-                    ["id", "lang", "n_symbols", "nats"])
+                known, cost = gram[mine], nats[mine].astype(np.float64)
+                for part in parts(own):
+                    key, sizes = grams([r[1] for r in part])
+                    at = np.minimum(np.searchsorted(known, key), len(known) - 1)
+                    if not len(known) or not (known[at] == key).all():
+                        raise RuntimeError("two passes over the documents disagree; settle them first")
+                    total = np.add.reduceat(cost[at], np.cumsum(sizes) - sizes)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([r[0] for r in part], id_type), pa.array([lang] * len(part), pa.string()), pa.array(sizes), pa.array(total)],
+                        ["id", "lang", "n_symbols", "nats"])
 
     id_type = to_arrow_type(texts.schema["id"].dataType)
     return texts.mapInArrow(run, f"id {dict(texts.dtypes)['id']}, lang string, n_symbols long, nats double")

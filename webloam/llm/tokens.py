@@ -19,7 +19,7 @@ END = "</w>"
 SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 PLAIN = regex.compile(r"[!-~¡-¬®-įı-ɏ]*")
 #: Chunks or words that are remembered at once.
-REMEMBERED = 400_000
+REMEMBERED = 300_000
 
 
 class Memo(dict):
