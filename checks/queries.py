@@ -113,7 +113,9 @@ def _(spark, d):
     docs = V.docs(spark, d).select(
         "url", "markdown", F.col("source").alias("title"), F.lit("spa").alias("content_type"),
         F.when(F.col("doc_id") % 2 == 0, F.array("lang", "source")).otherwise(F.array().cast("array<string>")).alias("steps_applied"))
-    return L.format_markdown_report(docs)
+    path = V.scratch(spark, "reports")
+    L.write_markdown_reports(docs, path)
+    return spark.read.parquet(path).select("name", "report")
 
 
 @query("s8_to_log_row")

@@ -136,6 +136,22 @@ def test_exports(spark, logs, tmp_path):
     assert "markdown_content" in L.json_rows(logs, include_content=True).columns and L.json_rows(logs, cap=3).count() == 3
 
 
+def test_exports_and_newest_rows_keep_all(spark, logs):
+    untimed = logs.limit(1).withColumn("timestamp", F.lit(None).cast("timestamp")).withColumn("id", F.lit("none"))
+    both = logs.unionByName(untimed)
+    assert A.newest_rows(both).count() == A.newest_rows(both, n=26).count() == L.csv_rows(both).count() == 26
+    assert A.newest_rows(both, n=25).filter("id = 'none'").count() == 0 and A.newest_rows(both, n=3).count() == 3
+
+
+def test_reports_on_disk(spark, tmp_path):
+    docs = spark.createDataFrame([(f"https://e.com/a?x={k}", "T", f"body {k}", "html", ["s"]) for k in range(3)],
+                                 "url string, title string, markdown string, content_type string, steps_applied array<string>")
+    L.write_markdown_reports(docs, str(tmp_path / "r"))
+    rows = spark.read.parquet(str(tmp_path / "r")).collect()
+    assert len({r["url"] for r in rows}) == 3 and {r["name"] for r in rows} == {"e.com_a.md"}
+    assert all(r["report"].endswith(f"body {r['url'][-1]}") for r in rows)
+
+
 def test_validation(spark):
     df = spark.createDataFrame([("a", "u", "success", "html", 1), ("b", None, "odd", "html", -1), ("c", "u", None, "spa", None)],
                                "id string, url string, status string, content_type string, duration_ms long")

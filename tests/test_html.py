@@ -103,3 +103,17 @@ def test_no_exchange_in_the_page_operators(spark):
     df = spark.range(3).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.lit("<p>x</p>").alias("html"))
     for op in (D.prune_dom, D.extract_main_content, D.tokenize_html, D.link_image_counts):
         assert "Exchange" not in op(df)._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("unit", ["<a", '<a href="', "<!x", "</b", "<a b=c", "<script", "<!--"])
+def test_tags_that_never_end_take_linear_time(apply, unit):
+    import time
+
+    def seconds(n):
+        start = time.perf_counter()
+        [got] = apply(lambda c: F.array_join(H.html_tokens(c), ""), ["<p>x</p>" + unit * n])
+        assert got.startswith("<p>x</p>")
+        return time.perf_counter() - start
+
+    seconds(100)
+    assert seconds(20_000) < 30  # quadratic work would take minutes

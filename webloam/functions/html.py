@@ -23,8 +23,8 @@ from webloam.functions.text import UNI, WS, collapse_ws, let, strip
 # Outside of values a tag ends at the next "<" at the latest: one that is never closed is text, found out in linear time.
 TOKEN_RE = (
     r"(?is)<!--.*?(?:-->|\z)"
-    r"|<script\b[^>]*>.*?(?:</script\s*>|\z)"
-    r"|<style\b[^>]*>.*?(?:</style\s*>|\z)"
+    r"|<script\b[^<>]*+>.*?(?:</script\s*>|\z)"
+    r"|<style\b[^<>]*+>.*?(?:</style\s*>|\z)"
     r"""|</?[a-z][^<>=]*+(?:=\s*+(?:"[^"]*+"|'[^']*+')?[^<>=]*+)*+>"""
     r"|</?[a-z][^<>]*+>"
     r"|<![^<>]*+>"

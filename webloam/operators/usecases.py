@@ -14,18 +14,20 @@ from webloam.functions.text import collapse_ws, extract_text_content, let, searc
 def keyword_density(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """(key, term, count, share): share of each term among the terms of its document.
 
-    The total travels with the exploded terms, so one partial aggregation is all. The outer
-    form of explode keeps the optimizer from testing the array in a filter of its own, which
-    would make the terms twice.
+    A document is one row, so its terms are sorted and counted inside it, run by run; nothing is exchanged. The outer form of
+    explode keeps the optimizer from testing the array in a filter of its own, which would make the terms twice.
     """
-    words = search_tokens(extract_text_content(F.col("markdown")))
+    def counted(words: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(1), F.size(words)), lambda i: (i == 1) | (F.get(words, i - 1) != F.get(words, i - 2)))
+        return F.when(F.size(words) > 0, let(starts, lambda ss: F.transform(ss, lambda s, k: F.struct(
+            F.get(words, s - 1).alias("term"), (F.coalesce(F.get(ss, k + 1), F.size(words) + 1) - s).cast("long").alias("count"),
+            F.size(words).alias("total")))))
+
+    words = F.array_sort(search_tokens(extract_text_content(F.col("markdown"))))
     return (
-        docs.select(key, words.alias("_w"))
-        .select(key, "_w", F.size("_w").alias("total"))
-        .select(key, "total", F.explode_outer("_w").alias("term"))
-        .filter(F.col("term").isNotNull())
-        .groupBy(key, "term", "total").agg(F.count(F.lit(1)).alias("count"))
-        .select(key, "term", "count", (F.col("count") / F.col("total")).alias("share"))
+        docs.select(key, F.explode_outer(let(words, counted)).alias("t"))
+        .filter(F.col("t").isNotNull())
+        .select(key, "t.term", "t.count", (F.col("t.count") / F.col("t.total")).alias("share"))
     )
 
 

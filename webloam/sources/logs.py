@@ -123,8 +123,8 @@ def export_json(logs: DataFrame, path: str, exported_at: datetime, filters: LogF
 
 
 # S7
-def format_markdown_report(results: DataFrame) -> DataFrame:
-    """(name, report) per document: the Markdown file and what it is called."""
+def format_markdown_report(results: DataFrame, *keep: str) -> DataFrame:
+    """(name, report) per document, behind the columns to keep: the Markdown file and what it is called."""
     def name(path: Column) -> Column:
         return F.when(path == "", F.lit("index")).otherwise(F.translate(path, "/", "_"))
 
@@ -137,14 +137,17 @@ def format_markdown_report(results: DataFrame) -> DataFrame:
         F.lit("\n> Titre: "), F.coalesce(F.when(F.length("title") > 0, F.col("title")), F.lit("N/A")),
         F.lit("\n> Longueur: "), F.length("markdown").cast("string"), F.lit(" caractères\n> Type: "),
         F.col("content_type"), F.lit("\n"), steps, F.lit("\n---\n\n"), F.col("markdown"))
-    return results.select(F.concat(host, F.lit("_"), let(F.btrim(path, F.lit("/")), name), F.lit(".md")).alias("name"),
+    return results.select(*keep, F.concat(host, F.lit("_"), let(F.btrim(path, F.lit("/")), name), F.lit(".md")).alias("name"),
                           report.alias("report"))
 
 
 def write_markdown_reports(results: DataFrame, path: str) -> None:
-    """Reports as text, one folder per report name."""
-    format_markdown_report(results).select("name", F.col("report").alias("value")) \
-        .write.mode("overwrite").partitionBy("name").text(path)
+    """Reports as rows (url, name, report) in the order of names, so that one is found by the bounds of files.
+
+    Documents of one name, such as pages that differ in their query string only, are told apart by their URL.
+    """
+    (format_markdown_report(results, "url").repartitionByRange("name").sortWithinPartitions("name")
+     .write.mode("overwrite").parquet(path))
 
 
 def _store(path: str):
