@@ -43,17 +43,17 @@ def with_running(df: DataFrame, order: list[str], sums: list[str], name: str) ->
     Equal rows follow each other in any order. NULLs of ``sums`` count as 0.
     """
     dealt = settled(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), name)
-    whole = [F.count(F.lit(1)).alias("_n"), *[F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(f"_{c}") for c in sums]]
+    whole = [F.count(F.lit(1)).alias("_rows"), *[F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(f"_sum_{c}") for c in sums]]
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     zero = lambda c: F.coalesce(F.sum(c).over(before), F.lit(0)).cast("long")
     parts = dealt.groupBy("_part").agg(*whole).select(
-        "_part", zero("_n").alias("_n0"), *[zero(f"_{c}").alias(f"_{c}0") for c in sums])
+        "_part", zero("_rows").alias("_rows0"), *[zero(f"_sum_{c}").alias(f"_sum0_{c}") for c in sums])
     here = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     inside = lambda c: F.coalesce(F.sum(c).over(here), F.lit(0))
     return (
-        dealt.withColumn("_i", inside(F.lit(1))).withColumns({f"_{c}1": inside(c) for c in sums}).join(parts, "_part")
-        .select(*df.columns, (F.col("_n0") + F.col("_i")).cast("long").alias("position"),
-                *[(F.col(f"_{c}0") + F.col(f"_{c}1")).cast("long").alias(f"{c}_before") for c in sums])
+        dealt.withColumn("_row", inside(F.lit(1))).withColumns({f"_sum1_{c}": inside(c) for c in sums}).join(parts, "_part")
+        .select(*df.columns, (F.col("_rows0") + F.col("_row")).cast("long").alias("position"),
+                *[(F.col(f"_sum0_{c}") + F.col(f"_sum1_{c}")).cast("long").alias(f"{c}_before") for c in sums])
     )
 
 

@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 WORD = re.compile(r"\w+")
 BATCH = 1000
@@ -217,6 +218,7 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     """
     rows = docs.select(F.col(id_col), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     kind, item_kind = dict(rows.dtypes)[id_col], dict(items.dtypes)[item_col]
+    item_type = to_arrow_type(items.schema[item_col].dataType)
     schema = f"`{id_col}` {kind}, `{item_col}` {item_kind}, edits long, item_words long, end_word long"
     asked = items.select(F.col(item_col), F.col(item_text_col))
     blocks = max(1, -(-asked.count() // block_items))
@@ -235,7 +237,7 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
                     found = list(index.find([words_of(t) for t in part.column(1).to_pylist()]))
                     if found:
                         yield pa.RecordBatch.from_arrays(
-                            [part.column(0).take(pa.array([f[0] for f in found], pa.int32())), pa.array([index.items[f[1]][0] for f in found]),
+                            [part.column(0).take(pa.array([f[0] for f in found], pa.int32())), pa.array([index.items[f[1]][0] for f in found], item_type),
                              *[pa.array(x, pa.int64()) for x in ([f[2] for f in found], [len(index.items[f[1]][1]) for f in found], [f[3] for f in found])]],
                             [id_col, item_col, "edits", "item_words", "end_word"])
 
