@@ -15,7 +15,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 #: Characters of documents that make a block, about.
 BLOCK_CHARS = 16 << 20
 #: Blocks whose answers lie in one folder.
-SHELF = 64
+SHELF = 8
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -86,8 +86,9 @@ def tuples(batches: Iterator) -> Iterator:
 def put_by_block(rows: DataFrame, shelves: int, name: str) -> str:
     """Write rows (with a column block) so that a task finds those of its block by reading part of one folder."""
     path = fresh_path(rows.sparkSession, name)
+    # small row groups, in the order of blocks: a task reads little but its own
     rows.withColumn("shelf", F.pmod("block", F.lit(shelves))).repartition("shelf").sortWithinPartitions("shelf", "block") \
-        .write.partitionBy("shelf").parquet(path)
+        .write.option("parquet.block.size", 4 << 20).partitionBy("shelf").parquet(path)
     return path
 
 
