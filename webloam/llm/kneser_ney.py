@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
+from webloam.llm import common
 from webloam.llm.common import block_of, blocks, of_block, put_by_block, settled, shelves_for, tuples
 
 ORDER = 4
@@ -175,12 +176,15 @@ def perplexities(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", te
     """``id``, ``lang``, ``n_symbols``, ``perplexity`` (NULL where no trusted text of the language trains) and ``held_out``, for each row.
 
     ``trusted`` has the ids of trusted texts; one in FOLDS of them, by a hash of the id, is held out of training.
-    Documents are read three times (once for lengths only) and never shuffled: what moves are the distinct n-grams of each block, to the
+    Documents are read four times (twice for lengths only) and never shuffled: what moves are the distinct n-grams of each block, to the
     shard of their count and back, so it grows with the input. Rows must lie in the same partitions each time, as those
     of files do; passes that disagree raise an error.
     """
     texts = docs.select(
         F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("lang"))
+    # splits smaller than a block are joined, as far as all cores stay busy: a block asks for each n-gram once
+    chars = texts.agg(F.sum(F.length("text"))).first()[0] or 0
+    texts = texts.coalesce(max(docs.sparkSession.sparkContext.defaultParallelism, -(-chars // common.BLOCK_CHARS), 1))
     marks = settled(trusted.select(F.col(id_col).cast(dict(texts.dtypes)["id"]).alias("id")).dropna().distinct().select(
         "id", (F.pmod(F.xxhash64(F.col("id").cast("string")), F.lit(FOLDS)) == 0).alias("held_out")), "marks")
     placed = settled(block_of(texts), "placed")
