@@ -152,19 +152,9 @@ def shelves_for(placed: DataFrame) -> int:
 def without(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows of docs but those whose id is in ``gone`` (its column ``id_col``), with the same columns. A NULL id is never in it.
 
-    Ids to leave out are sorted to the blocks of their documents, and each task reads those of its blocks: documents are read
-    twice and not shuffled, however many ids there are.
+    An anti join by id, so it does not matter how either side lies in partitions. Rows without an id are dealt by their text.
     """
-    texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    placed = settled(block_of(texts), "placed")
-    ids = gone.select(F.col(id_col).alias("id")).dropna().distinct()
-    shelves = shelves_for(placed)
-    path = put_by_block(placed.join(ids, "id").select("block", "id").distinct(), shelves, "gone")
-
-    def keep(rows, own, found):
-        import pyarrow as pa
-
-        out = set(found["id"].to_pylist()) if found is not None else ()
-        return rows.filter(pa.array([i not in out for i in own], pa.bool_()))
-
-    return map_blocks(docs, id_col, text_col, path, shelves, ["id"], keep, docs.schema)
+    ids = gone.select(F.col(id_col).alias("_gone"), F.lit(0).cast("long").alias("_gone_salt")).dropna().distinct()
+    salt = F.when(F.col(id_col).isNull(), F.xxhash64(text_col)).otherwise(F.lit(0).cast("long"))
+    rows = docs.withColumn("_salt", salt)
+    return rows.join(ids, (F.col(id_col) == F.col("_gone")) & (F.col("_salt") == F.col("_gone_salt")), "left_anti").select(*docs.columns)

@@ -83,7 +83,9 @@ def counted(texts: DataFrame, marks: str, shelves: int) -> DataFrame:
 
         for block, held in blocks(tuples(batches), lambda r: len(r[1])):
             marked = of_block(marks, shelves, block, ["id"])
-            train = set(marked["id"].to_pylist()) if marked is not None else set()
+            if marked is None or not len(marked):  # each block has a row at least
+                raise RuntimeError("two passes over the documents disagree; settle them first")
+            train = set(marked["id"].to_pylist()) - {None}
             for lang, own in by_language(held):
                 some, counts = [], []
                 for part in parts(own):
@@ -189,7 +191,9 @@ def perplexities(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", te
         "id", (F.pmod(F.xxhash64(F.col("id").cast("string")), F.lit(FOLDS)) == 0).alias("held_out")), "marks")
     placed = settled(block_of(texts), "placed")
     shelves = shelves_for(placed)
-    train = put_by_block(placed.join(marks.filter(~F.col("held_out")), "id").select("block", "id"), shelves, "train")
+    # a row without an id for each block, so that a block that is not there is told from one in which nothing trains
+    every = placed.select("block").distinct().withColumn("id", F.lit(None).cast(dict(texts.dtypes)["id"]))
+    train = put_by_block(placed.join(marks.filter(~F.col("held_out")), "id").select("block", "id").unionByName(every), shelves, "train")
     asked = settled(counted(texts, train, shelves), "asked")
     model = probabilities(asked.groupBy("lang", "gram").agg(F.sum("n").alias("n")))
     answers = put_by_block(asked.join(model, ["lang", "gram"]).select("block", "lang", "gram", (-F.log("p")).cast("float").alias("nats")), shelves, "answers")
