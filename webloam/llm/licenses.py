@@ -121,7 +121,8 @@ SINGLE = (
     (2, "open font", "sil open font license", "ofl"),
     (2, "open database", "open database license", "odbl"),
     (2, "open data commons", "open data commons attribution license", "odc-by"),
-    (2, "ms pl", "(?:microsoft public license|ms pl)", "ms-pl"),
+    (2, "microsoft public", "microsoft public license", "ms-pl"),
+    (2, "ms pl", "ms pl", "ms-pl"),
     (2, "apache license", "apache license", "apache"),
     (2, "mozilla", "mozilla public license", "mpl"),
     (2, "eclipse", "eclipse public license", "epl"),
