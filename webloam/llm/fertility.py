@@ -16,6 +16,9 @@ BYTE_MARK = "<0x"
 SYMBOLS = "#*$%&|<>"
 BLANKS = "\t\n\x0b\x0c\r "
 MEASURES = ("chars_per_token", "byte_share", "token_entropy")
+#: Quantiles that bound a length class's band, and texts it has at least for them. Junk lies low: it has fewer characters to a
+#: token and repeats itself.
+LOW, HIGH, LEAST = 0.05, 0.99, 100
 SALTS = 64
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
@@ -112,29 +115,42 @@ def base_failed() -> Column:
     return (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
 
 
+def length_class() -> Column:
+    """Texts of 2^k to 2^(k+1) - 1 words are of class k: how measures spread, and the entropy itself, change with the length."""
+    return F.floor(F.log2(F.greatest(F.col("n_words"), F.lit(1)))).cast("int")
+
+
 def bands(measured: DataFrame) -> DataFrame:
-    """Per language and measure: first and third quartile, and their distance, over all texts that pass the base rules; the median of words.
+    """Per language, length class and measure, over all texts that pass the base rules: the quantiles LOW and HIGH of the class, and
+    the first and third quartile, their distance and the median of words of the whole language.
 
-    A language of alike texts gets a distance of at least a hundredth of its median's size, so ties reject nobody.
+    A language of alike texts gets a distance of at least a hundredth of its median's size, so ties reject nobody. A class of
+    fewer than LEAST texts has no tails to speak of: its quantiles are NULL.
     """
-    quart = lambda m: F.percentile_approx(m, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.lit(10_000))
-    per = measured.filter(~base_failed()).groupBy("lang").agg(
-        *[quart(m).alias(m) for m in MEASURES], F.percentile_approx("n_words", 0.5).alias("_words"))
+    usual = measured.filter(~base_failed())
+    quantiles = lambda m, *q: F.percentile_approx(m, F.array(*[F.lit(x) for x in q]), F.lit(10_000))
+    per = usual.groupBy("lang").agg(*[quantiles(m, 0.25, 0.5, 0.75).alias(m) for m in MEASURES], F.percentile_approx("n_words", 0.5).alias("_words"))
 
     def edges(m: str) -> list[Column]:
         q1, mid, q3 = (F.col(m)[k] for k in range(3))
         return [q1.alias(f"{m}_q1"), q3.alias(f"{m}_q3"), F.greatest(q3 - q1, F.abs(mid) / 100, F.lit(0.01)).alias(f"{m}_wide")]
 
-    return per.select(F.col("lang").alias("_lang"), "_words", *[e for m in MEASURES for e in edges(m)])
+    fences = per.select(F.col("lang").alias("_lang"), "_words", *[e for m in MEASURES for e in edges(m)])
+    tails = usual.groupBy("lang", length_class().alias("_class")).agg(
+        F.count(F.lit(1)).alias("_n"), *[quantiles(m, LOW, HIGH).alias(m) for m in MEASURES])
+    enough = F.col("_n") >= LEAST
+    tails = tails.select("lang", "_class", *[F.when(enough, F.col(m)[k]).alias(f"{m}_{end}") for m in MEASURES for k, end in enumerate(("low", "high"))])
+    return tails.join(fences, F.col("lang") == F.col("_lang")).drop("lang")
 
 
-def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", reach: float = 4.0,
+def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", reach: float = 2.0,
                   vocabulary: str | None = None) -> DataFrame:
     """What ``measure`` gives, with ``base_failed`` and ``kept``.
 
-    kept: the base rules pass, and every measure lies in the band of the text's language: no further from the quartiles than
-    ``reach`` times their distance. Shorter texts than the median vary more, so their band is wider by the root of how much
-    shorter they are. A language of which no text passes the base rules has no band, and none is needed.
+    kept: the base rules pass, and every measure lies in the band of the text's language: between the quantiles LOW and HIGH of
+    texts of its length class, and no further from the language's quartiles than ``reach`` times their distance, which also
+    holds where a class has too few texts for quantiles. Shorter texts than the median vary more, so that reach is wider by the root of
+    how much shorter they are. A language of which no text passes the base rules has no band, and none is needed.
     """
     measured = settled(measure(docs, id_col, text_col, lang_col, vocabulary), "fertility")
     noise = F.greatest(F.lit(1.0), F.sqrt(F.col("_words") / F.greatest(F.col("n_words"), F.lit(1)))) * reach
@@ -142,9 +158,11 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     for m in MEASURES:
         wide = F.col(f"{m}_wide") * noise
         inside = inside & F.coalesce(F.col(m).between(F.col(f"{m}_q1") - wide, F.col(f"{m}_q3") + wide), F.lit(False))
+        inside = inside & F.coalesce(F.col(m).between(F.col(f"{m}_low"), F.col(f"{m}_high")), F.lit(True))
     failed = base_failed()
-    # most rows may be of one language: each language's bands stand SALTS times, and rows choose one by their id
+    # most rows may be of one language: each band stands SALTS times, and rows choose one by their id
     salted = bands(measured).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     salt = F.pmod(F.xxhash64(F.col(id_col)), F.lit(SALTS)).cast("int")
-    return measured.join(salted, (F.col("lang") == F.col("_lang")) & (salt == F.col("_salt")), "left").select(
+    own = (F.col("lang") == F.col("_lang")) & (length_class() == F.col("_class")) & (salt == F.col("_salt"))
+    return measured.join(salted, own, "left").select(
         *measured.columns, failed.alias("base_failed"), (~failed & inside).alias("kept"))
