@@ -24,7 +24,7 @@ def test_ids_are_left_out_also_when_splits_change(spark, tmp_path):
 def test_a_pass_over_other_blocks_is_an_error(spark):
     rows = spark.range(40).select("id", F.lit("some text").alias("text"), F.lit("en").alias("lang"))
     placed = common.block_of(rows.coalesce(1))
-    marks = common.put_by_block(placed.select("block", F.lit(None).cast("long").alias("id")), 1, "marks")
+    marks = common.put_by_block(placed.select("block", F.lit(None).cast("long").alias("id"), F.lit(None).cast("int").alias("fold")), 1, "marks")
     assert kneser_ney.counted(rows.coalesce(1), marks, 1).filter("n > 0").count() == 0
     with pytest.raises(Exception, match="two passes over the documents disagree"):
         kneser_ney.counted(rows.coalesce(2), marks, 1).count()

@@ -23,8 +23,9 @@ SYMBOLS = 1 << BITS
 START, END = 0, 1
 #: Characters whose n-grams are in memory at once.
 PART_CHARS = 1 << 20
-#: One trusted text in so many is held out of training, for the thresholds.
+#: Trusted texts are dealt into so many folds, each scored by a model of the others. The first fold trains no model of documents.
 FOLDS = 5
+COUNTS = [f"n{f}" for f in range(FOLDS)]
 SALTS = 64
 
 
@@ -75,36 +76,51 @@ def parts(held: list[tuple]) -> Iterator:
         yield part
 
 
+def folds_of(marks: str, shelves: int, block: int) -> dict:
+    """The folds of a block's trusted texts by their ids. Each block has a row at least."""
+    found = of_block(marks, shelves, block, ["id", "fold"])
+    if found is None or not len(found):
+        raise RuntimeError("two passes over the documents disagree; settle them first")
+    return {i: f for i, f in zip(found["id"].to_pylist(), found["fold"].to_pylist()) if i is not None}
+
+
+def name_of(fold, lang):
+    """The name of the model that is made of a language's trusted texts but those of the fold."""
+    return F.concat(F.lit(f"{fold}:"), lang) if isinstance(lang, Column) else f"{fold}:{lang}"
+
+
 def counted(texts: DataFrame, marks: str, shelves: int) -> DataFrame:
-    """For each block: every n-gram of its documents by language, once, with its count in texts that train (0 where none has it)."""
+    """For each block: every n-gram of its documents by language, once, with its counts in trusted texts of each fold (0 where none has it)
+    and ``n``, those of the folds that train."""
     def run(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
         for block, held in blocks(tuples(batches), lambda r: len(r[1])):
-            marked = of_block(marks, shelves, block, ["id"])
-            if marked is None or not len(marked):  # each block has a row at least
-                raise RuntimeError("two passes over the documents disagree; settle them first")
-            train = set(marked["id"].to_pylist()) - {None}
+            fold = folds_of(marks, shelves, block)
             for lang, own in by_language(held):
                 some, counts = [], []
                 for part in parts(own):
                     key, sizes = grams([r[1] for r in part])
-                    trained = np.repeat(np.array([r[0] in train for r in part]), sizes)
-                    for own_key, step in ((key[trained], 1), (key[~trained], 0)):
-                        known, n = np.unique(own_key, return_counts=True)
+                    fold_of = np.repeat(np.array([fold.get(r[0], FOLDS) for r in part]), sizes)
+                    for f in np.unique(fold_of):
+                        known, n = np.unique(key[fold_of == f], return_counts=True)
                         some.append(known)
-                        counts.append(n * step)
+                        counts.append((f, n))
                 known, at = np.unique(np.concatenate(some), return_inverse=True)
-                count = np.zeros(len(known), np.int64)
-                np.add.at(count, at, np.concatenate(counts))
+                count, first = np.zeros((FOLDS, len(known)), np.int64), 0
+                for f, n in counts:
+                    if f < FOLDS:
+                        np.add.at(count[f], at[first:first + len(n)], n)
+                    first += len(n)
                 for cut in range(0, len(known), 100_000):
                     some = known[cut:cut + 100_000]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(some), block)), pa.array([lang] * len(some), pa.string()), pa.array(some), pa.array(count[cut:cut + 100_000])],
-                        ["block", "lang", "gram", "n"])
+                        [pa.array(np.full(len(some), block)), pa.array([lang] * len(some), pa.string()), pa.array(some),
+                         *[pa.array(count[f, cut:cut + 100_000]) for f in range(FOLDS)], pa.array(count[1:, cut:cut + 100_000].sum(axis=0))],
+                        ["block", "lang", "gram", *COUNTS, "n"])
 
-    return texts.mapInArrow(run, "block long, lang string, gram long, n long")
+    return texts.mapInArrow(run, "block long, lang string, gram long, " + ", ".join(f"{c} long" for c in COUNTS) + ", n long")
 
 
 def discounts(grams_: DataFrame) -> DataFrame:
@@ -145,39 +161,57 @@ def probabilities(top: DataFrame) -> DataFrame:
     return lower
 
 
-def scored(texts: DataFrame, answers: str, shelves: int) -> DataFrame:
-    """``id``, ``lang``, ``n_symbols`` (characters and the end) and ``nats`` (the sum of -ln p) of documents, by their block's answers."""
+def scored(texts: DataFrame, marks: str, answers: str, shelves: int) -> DataFrame:
+    """``id``, ``lang``, ``n_symbols`` (characters and the end), ``nats`` (the sum of -ln p) of documents, by their block's answers, and of
+    trusted ones ``fold`` and ``held_nats``, by the model that their fold is not in."""
     def run(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
         for block, held in blocks(tuples(batches), lambda r: len(r[1])):
+            fold = folds_of(marks, shelves, block)
             found = of_block(answers, shelves, block, ["lang", "gram", "nats"])
             if found is None or not len(found):
                 raise RuntimeError("two passes over the documents disagree; settle them first")
             langs, gram, nats = (found[c].to_numpy() if c != "lang" else found[c].to_numpy(zero_copy_only=False) for c in ("lang", "gram", "nats"))
             for lang, own in by_language(held):
-                mine = np.flatnonzero(langs == lang)
-                mine = mine[np.argsort(gram[mine])]
-                known, cost = gram[mine], nats[mine].astype(np.float64)
-                for part in parts(own):
-                    key, sizes = grams([r[1] for r in part])
+                def answers_of(f):
+                    mine = np.flatnonzero(langs == name_of(f, lang))
+                    mine = mine[np.argsort(gram[mine])]
+                    return gram[mine], nats[mine].astype(np.float64)
+
+                def cost_of(texts_, model):
+                    known, cost = model
+                    key, sizes = grams(texts_)
                     at = np.minimum(np.searchsorted(known, key), len(known) - 1)
                     if not len(known) or not (known[at] == key).all():
                         raise RuntimeError("two passes over the documents disagree; settle them first")
-                    total = np.add.reduceat(cost[at], np.cumsum(sizes) - sizes)
+                    return sizes, np.add.reduceat(cost[at], np.cumsum(sizes) - sizes)
+
+                models = {f: answers_of(f) for f in {0, *(fold[r[0]] for r in own if r[0] in fold)}}
+                for part in parts(own):
+                    sizes, total = cost_of([r[1] for r in part], models[0])
+                    folds = [fold.get(r[0]) for r in part]
+                    other = [None if f is None else total[k] for k, f in enumerate(folds)]
+                    for f in {*folds} - {None, 0}:
+                        at = [k for k, x in enumerate(folds) if x == f]
+                        for k, n in zip(at, cost_of([part[k][1] for k in at], models[f])[1]):
+                            other[k] = n
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([r[0] for r in part], id_type), pa.array([lang] * len(part), pa.string()), pa.array(sizes), pa.array(total)],
-                        ["id", "lang", "n_symbols", "nats"])
+                        [pa.array([r[0] for r in part], id_type), pa.array([lang] * len(part), pa.string()), pa.array(sizes), pa.array(total),
+                         pa.array(folds, pa.int32()), pa.array(other, pa.float64())],
+                        ["id", "lang", "n_symbols", "nats", "fold", "held_nats"])
 
     id_type = to_arrow_type(texts.schema["id"].dataType)
-    return texts.mapInArrow(run, f"id {dict(texts.dtypes)['id']}, lang string, n_symbols long, nats double")
+    return texts.mapInArrow(run, f"id {dict(texts.dtypes)['id']}, lang string, n_symbols long, nats double, fold int, held_nats double")
 
 
 def perplexities(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """``id``, ``lang``, ``n_symbols``, ``perplexity`` (NULL where no trusted text of the language trains) and ``held_out``, for each row.
+    """``id``, ``lang``, ``n_symbols``, ``perplexity`` (NULL where no trusted text of the language trains), ``held_out``, and of trusted texts
+    ``held_perplexity`` (else NULL, and where no trusted text of the language is in another fold), for each row.
 
-    ``trusted`` has the ids of trusted texts; one in FOLDS of them, by a hash of the id, is held out of training.
+    ``trusted`` has the ids of trusted texts, dealt into FOLDS by a hash of the id. The first fold is held out of training the model that
+    scores documents; ``held_perplexity`` is by a model of all folds but the text's own, so every trusted text has one.
     Documents are read four times (twice for lengths only) and never shuffled: what moves are the distinct n-grams of each block, to the
     shard of their count and back, so it grows with the input. Rows must lie in the same partitions each time, as those
     of files do; passes that disagree raise an error.
@@ -187,37 +221,48 @@ def perplexities(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", te
     # splits smaller than a block are joined, as far as all cores stay busy: a block asks for each n-gram once
     chars = texts.agg(F.sum(F.length("text"))).first()[0] or 0
     texts = texts.coalesce(max(docs.sparkSession.sparkContext.defaultParallelism, -(-chars // common.BLOCK_CHARS), 1))
-    marks = settled(trusted.select(F.col(id_col).cast(dict(texts.dtypes)["id"]).alias("id")).dropna().distinct().select(
-        "id", (F.pmod(F.xxhash64(F.col("id").cast("string")), F.lit(FOLDS)) == 0).alias("held_out")), "marks")
+    ids = trusted.select(F.col(id_col).cast(dict(texts.dtypes)["id"]).alias("id")).dropna().distinct()
+    fold = F.pmod(F.xxhash64(F.col("id").cast("string")), F.lit(FOLDS)).cast("int")
     placed = settled(block_of(texts), "placed")
     shelves = shelves_for(placed)
-    # a row without an id for each block, so that a block that is not there is told from one in which nothing trains
-    every = placed.select("block").distinct().withColumn("id", F.lit(None).cast(dict(texts.dtypes)["id"]))
-    train = put_by_block(placed.join(marks.filter(~F.col("held_out")), "id").select("block", "id").unionByName(every), shelves, "train")
-    asked = settled(counted(texts, train, shelves), "asked")
-    model = probabilities(asked.groupBy("lang", "gram").agg(F.sum("n").alias("n")))
-    answers = put_by_block(asked.join(model, ["lang", "gram"]).select("block", "lang", "gram", (-F.log("p")).cast("float").alias("nats")), shelves, "answers")
-    trained = asked.groupBy("lang").agg(F.max("n").alias("_n")).filter("_n > 0").select(F.col("lang").alias("_lang"))
+    # a row without an id for each block, so that a block that is not there is told from one without trusted texts
+    every = placed.select("block").distinct().select("block", F.lit(None).cast(dict(texts.dtypes)["id"]).alias("id"), F.lit(None).cast("int").alias("fold"))
+    marks = put_by_block(placed.join(ids, "id").select("block", "id", fold.alias("fold")).unionByName(every), shelves, "marks")
+    asked = settled(counted(texts, marks, shelves), "asked")
+    total = sum((F.col(c) for c in COUNTS), F.lit(0).cast("long"))
+    whole = settled(asked.groupBy("lang", "gram").agg(*[F.sum(c).alias(c) for c in COUNTS], F.sum("n").alias("n")), "whole")
+    # the model of documents knows all their n-grams; those that leave another fold out need only the trusted texts'
+    tops = whole.select(name_of(0, F.col("lang")).alias("lang"), "gram", "n")
+    wanted = asked.select("block", name_of(0, F.col("lang")).alias("lang"), "gram")
+    for f in range(1, FOLDS):
+        own = name_of(f, F.col("lang")).alias("lang")
+        tops = tops.unionByName(whole.filter(total > 0).select(own, "gram", (total - F.col(f"n{f}")).alias("n")))
+        wanted = wanted.unionByName(asked.filter(F.col(f"n{f}") > 0).select("block", own, "gram"))
+    model = probabilities(tops)
+    answers = put_by_block(wanted.join(model, ["lang", "gram"]).select("block", "lang", "gram", (-F.log("p")).cast("float").alias("nats")), shelves, "answers")
+    others = F.array(*[F.max(total - F.col(c)) > 0 for c in COUNTS]).alias("_others")
+    trained = whole.groupBy("lang").agg(others).select(F.col("lang").alias("_lang"), "_others")
     salt = F.pmod(F.xxhash64(F.col("id").cast("string")), F.lit(SALTS)).cast("int")
     trained = trained.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    rows = settled(scored(texts, answers, shelves), "scored")
-    return rows.join(trained, (F.col("lang") == F.col("_lang")) & (salt == F.col("_salt")), "left").join(marks, "id", "left").select(
-        "id", "lang", "n_symbols", F.when(F.col("_lang").isNotNull(), F.exp(F.col("nats") / F.col("n_symbols"))).alias("perplexity"),
-        F.coalesce("held_out", F.lit(False)).alias("held_out"))
+    rows = settled(scored(texts, marks, answers, shelves), "scored")
+    return rows.join(trained, (F.col("lang") == F.col("_lang")) & (salt == F.col("_salt")), "left").select(
+        "id", "lang", "n_symbols", F.when(F.col("_others")[0], F.exp(F.col("nats") / F.col("n_symbols"))).alias("perplexity"),
+        F.coalesce(F.col("fold") == 0, F.lit(False)).alias("held_out"),
+        F.when(F.get("_others", F.col("fold")), F.exp(F.col("held_nats") / F.col("n_symbols"))).alias("held_perplexity"))
 
 
 def classify(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-             quantile: float = 0.99, slack: float = 1.5) -> DataFrame:
+             quantile: float = 0.99) -> DataFrame:
     """``id_col``, ``lang`` (NULL: ''), ``n_symbols``, ``perplexity``, ``threshold`` and ``kept``, for each row of docs.
 
-    A language's threshold is ``slack`` times the ``quantile`` of perplexities of its held-out trusted texts; documents above it are
-    rejected. Where a language has no trusted text to train on or none held out, nothing is known against its documents: perplexity
-    or threshold is NULL and they are kept. NULL texts are empty (their only symbol is the end); repeated rows count
+    A language's threshold is the ``quantile`` of perplexities of its trusted texts, each by a model that it is not in; documents
+    above it are rejected. Where a language has no trusted text to train on, or all its trusted texts are in one fold, nothing is known
+    against its documents: perplexity or threshold is NULL and they are kept. NULL texts are empty (their only symbol is the end); repeated rows count
     each; other columns are ignored, so they may have any names; an empty table gives no rows.
     """
     rows = settled(perplexities(docs, trusted, id_col, text_col, lang_col), "perplexities")
-    limits = rows.filter(F.col("held_out") & F.col("perplexity").isNotNull()).groupBy(F.col("lang").alias("_lang")).agg(
-        (F.percentile_approx("perplexity", quantile, 10_000) * slack).alias("threshold"))
+    limits = rows.filter(F.col("held_perplexity").isNotNull()).groupBy(F.col("lang").alias("_lang")).agg(
+        F.percentile_approx("held_perplexity", quantile, 10_000).alias("threshold"))
     # most rows may be of one language: each threshold stands SALTS times, and rows choose one by their id
     limits = limits.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     salt = F.pmod(F.xxhash64(F.col("id").cast("string")), F.lit(SALTS)).cast("int")
