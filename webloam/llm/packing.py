@@ -103,7 +103,6 @@ def token_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 texts = part.column(1).to_pylist()
                 rows, number, start, length, ids = [], [], [], [], []
                 gc.disable()  # nothing below makes cycles, and walking the memos is slow
-                bpe.remember(texts, bpe.chunk_ids, bpe.word_ids)
                 for k, text in enumerate(texts):
                     own = bpe.ids(text) + close
                     for p, cut in enumerate(range(0, len(own), 4 * capacity)):

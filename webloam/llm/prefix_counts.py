@@ -35,7 +35,7 @@ def token_prefixes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 part = batch.slice(at, BATCH)
                 texts = part.column(1).to_pylist()
                 gc.disable()  # nothing below makes cycles, and walking the memos is slow
-                bpe.remember(texts, bpe.chunk_steps, bpe.word_steps)
+                bpe.remember(texts)
                 own = [bpe.prefix_counts(t) for t in texts]
                 gc.enable()
                 ends = np.zeros(len(own) + 1, np.int32)
