@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webloam.llm import chat, decontaminate, fertility, kneser_ney, licenses, near_dedup, packing, prefix_counts, sharding, warc
+from webloam.llm import chat, concat, decontaminate, fertility, infill, kneser_ney, licenses, near_dedup, packing, prefix_counts, resample, sharding, warc
 from webloam.llm.common import fresh_path
 
 
@@ -117,6 +117,42 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_classes(table(spark, sf_dir, "documents"))
 
 
+def op11_concat_and_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = concat.concat_and_cut(table(spark, sf_dir, "documents"))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    changed = infill.restored(infill.fill_in_middle(table(spark, sf_dir, "documents")))
+    return changed.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2("restored", 256).alias("restored_sha256"))
+
+
+OP13_SQL = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+c AS (
+  SELECT doc_id, text, length(text) AS n,
+         CAST('0x' || substr(h, 1, 8) AS BIGINT) % (length(text) + 1) AS x, CAST('0x' || substr(h, 9, 8) AS BIGINT) % (length(text) + 1) AS y,
+         CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>')
+                OR CAST('0x' || substr(h, 17, 8) AS BIGINT) % 100 >= 90 THEN 'plain'
+              WHEN CAST('0x' || substr(h, 25, 8) AS BIGINT) % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+  FROM d),
+p AS (
+  SELECT *, substr(text, 1, least(x, y)) AS prefix, substr(text, least(x, y) + 1, greatest(x, y) - least(x, y)) AS middle,
+         substr(text, greatest(x, y) + 1) AS suffix FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN least(x, y) END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN greatest(x, y) - least(x, y) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+                        ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+       sha256(text) AS restored_sha256
+FROM p
+"""
+
+
 QUERIES = {
     "op1_chat_formatting": op1_chat_formatting,
     "op2_hilbert_shards": op2_hilbert_shards,
@@ -128,7 +164,10 @@ QUERIES = {
     "op8_token_counts": op8_token_counts,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_near_dedup": op10_near_dedup,
+    "op11_concat_and_cut": op11_concat_and_cut,
+    "op12_importance_resampling": op12_importance_resampling,
+    "op13_fill_in_middle": op13_fill_in_middle,
 }
 
 #: SQL twins, where SQL can express the whole query.
-SQL: dict[str, str] = {"op1_chat_formatting": OP1_SQL, "op3_warc": OP3_SQL}
+SQL: dict[str, str] = {"op1_chat_formatting": OP1_SQL, "op3_warc": OP3_SQL, "op13_fill_in_middle": OP13_SQL}
