@@ -1,4 +1,8 @@
-from webloam.operators.scientific import extract_abstracts, extract_keywords, reinject_sections, scientific_preprocess
+import time
+
+import pytest
+
+from webloam.operators.scientific import extract_abstracts, extract_body_sections, extract_keywords, reinject_sections, scientific_preprocess
 from webloam.functions.outcome import is_scientific_site
 
 LONG = "This sentence is certainly longer than fifty characters in all."
@@ -51,7 +55,7 @@ def test_body_sections(spark):
             f'<div class="Figure-x">{LONG} fig</div><p id="spar1">{LONG} spar</p><section><h3>Sub</h3><p>{LONG} sub</p></section></section>'
             f'<section><p>{LONG} no heading</p></section></div>tail')
     left, content = run(spark, html)
-    intro = "\n\n".join(f"{LONG} {i}" for i in range(5))
+    intro = "\n\n".join(f"{LONG} {i}" for i in range(7))
     assert (left, content) == ("tail", f"## Intro\n\n{intro}\n\n## Sub\n\n{LONG} sub")
 
 
@@ -67,3 +71,48 @@ def test_rows_and_reinjection(spark):
     docs = spark.createDataFrame([(1, "# T\n\nbody"), (2, "# U\n\nbody")], "page_id long, markdown string")
     sections = spark.createDataFrame([(1, "S")], "page_id long, scientific_content string")
     assert {r[0]: r[1] for r in reinject_sections(docs, sections).collect()} == {1: "# T\n\nS\n\nbody", 2: "# U\n\nbody"}
+
+
+def test_nested_sections_keep_what_is_theirs(spark):
+    html = (f'<article id="body"><section><h2>A</h2><p>{LONG} a</p><div><section><h3>B</h3><p>{LONG} b</p><section><h2>C</h2><p>{LONG} c</p></section>'
+            f'<p>{LONG} b2</p></section></div><p>{LONG} a2</p></section><section id="references"><h2>R</h2><p>{LONG} r</p></section></article>')
+    df = spark.createDataFrame([(1, html)], "page_id long, html string")
+    got = [r.section for r in extract_body_sections(df).orderBy("ordinal").collect()]
+    inner = f"B {LONG} b C {LONG} c {LONG} b2"
+    assert got == [f"## A\n\n{LONG} a\n\n{inner}\n\n{LONG} a2", f"## B\n\n{LONG} b\n\n{LONG} b2", f"## C\n\n{LONG} c"]
+
+
+def test_abstracts_inside_abstracts(spark):
+    deep = f'<div class="abstract"><h3>1</h3>{LONG} 1</div>'
+    for k in (2, 3, 4):
+        deep = f'<div class="abstract"><h3>{k}</h3>{LONG} {k}{deep}</div>'
+    two = f'<div class="abstract">short<div class="abstract">s</div></div><div class="abstract">{LONG} w<i class="abstract">x</i><i class="abstract">y</i></div>'
+    left, content = run(spark, deep + two)
+    assert content == "\n\n".join(f"## {k}\n\n{LONG} {k}" for k in (1, 2, 3, 4)) and left == two
+
+
+def test_texts_may_be_shorter_where_the_caller_says_so(spark):
+    df = spark.createDataFrame([(1, '<p class="abstract">a few words</p><div id="body"><section><h2>H</h2><p>tiny</p></section></div>')], "page_id long, html string")
+    assert extract_abstracts(df).count() == 0 and [r.section for r in extract_abstracts(df, min_text=5).collect()] == ["## Abstract\n\na few words"]
+    assert [r.section for r in extract_body_sections(df, min_text=3).collect()] == ["## H\n\ntiny"]
+
+
+@pytest.mark.parametrize("kind", ["spans", "in_one", "sections", "abstracts"])
+def test_many_elements_take_linear_time(spark, kind):
+    def page(n):
+        if kind == "spans":
+            return "".join(f'<span class="keyword">k{i}</span>' for i in range(n)), n
+        if kind == "in_one":
+            return '<div class="keywords">' + "".join(f'<span class="keyword">k{i}</span>' for i in range(n)) + "</div>", 1
+        if kind == "sections":
+            return '<div id="body">' + "".join(f"<section><h2>S{i}</h2><p>{LONG} {i}</p></section>" for i in range(n)) + "</div>", n
+        return "".join(f'<div class="abstract"><h2>A{i}</h2><p>{LONG} {i}</p></div>' for i in range(n)), n
+
+    times = []
+    for n in (500, 1_000, 8_000):
+        html, sections = page(n)
+        start = time.perf_counter()
+        left, content = run(spark, html)
+        times.append(time.perf_counter() - start)
+        assert left == "" and content.count("## ") == sections
+    assert times[2] < 12 * times[1] + 4

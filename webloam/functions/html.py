@@ -133,19 +133,41 @@ def is_scrubbed_tag(tok: Column) -> Column:
 
 
 _GAPS = "array<struct<s:int,n:int>>"
-_CHUNK = 256
+#: Items that are folded at once.
+_RUN = 128
 
 
 def _gap(start: Column, stop: Column) -> Column:
     return F.struct(start.cast("int").alias("s"), (stop - start).cast("int").alias("n"))
 
 
+def swept(items: Column, state: Column, kind: str, step, finish=lambda state, rows: rows) -> Column:
+    """What ``step(state, item)``, a struct(state, out), puts out for the items in order; ``out`` is an array of type ``kind``.
+
+    A fold copies all it holds for every item. So items are folded in runs that hold their own rows only, and the runs are
+    folded after each other: a page with very many items does not copy all rows for each of them.
+    """
+    none = F.array().cast(kind)
+    both = lambda state, rows: F.struct(state.alias("state"), rows.alias("rows"))
+
+    def one(acc: Column, x: Column) -> Column:
+        return let(step(acc["state"], x), lambda r: both(r["state"], F.concat(acc["rows"], r["out"])))
+
+    def run(acc: Column, xs: Column) -> Column:
+        return let(F.aggregate(xs, both(acc["state"], none), one), lambda r: both(r["state"], F.concat(acc["rows"], r["rows"])))
+
+    def work(xs: Column) -> Column:
+        runs = F.transform(F.sequence(F.lit(0), F.floor((F.size(xs) - 1) / _RUN).cast("int")), lambda k: F.slice(xs, k * _RUN + 1, F.lit(_RUN)))
+        return F.aggregate(F.when(F.size(xs) > 0, runs).otherwise(F.slice(runs, 1, 0)), both(state, none), run, lambda acc: finish(acc["state"], acc["rows"]))
+
+    return let(items, work)
+
+
 def drop_elements(tokens: Column, mark) -> Column:
     """Tokens without the elements whose start tag satisfies ``mark``, content included.
 
-    One pass over the tokens remembers the gaps between the removed elements; the kept
-    tokens are slices at those gaps. Gaps are collected in chunks, so that a page with
-    very many removed elements does not copy a long array per element.
+    One pass over the tags remembers the gaps between the removed elements; the kept
+    tokens are slices at those gaps.
     """
     def describe(tok: Column, i: Column) -> Column:
         return let(
@@ -154,9 +176,8 @@ def drop_elements(tokens: Column, mark) -> Column:
                 i.alias("i"), tag.alias("tag"), level_step(tok, tag).alias("d"),
                 ((tag != "") & ~is_close(tok) & mark(tok)).alias("m")))
 
-    start = F.struct(
-        F.lit(0).alias("depth"), F.lit(0).alias("inner"), F.lit("").alias("tag"), F.lit(0).alias("at"),
-        F.array().cast(_GAPS).alias("gaps"), F.array().cast(f"array<{_GAPS}>").alias("full"))
+    start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("inner"), F.lit("").alias("tag"), F.lit(0).alias("at"))
+    none = F.array().cast(_GAPS)
 
     def implied_end(acc: Column, t: Column) -> Column:
         opens, inner0, own = t["d"] >= 0, acc["inner"] == 0, acc["tag"]
@@ -182,31 +203,24 @@ def drop_elements(tokens: Column, mark) -> Column:
         inner = F.when(
             open_ & (t["tag"] != acc["tag"]) & t["tag"].isin(*CONTAINER_TAGS), acc["inner"] + t["d"]
         ).when(open_, acc["inner"]).otherwise(F.lit(0))
-        full = F.size(acc["gaps"]) >= _CHUNK
-        gap = F.array(_gap(at, t["i"]))
         return F.struct(
-            depth.alias("depth"),
-            inner.alias("inner"),
-            F.when(begins, t["tag"]).otherwise(acc["tag"]).alias("tag"),
-            F.when(closes | alone, t["i"] + 1).otherwise(at).alias("at"),
-            F.when(~begins, acc["gaps"]).when(full, gap)
-            .otherwise(F.concat(acc["gaps"], gap)).alias("gaps"),
-            F.when(begins & full, F.concat(acc["full"], F.array(acc["gaps"])))
-            .otherwise(acc["full"]).alias("full"))
-
-    def merge(acc: Column, t: Column) -> Column:
-        quiet = (t["d"] == 0) & ~t["m"] | (acc["depth"] == 0) & ~t["m"]
-        return F.when(quiet & ~t["tag"].isin("hr"), acc).otherwise(
+            F.struct(
+                depth.alias("depth"), inner.alias("inner"),
+                F.when(begins, t["tag"]).otherwise(acc["tag"]).alias("tag"),
+                F.when(closes | alone, t["i"] + 1).otherwise(at).alias("at")).alias("state"),
+            F.when(begins, F.array(_gap(at, t["i"]))).otherwise(none).alias("out"))
+
+    def step(acc: Column, t: Column) -> Column:
+        quiet = ((t["d"] == 0) | (acc["depth"] == 0)) & ~t["m"] & (t["tag"] != "hr")
+        return F.when(quiet, F.struct(acc.alias("state"), none.alias("out"))).otherwise(
             let(implied_end(acc, t), lambda ended: advance(acc, t, ended)))
 
     def finish_with(n: Column):
-        def finish(acc: Column) -> Column:
-            tail = F.when(acc["depth"] > 0, F.array().cast(_GAPS)).otherwise(F.array(_gap(acc["at"], n)))
-            return F.concat(F.flatten(acc["full"]), acc["gaps"], tail)
-        return finish
+        return lambda acc, gaps: F.concat(gaps, F.when(acc["depth"] > 0, none).otherwise(F.array(_gap(acc["at"], n))))
 
     def cut(toks: Column) -> Column:
-        gaps = F.aggregate(F.transform(toks, describe), start, merge, finish_with(F.size(toks)))
+        tags = F.filter(F.transform(toks, describe), lambda t: t["tag"] != "")
+        gaps = swept(tags, start, _GAPS, step, finish_with(F.size(toks)))
         return F.flatten(F.transform(gaps, lambda g: F.slice(toks, g["s"] + 1, g["n"])))
 
     return let(tokens, cut)
@@ -262,32 +276,23 @@ def elements(tokens: Column) -> Column:
         size = F.size(acc["pos"])
         done = closed(acc, n, lambda j: F.when((t["d"] == -1) & (j == n - 1), t["i"]).otherwise(t["i"] - 1))
         own = F.struct(t["i"].alias("s"), t["i"].alias("e"), (size - n + 1).cast("int").alias("depth"))
-        done = F.when(t["d"] == 0, F.concat(done, F.array(own))).otherwise(done)
         tags = F.slice(acc["tags"], n + 1, size - n)
         pos = F.slice(acc["pos"], n + 1, size - n)
-        full = F.size(acc["pairs"]) >= _CHUNK
-        return let(done, lambda d: F.struct(
-            F.when(t["d"] == 1, F.concat(F.array(t["tag"]), tags)).otherwise(tags).alias("tags"),
-            F.when(t["d"] == 1, F.concat(F.array(t["i"]), pos)).otherwise(pos).alias("pos"),
-            F.when(F.size(d) == 0, acc["pairs"]).when(full, d).otherwise(F.concat(acc["pairs"], d)).alias("pairs"),
-            F.when(full & (F.size(d) > 0), F.concat(acc["full"], F.array(acc["pairs"])))
-            .otherwise(acc["full"]).alias("full")))
-
-    def merge(acc: Column, t: Column) -> Column:
-        return F.when(t["tag"] == "", acc).otherwise(
-            let(pops(acc["tags"], t), lambda n: advance(acc, t, n)))
+        return F.struct(
+            F.struct(
+                F.when(t["d"] == 1, F.concat(F.array(t["tag"]), tags)).otherwise(tags).alias("tags"),
+                F.when(t["d"] == 1, F.concat(F.array(t["i"]), pos)).otherwise(pos).alias("pos")).alias("state"),
+            F.when(t["d"] == 0, F.concat(done, F.array(own))).otherwise(done).alias("out"))
+
+    def step(acc: Column, t: Column) -> Column:
+        return let(pops(acc["tags"], t), lambda n: advance(acc, t, n))
 
     def finish_with(n: Column):
-        def finish(acc: Column) -> Column:
-            rest = closed(acc, F.size(acc["pos"]), lambda j: n - 1)
-            return F.sort_array(F.concat(F.flatten(acc["full"]), acc["pairs"], rest))
-        return finish
-
-    start = F.struct(
-        F.array().cast("array<string>").alias("tags"), F.array().cast("array<int>").alias("pos"),
-        F.array().cast(_PAIRS).alias("pairs"), F.array().cast(f"array<{_PAIRS}>").alias("full"))
-    return let(tokens, lambda toks: F.aggregate(
-        F.transform(toks, describe), start, merge, finish_with(F.size(toks))))
+        return lambda acc, pairs: F.sort_array(F.concat(pairs, closed(acc, F.size(acc["pos"]), lambda j: n - 1)))
+
+    start = F.struct(F.array().cast("array<string>").alias("tags"), F.array().cast("array<int>").alias("pos"))
+    return let(tokens, lambda toks: swept(
+        F.filter(F.transform(toks, describe), lambda t: t["tag"] != ""), start, _PAIRS, step, finish_with(F.size(toks))))
 
 
 _NAMED_ENTITIES = "\x1e".join(f"{name}\x1f{chr(cp)}" for name, cp in name2codepoint.items())

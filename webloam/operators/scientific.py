@@ -19,18 +19,18 @@ def _tree() -> Column:
 
 
 @per_application
-def _abstracts() -> Column:
-    return S.abstracts(F.col("_tree"))
+def _abstracts(min_text: int) -> Column:
+    return S.abstracts(F.col("_tree"), min_text)
 
 
 @per_application
-def _keywords(after_abstracts: bool) -> Column:
-    return S.keywords(F.col("_tree"), F.col("_abs")["cuts"] if after_abstracts else S.no_cuts())
+def _keywords(tree: str) -> Column:
+    return S.keywords(F.col(tree))
 
 
 @per_application
-def _body(after_keywords: bool) -> Column:
-    return S.body_sections(F.col("_tree"), F.col("_kw")["cuts"] if after_keywords else S.no_cuts())
+def _body(tree: str, min_text: int) -> Column:
+    return S.body_sections(F.col(tree), min_text)
 
 
 def with_tree(pages: DataFrame) -> DataFrame:
@@ -44,42 +44,41 @@ def _one_section_per_row(df: DataFrame, state: str) -> DataFrame:
 
 
 # D5
-def extract_abstracts(pages: DataFrame) -> DataFrame:
-    """(page_id, ordinal, section): the abstracts of each page, deepest first."""
-    df = with_tree(pages).withColumn("_abs", _abstracts())
+def extract_abstracts(pages: DataFrame, min_text: int = S.MIN_TEXT) -> DataFrame:
+    """(page_id, ordinal, section): the abstracts of each page with more than ``min_text`` characters, deepest first."""
+    df = with_tree(pages).withColumn("_abs", _abstracts(min_text))
     return _one_section_per_row(df, "_abs")
 
 
 # D6
 def extract_keywords(pages: DataFrame) -> DataFrame:
     """(page_id, ordinal, section): the keyword sections of each page."""
-    df = with_tree(pages).withColumn("_kw", _keywords(False))
+    df = with_tree(pages).withColumn("_kw", _keywords("_tree"))
     return _one_section_per_row(df, "_kw")
 
 
 # D7
-def extract_body_sections(pages: DataFrame) -> DataFrame:
-    """(page_id, ordinal, section): headed sections of the article body of each page."""
-    df = with_tree(pages).withColumn("_body", _body(False))
+def extract_body_sections(pages: DataFrame, min_text: int = S.MIN_TEXT) -> DataFrame:
+    """(page_id, ordinal, section): headed sections of the article body of each page; all paragraphs of more than ``min_text`` characters."""
+    df = with_tree(pages).withColumn("_body", _body("_tree", min_text))
     return _one_section_per_row(df, "_body")
 
 
 # D8
-def scientific_preprocess(pages: DataFrame) -> DataFrame:
+def scientific_preprocess(pages: DataFrame, min_text: int = S.MIN_TEXT) -> DataFrame:
     """``html`` without the extracted parts and ``scientific_content`` for scientific hosts.
 
     Other pages keep their html and get an empty string; they never build a tree.
     """
-    scientific = is_scientific_site(F.col("url"))
+    scientific = F.col("is_scientific")
     return (
-        pages.withColumn("is_scientific", scientific)
-        .withColumn("_tree", F.when(F.col("is_scientific"), _tree()))
-        .withColumn("_abs", F.when(F.col("is_scientific"), _abstracts()))
-        .withColumn("_kw", F.when(F.col("is_scientific"), _keywords(True)))
-        .withColumn("_body", F.when(F.col("is_scientific"), _body(True)))
-        .withColumn("html", F.when(F.col("is_scientific"), H.tokens_html(
-            S.without_cuts(F.col("_tree"), F.col("_body")["cuts"]))).otherwise(F.col("html")))
-        .withColumn("scientific_content", F.when(F.col("is_scientific"), F.array_join(F.concat(
+        pages.withColumn("is_scientific", is_scientific_site(F.col("url")))
+        .withColumn("_tree", F.when(scientific, _tree()))
+        .withColumn("_abs", F.when(scientific, _abstracts(min_text)))
+        .withColumn("_kw", F.when(scientific, _keywords("_abs.tree")))
+        .withColumn("_body", F.when(scientific, _body("_kw.tree", min_text)))
+        .withColumn("html", F.when(scientific, H.tokens_html(F.col("_body.tree.toks"))).otherwise(F.col("html")))
+        .withColumn("scientific_content", F.when(scientific, F.array_join(F.concat(
             F.col("_abs")["out"], F.col("_kw")["out"], F.col("_body")["out"]), "\n\n")).otherwise(F.lit("")))
         .drop("_tree", "_abs", "_kw", "_body")
     )

@@ -63,7 +63,7 @@ def process_pages(pages: DataFrame, config: PipelineConfig = PipelineConfig(),
         df = df.withColumn("html_answer", F.lit(None).cast("string"))
         classic = F.lit(True)
 
-    df = scientific_preprocess(df)
+    df = scientific_preprocess(df, config.min_section_chars)
     scientific = F.col("is_scientific") & classic
     raw_tokens = H.text_tokens(F.col("_raw"))
     df = df.withColumn("_tokens", H.text_tokens(F.col("html")))

@@ -127,6 +127,7 @@ class PipelineConfig:
     min_words: int = 10
     max_loss: float = 10.0
     min_answer_chars: int = 100
+    min_section_chars: int = 50
     max_pdf_mb: int | None = None
 
 
