@@ -209,3 +209,21 @@ def test_pipeline(spark, tmp_path):
         assert out.columns == docs.columns
         out = common.settled(out, "stage")
     assert corpus_pipeline.STAGES[-1][1](spark, docs.limit(0), str(tmp_path)).count() == 0
+
+
+def test_one_outlier_beside_a_solved_group_costs_a_task_for_each_block(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "BLOCK", 100)
+    rows = [(1, n, 0) for n in range(5000)] + [(1, 9000, 9000), (2, 9000, 9000), (2, 9001, 9001)]
+    members = spark.createDataFrame(rows, "key long, node long, root long")
+    own = near_dedup.blocks_of(members).collect()
+    sizes = {}
+    for r in own:
+        sizes.setdefault((r.key, r.blk), set()).add(r.root)
+    assert len(own) == len(rows) and len([k for k in sizes if k[0] == 1]) <= 51
+    assert all(len(roots) == 1 for (key, blk), roots in sizes.items() if key == 1)
+    keys = [1, 2, 3, 4, 5]
+    near = [list(range(5)), list(range(1, 6))]
+    vecs = spark.createDataFrame([(n, keys if n in (7, 9000) else [n * 9 + k + 100 for k in near[n % 2]], [1.0] * 5) for _, n, _ in rows if n != 9001]
+                                 + [(9001, keys, [1.0] * 5)], "node long, keys array<int>, weights array<float>").dropDuplicates(["node"])
+    links = {tuple(sorted((r.u, r.v))) for r in near_dedup.blockwise(members, vecs).collect()}
+    assert links == {(7, 9000), (9000, 9001)}

@@ -228,15 +228,37 @@ def unresolved(members: DataFrame, roots: DataFrame) -> DataFrame:
     return own.join(open_, "key")
 
 
+def blocks_of(members: DataFrame) -> DataFrame:
+    """Members (key, node, root) with ``blk``, a block of about BLOCK members of their key, and ``of``: the root all of the block have, or NULL.
+
+    Members of one component that are more than BLOCK have blocks of their own; smaller components share blocks and stay whole.
+    Blocks follow from counts and hashes, so no key or component is numbered in one task.
+    """
+    sizes = members.groupBy("key", "root").agg(F.count(F.lit(1)).alias("_n"))
+    large = F.col("_n") > BLOCK
+    rest = sizes.filter(~large).groupBy("key").agg(F.sum("_n").alias("_rest"))
+    sizes = sizes.join(rest, "key", "left").withColumnRenamed("key", "_key").withColumnRenamed("root", "_root")
+    own = F.struct(F.col("root").alias("of"), F.pmod(F.xxhash64("node"), F.ceil(F.col("_n") / BLOCK)).alias("part"))
+    shared = F.struct(F.lit(None).cast("long").alias("of"), F.pmod(F.xxhash64("root"), F.ceil(F.col("_rest") / BLOCK)).alias("part"))
+    return members.join(sizes, (F.col("key") == F.col("_key")) & (F.col("root") == F.col("_root"))).select(
+        "key", "node", "root", F.when(large, own).otherwise(shared).alias("_blk")).select(
+        "key", "node", "root", F.col("_blk.of").alias("of"), F.concat_ws("/", "_blk.of", "_blk.part").alias("blk"))
+
+
 def blockwise(members: DataFrame, vecs: DataFrame) -> DataFrame:
-    """All links (u, v) between members (key, node, root) of one key whose roots differ, compared in blocks of BLOCK.
+    """All links (u, v) between members (key, node, root) of one key whose roots differ, compared in blocks of about BLOCK.
 
-    A task sees two blocks of one key, so no group meets whole; only links are put out, no pairs.
+    A task sees two blocks of one key, so no group meets whole; only links are put out, no pairs. Two blocks of one component
+    are not compared: a large component beside few others costs a task for each of its blocks, not for each two.
     """
-    numbered = members.withColumn("_b", F.floor((F.row_number().over(Window.partitionBy("key").orderBy("node")) - 1) / BLOCK).cast("int"))
-    blocks = numbered.groupBy("key").agg(F.max("_b").alias("_last"))
-    tasks = numbered.join(blocks, "key").withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_last")))) \
-        .select("key", F.least("_b", "_o").alias("lo"), F.greatest("_b", "_o").alias("hi"), "_b", "node", "root")
+    own = settled(blocks_of(members), "blocks")
+    named = own.select("key", "blk", "of").distinct()
+    other = named.select(F.col("key").alias("_key"), F.col("blk").alias("_blk"), F.col("of").alias("_of"))
+    pairs = named.join(other, (F.col("key") == F.col("_key")) & (F.col("blk") <= F.col("_blk")) & ~F.coalesce(F.col("of") == F.col("_of"), F.lit(False)))
+    pairs = settled(pairs.select("key", F.col("blk").alias("lo"), F.col("_blk").alias("hi")), "block_pairs")
+    sides = pairs.withColumn("_b", F.explode(F.array_distinct(F.array("lo", "hi"))))
+    tasks = sides.withColumnRenamed("key", "_key").join(own, (F.col("_key") == F.col("key")) & (F.col("_b") == F.col("blk"))).select(
+        "key", "lo", "hi", "_b", "node", "root")
 
     def compare(pdf):
         import numpy as np
