@@ -98,7 +98,7 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fertility.quality_rules(table(spark, sf_dir, "documents"))
+    return fertility.quality_rules(table(spark, sf_dir, "documents"), fence=fertility.FENCES)
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
