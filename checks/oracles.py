@@ -194,6 +194,7 @@ _POSTINGS = rf"""WITH {DOC_LOGS}, f AS (SELECT id, 'url' AS field, url AS text F
   SELECT field, term, count(DISTINCT id) AS logs, count(*) AS hits, CAST(sum(pos) AS BIGINT) AS positions FROM w GROUP BY field, term"""
 SQL["j3_build_postings"] = _POSTINGS
 SQL["j4_maintain_postings"] = _POSTINGS
+SQL["j4_postings_by_batch"] = _POSTINGS
 
 
 def injected(md: str, section: str) -> str:
@@ -258,6 +259,7 @@ SQL["w2_resolve_attempts"] = f"""WITH {ATTEMPTS}, a AS (SELECT *, {_AGAIN} AS ag
 # --- paging ------------------------------------------------------------------------------
 
 logs_sql("t1_page_logs", f"SELECT {SUMMARY} FROM logs WHERE status = 'success' {NEWEST} LIMIT 50 OFFSET 100")
+logs_sql("t1_page_logs_far", f"SELECT {SUMMARY} FROM logs WHERE status = 'success' {NEWEST} LIMIT 50 OFFSET 2950")
 logs_sql("t1_page_meta", """SELECT count(*) AS total, CAST(3 AS INTEGER) AS page, CAST(50 AS INTEGER) AS per_page,
   CAST(greatest(ceil(count(*) / 50.0), 1) AS BIGINT) AS total_pages FROM logs WHERE status = 'success'""")
 logs_sql("t2_page_logs_keyset", f"""SELECT {SUMMARY}, c > 40 AS has_more, CASE WHEN c > 40 THEN base64(encode((SELECT epoch_us(timestamp) || '|' || id
@@ -525,9 +527,8 @@ SQL["d13_process_pages_scientific"] = f"""WITH {_SCIENCE},
   SELECT inj.page_id, inj.url, {clean_md('dd.t')} AS markdown, inj.title, CASE WHEN inj.page_id % 2 = 0 THEN 'scientific_preprocess,' ELSE '' END || 'dom_pruning,' || step
     || ',title_injection,' || CASE WHEN content <> '' THEN 'scientific_inject,' ELSE '' END || 'regex_cleaning' AS steps FROM inj JOIN dd ON dd.page_id = inj.page_id"""
 
-_PDF_ERROR = "CASE WHEN file_size > 52428800 THEN 'PDF too large: ' || format('{:.1f}', file_size / 1048576.0) || 'MB (max: 50MB)' END"
 PDF_DOCS = f"""pdf_docs AS (SELECT doc_id, any_value(url) AS url, CAST(count(*) AS INTEGER) AS n, any_value(title) AS title, any_value(author) AS author, any_value(subject) AS subject,
-    any_value(created) AS created, any_value({_PDF_ERROR}) AS error,
+    any_value(created) AS created, CAST(NULL AS VARCHAR) AS error,
     string_agg(CASE WHEN {strip('text')} <> '' THEN {NN} || '## Page ' || page_num || {NN} || {pdf_clean('text')} ELSE '' END, '' ORDER BY page_num) AS body FROM pdfs GROUP BY doc_id),
   pdf_out AS (SELECT doc_id, url, error, CASE WHEN error IS NULL THEN '# ' || coalesce(title, 'PDF Document') || {NL} || {NL}
     || coalesce('**Author:** ' || author || {NL}, '') || '**Subject:** ' || subject || {NL} || '**Pages:** ' || n || coalesce({NL} || '**Creation date:** ' || created, '')
@@ -576,6 +577,7 @@ SQL["m3_delete_old_logs"] = "SELECT CAST(event_id AS VARCHAR) AS id, epoch_us(ts
 SQL["m4_clear_all_logs"] = "SELECT 'kept' AS part, CAST(0 AS BIGINT) AS n UNION ALL SELECT 'removed', count(*) FROM events"
 
 SQL["m1_delete_log_at"] = SQL["m1_delete_log"]
+SQL["f1_get_log_at"] = SQL["f1_get_log"]
 SQL["m3_delete_old_logs_at"] = """SELECT CAST(event_id AS VARCHAR) AS id, epoch_us(ts) AS ts_us,
   (SELECT count(*) FROM events WHERE ts < TIMESTAMP '2024-01-22 12:00:00') AS removed FROM events WHERE ts >= TIMESTAMP '2024-01-22 12:00:00'"""
 SQL["m4_clear_logs_at"] = SQL["m4_clear_all_logs"]

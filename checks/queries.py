@@ -26,6 +26,7 @@ from webloam.plans.batch import page_outcomes, run_batch, to_log_row, to_result
 from webloam.plans.documents import process_pages
 from webloam.schemas import LogFilters, PipelineConfig
 from webloam.sources import logs as L
+from webloam.sources import postings as PO
 from webloam.sources.pages import read_pages, read_pdf_pages
 from webloam.streaming.jobs import read_daily_stats, stream_daily_stats, stream_pages_to_logs
 
@@ -245,6 +246,21 @@ def _(spark, d):
     return J.search_with_postings(logs, J.build_postings(logs), J.Terms(prefix="of th", any_of=("que", "with"))).select("id")
 
 
+@query("j4_postings_by_batch")
+def _(spark, d):
+    """First versions of all logs, then new versions of a third of them, a fifth removed, merged, a day of them added again."""
+    path = V.scratch(spark, "postings-by-batch")
+    rows = L.prepare_logs(V.doc_logs(spark, d))
+    number = F.col("id").cast("long")
+    old = rows.withColumn("markdown_content", F.when(number % 3 == 1, F.concat(F.lit("old version "), "markdown_content")).otherwise(F.col("markdown_content")))
+    PO.add_postings(old, path, 0)
+    PO.add_postings(rows.filter(number % 3 == 1), path, 1, replaces=True)
+    PO.remove_postings(rows.filter(number % 5 == 2).select("id"), path, 2)
+    PO.merge_postings(spark, path)
+    PO.add_postings(rows.filter(number % 5 == 2), path, 3)
+    return _posting_facts(PO.read_postings(spark, path))
+
+
 @query("j4_maintain_postings")
 def _(spark, d):
     logs_path, postings_path = V.scratch(spark, "logs"), V.scratch(spark, "postings")
@@ -316,6 +332,11 @@ def _(spark, d):
     return summary(A.page_logs(V.logs(spark, d), 3, 50, LogFilters(status="success")))
 
 
+@query("t1_page_logs_far")
+def _(spark, d):
+    return summary(A.page_logs(V.logs(spark, d), 60, 50, LogFilters(status="success"), near=100))
+
+
 @query("t1_page_logs_search")
 def _(spark, d):
     return summary(A.page_logs(V.logs(spark, d), 2, 50, LogFilters(status="success", matching=J.match(J.Terms(phrase="of the", field="markdown")))))
@@ -490,7 +511,7 @@ def _(spark, d):
 @query("o1_run_batch")
 def _(spark, d):
     pages = V.pages(spark, d).withColumn("fetch_error", F.when(F.col("page_id") % 10 == 3, F.lit("Timeout after 30000ms")))
-    return run_batch(pages, V.pdf_pages(spark, d), PipelineConfig(max_pdf_mb=50)).select(
+    return run_batch(pages, V.pdf_pages(spark, d)).select(
         "url", "success", "error", "content_type", "content_hash", "content_length", "links_count", "images_count",
         "http_status_code", "pdf_pages", F.array_join("pipeline_steps", ",").alias("steps"))
 
@@ -562,6 +583,11 @@ def _on_disk(spark: SparkSession, d: str) -> str:
     return path
 
 
+@query("f1_get_log_at")
+def _(spark, d):
+    return A.get_log(L.read_log_files(spark, _on_disk(spark, d)), "42").select("id", "url", "content_hash", "markdown_content")
+
+
 @query("m1_delete_log_at")
 def _(spark, d):
     path = _on_disk(spark, d)
@@ -602,12 +628,12 @@ def _(spark, d):
 
 @query("p3_assemble_pdf_markdown")
 def _(spark, d):
-    return P.assemble_pdf_markdown(V.pdf_pages(spark, d), 50).select("doc_id", "markdown", "error")
+    return P.assemble_pdf_markdown(V.pdf_pages(spark, d)).select("doc_id", "markdown", "error")
 
 
 @query("p4_pdf_results")
 def _(spark, d):
-    return P.pdf_results(V.pdf_pages(spark, d), 50)
+    return P.pdf_results(V.pdf_pages(spark, d))
 
 
 # --- streams -----------------------------------------------------------------------------

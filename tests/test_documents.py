@@ -91,7 +91,9 @@ def test_batch_keeps_going_when_items_fail(spark):
          (1, URL + ".pdf", 1, "first", 10, ("T", None, "", None, None, "D:20240115", None)),
          (2, URL + "big.pdf", 1, "x", 60 * 1024 * 1024, (None,) * 7)],
         "doc_id long, url string, page_num int, text string, file_size long, " + meta)
-    results = run_batch(pages, pdfs)
+    whole = {r["url"]: r for r in run_batch(pages, pdfs).collect()}
+    assert whole[URL + "big.pdf"]["success"] and whole[URL + "big.pdf"]["markdown"].endswith("## Page 1\n\nx")
+    results = run_batch(pages, pdfs, PipelineConfig(max_pdf_mb=50))
     got = {r["url"]: r for r in results.collect()}
     assert got[URL]["success"] and got[URL]["content_type"] == "spa" and got[URL]["redirects"] == [URL + "#r"]
     assert got[URL]["pdf_metadata"] is None and got[URL]["extracted_title"] == "Main Title"

@@ -32,6 +32,7 @@ def filter_logs(logs: DataFrame, filters: LogFilters | None) -> DataFrame:
 
 # F1
 def get_log(logs: DataFrame, log_id: str) -> DataFrame:
+    """The row of an id. In the table's files a bloom filter tells the scan which row groups cannot hold it."""
     return logs.filter(F.col("id") == log_id)
 
 
@@ -140,16 +141,61 @@ def _newest_first() -> list[Column]:
     return [F.col("timestamp").desc(), F.col("id").desc()]
 
 
+#: Rows before a page that one task may sort and skip.
+NEAR = 10_000
+#: Widths of time ranges in microseconds, each a part of the one before.
+_RANGES = (86_400_000_000, 3_600_000_000, 60_000_000, 1_000_000, 1_000, 1)
+
+
+def _jump(rows: DataFrame, skip: int, limit: int, near: int) -> tuple[DataFrame, int]:
+    """The rows of the time ranges that hold a far page, and how many of them come before it.
+
+    Rows are counted by day; only the days that hold the page are counted by hour, and so on. What reaches the driver are
+    counts of ranges: one for each day, then of the parts of one or two ranges at a time. Rows without a time come last.
+    """
+    time = F.unix_micros("timestamp")
+    for width in _RANGES:
+        if skip <= near:
+            break
+        found = rows.groupBy(F.floor(time / width).cast("long").alias("r")).count().collect()
+        ranges = sorted(((r["r"], r["count"]) for r in found), key=lambda r: (r[0] is None, -(r[0] or 0)))
+        ahead, held, top, low = 0, 0, None, None
+        for r, n in ranges:
+            if top is None and ahead + n <= skip and (r, n) != ranges[-1]:
+                ahead += n  # the whole range is newer than the page
+                continue
+            top = top if top is not None else (r,)
+            held, low = held + n, r
+            if ahead + held >= skip + limit:
+                break
+        if top is None:
+            break
+        skip -= ahead
+        if top[0] is None:
+            return rows.filter(F.col("timestamp").isNull()), skip
+        newest = time < (top[0] + 1) * width
+        inside = (newest & (time >= low * width)) if low is not None else newest | F.col("timestamp").isNull()
+        rows = rows.filter(inside)
+        if "log_date" in rows.columns and low is not None:
+            day = lambda r: F.date_from_unix_date(F.lit(r * width // 86_400_000_000).cast("int"))
+            rows = rows.filter(F.col("log_date").between(day(low), day(top[0])))
+    return rows, skip
+
+
 # T1
 def page_logs(logs: DataFrame, page: int = 1, per_page: int = PER_PAGE_DEFAULT,
-              filters: LogFilters | None = None) -> DataFrame:
-    """One page of summaries, newest first. Far pages are better reached by cursor (T2)."""
+              filters: LogFilters | None = None, near: int = NEAR) -> DataFrame:
+    """One page of summaries, newest first.
+
+    A page behind more than ``near`` rows is reached by counts of time ranges, so that no task sorts what comes before it; only
+    rows of one and the same instant are skipped one by one.
+    """
     if page < 1 or not PER_PAGE_MIN <= per_page <= PER_PAGE_MAX:
         raise ValueError(f"page must be >= 1 and per_page within {PER_PAGE_MIN}..{PER_PAGE_MAX}")
-    return (
-        summarize(filter_logs(logs, filters)).orderBy(*_newest_first())
-        .offset((page - 1) * per_page).limit(per_page)
-    )
+    rows, skip = filter_logs(logs, filters), (page - 1) * per_page
+    if skip > near:
+        rows, skip = _jump(rows, skip, per_page, near)
+    return summarize(rows).orderBy(*_newest_first()).offset(skip).limit(per_page)
 
 
 def page_meta(logs: DataFrame, page: int = 1, per_page: int = PER_PAGE_DEFAULT,

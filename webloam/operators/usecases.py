@@ -7,6 +7,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from webloam.functions.html import swept
 from webloam.functions.text import collapse_ws, extract_text_content, let, search_tokens
 
 
@@ -35,18 +36,24 @@ def keyword_density(docs: DataFrame, key: str = "doc_id") -> DataFrame:
 def heading_structure(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """(key, ordinal, level, heading, parent): headings in order with the ordinal of their parent.
 
-    The headings of a document are numbered inside its row. The parent is the last earlier
-    heading of a lower level: a running last per level, over windows as small as one document.
+    The parent is the last earlier heading of a lower level. One fold inside the row remembers the last ordinal of each level, so
+    nothing is exchanged and no document is sorted.
     """
     lines = F.filter(F.split(F.col("markdown"), "\n"), lambda x: x.rlike(r"^#{1,6}[ \t]+[^ \t]"))
-    heads = docs.select(key, F.posexplode_outer(lines).alias("ordinal", "line")).filter(F.col("line").isNotNull()).select(
-        key, "ordinal", F.length(F.regexp_extract("line", "^(#{1,6})", 1)).alias("level"),
-        collapse_ws(F.regexp_extract("line", r"(?s)^#{1,6}[ \t]+(.*)$", 1)).alias("heading"))
-    before = Window.partitionBy(key).orderBy("ordinal").rowsBetween(Window.unboundedPreceding, -1)
-    levels = {n: F.last(F.when(F.col("level") == n, F.col("ordinal")), ignorenulls=True).over(before) for n in range(1, 6)}
-    above = F.greatest(*[F.when(F.col("level") > n, F.coalesce(c, F.lit(-1))).otherwise(F.lit(-1)) for n, c in levels.items()])
-    return heads.withColumn("_p", above).select(
-        key, "ordinal", "level", "heading", F.when(F.col("_p") >= 0, F.col("_p")).alias("parent"))
+    heads = F.transform(lines, lambda x, i: F.struct(
+        i.alias("ordinal"), F.length(F.regexp_extract(x, "^(#{1,6})", 1)).alias("level"),
+        collapse_ws(F.regexp_extract(x, r"(?s)^#{1,6}[ \t]+(.*)$", 1)).alias("heading")))
+
+    def step(last: Column, h: Column) -> Column:
+        above = F.array_max(F.filter(last, lambda o, n: (n < h["level"] - 1) & (o >= 0)))
+        return F.struct(F.transform(last, lambda o, n: F.when(n == h["level"] - 1, h["ordinal"]).otherwise(o)).alias("state"),
+                        F.array(above).alias("out"))
+
+    def placed(hs: Column) -> Column:
+        return let(swept(hs, F.array_repeat(F.lit(-1), 6), "array<int>", step), lambda parents: F.transform(hs, lambda h, i: F.struct(
+            h["ordinal"].alias("ordinal"), h["level"].alias("level"), h["heading"].alias("heading"), F.get(parents, i).alias("parent"))))
+
+    return docs.select(key, F.explode_outer(let(heads, placed)).alias("h")).filter(F.col("h").isNotNull()).select(key, "h.*")
 
 
 def word_count(markdown: Column) -> Column:
@@ -60,25 +67,28 @@ def thin_content(docs: DataFrame, min_words: int, key: str = "doc_id") -> DataFr
 
 
 # U4
-def content_changes(logs: DataFrame) -> DataFrame:
+def content_changes(logs: DataFrame, unit: str = "hour") -> DataFrame:
     """(url, timestamp, id, previous_hash, content_hash) where the content of a URL changed.
 
-    Two steps keep a URL with very many fetches from becoming one task: fetches are compared
-    within each hour, and the hours of a URL are then linked through their last hashes, one
-    row per hour.
+    Logs are read once. The fetches of a URL within an hour (or another ``unit`` of time) are one group, which keeps its first fetch, its
+    last hash and, in order, the changes between; the hours of a URL are then linked by these short rows, so a URL with very
+    many fetches is as many groups as it has hours. Equal times go by id.
     """
-    rows = logs.filter(F.col("content_hash").isNotNull()).select(
-        "url", "timestamp", "id", "content_hash", F.date_trunc("hour", "timestamp").alias("hour"))
-    order = [F.col("timestamp"), F.col("id")]
-    in_hour = Window.partitionBy("url", "hour").orderBy(*order)
-    marked = rows.withColumn("before", F.lag("content_hash").over(in_hour))
-    last = rows.groupBy("url", "hour").agg(F.max_by("content_hash", F.struct("timestamp", "id")).alias("last_hash"))
-    previous = last.select("url", "hour", F.lag("last_hash").over(
-        Window.partitionBy("url").orderBy("hour")).alias("hour_before"))
-    inner = marked.filter(F.col("before").isNotNull())
-    first = marked.filter(F.col("before").isNull()).join(previous, ["url", "hour"]).withColumn("before", F.col("hour_before"))
-    cols = ["url", "timestamp", "id", F.col("before").alias("previous_hash"), "content_hash"]
-    return inner.select(*cols).unionByName(first.select(*cols)).filter(F.col("previous_hash") != F.col("content_hash"))
+    rows = logs.filter(F.col("content_hash").isNotNull()).select("url", "timestamp", "id", "content_hash", F.date_trunc(unit, "timestamp").alias("hour"))
+    fetches = F.array_sort(F.collect_list(F.struct("timestamp", "id", "content_hash")))
+
+    def change(x: Column, before: Column) -> Column:
+        return F.struct(x["timestamp"].alias("timestamp"), x["id"].alias("id"), before.alias("previous_hash"), x["content_hash"].alias("content_hash"))
+
+    def folded(xs: Column) -> Column:
+        every = F.transform(xs, lambda x, i: change(x, F.get(xs, i - 1)["content_hash"]))
+        return F.struct(F.get(xs, F.lit(0)).alias("first"), F.element_at(xs, -1)["content_hash"].alias("last_hash"),
+                        F.filter(every, lambda c: c["previous_hash"] != c["content_hash"]).alias("changes"))
+
+    hours = rows.groupBy("url", "hour").agg(fetches.alias("_f")).select("url", "hour", let(F.col("_f"), folded).alias("_h"))
+    linked = hours.withColumn("_before", F.lag("_h.last_hash").over(Window.partitionBy("url").orderBy("hour")))
+    turn = F.filter(F.array(change(F.col("_h.first"), F.col("_before"))), lambda c: c["previous_hash"] != c["content_hash"])
+    return linked.select("url", F.explode_outer(F.concat(turn, F.col("_h.changes"))).alias("c")).filter(F.col("c").isNotNull()).select("url", "c.*")
 
 
 # U5

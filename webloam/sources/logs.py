@@ -42,24 +42,44 @@ def prepare_logs(df: DataFrame, now: datetime | None = None) -> DataFrame:
     )
 
 
+#: Rows of a file that an id may be looked for in. Bounds sizes of bloom filters, not of files.
+_IDS = 1_000_000
+
+
+def written(rows: DataFrame, mode: str):
+    """A writer of table rows. Files are in the order of time, and carry a bloom filter of ids, so that a scan for an id or for a
+    range of time skips row groups. A dictionary of ids would take the filter's place and is left out."""
+    return (rows.sortWithinPartitions(*PARTS, "timestamp").write.mode(mode).partitionBy(*PARTS)
+            .option("parquet.bloom.filter.enabled#id", "true").option("parquet.bloom.filter.expected.ndv#id", str(_IDS))
+            .option("parquet.bloom.filter.adaptive.enabled", "true").option("parquet.enable.dictionary#id", "false"))
+
+
 # S3
 def append_logs(df: DataFrame, path: str, now: datetime | None = None) -> None:
     """Rows are rebalanced by day before they are written: a day has few files, and a hot one is split."""
     rows = prepare_logs(df, now).withColumn("batch_id", F.lit(APPENDED).cast("long"))
-    rows.hint("rebalance", "log_date").write.mode("append").partitionBy(*PARTS).parquet(path)
+    written(rows.hint("rebalance", "log_date"), "append").parquet(path)
 
 
 def write_batch(df: DataFrame, path: str, batch_id: int, now: datetime | None = None) -> None:
     """Rows of a micro-batch. Running it again replaces what it wrote before, on whatever day, and gives rows the same ids.
 
-    A row without an id gets one from the batch and all its values.
+    A row without an id gets one from the batch and all its values. The days of a batch are kept beside the table, in a folder for
+    each batch, and are written before its rows: a run that follows a broken one knows what to replace and lists no other days.
     """
     spark = df.sparkSession
     values = F.to_json(F.struct(*[c for c in df.columns if c not in ("id", "timestamp")]))
     made = F.md5(F.concat_ws("|", F.lit(batch_id).cast("string"), values))
     own = F.coalesce(F.col("id"), made) if "id" in df.columns else made
     rows = prepare_logs(df.withColumn("id", own), now).withColumn("batch_id", F.lit(batch_id).cast("long"))
-    replace_parts(rows.hint("rebalance", "log_date"), path, [p for p in parts_of(spark, path) if p[1] == batch_id])
+    days = f"{path}_days/batch_id={batch_id}"
+    before = [date.fromisoformat(v) for v in _folders(days, "log_date").values()]
+
+    def note(filled: set) -> None:
+        for day, _ in filled:
+            _make(f"{days}/log_date={day.isoformat()}")
+
+    replace_parts(rows.hint("rebalance", "log_date"), path, [(day, batch_id) for day in before], note)
 
 
 def read_log_files(spark: SparkSession, path: str) -> DataFrame:
@@ -176,6 +196,11 @@ def _drop(path: str) -> bool:
     return True
 
 
+def _make(path: str) -> None:
+    store, root = _store(path)
+    store.create_dir(root, recursive=True)
+
+
 def drop_day(spark: SparkSession, path: str, day: date) -> bool:
     """Remove the whole partition of a day; false when there was none."""
     return _drop(f"{path}/log_date={day.isoformat()}")
@@ -191,26 +216,31 @@ def parts_of(spark: SparkSession, path: str) -> list[tuple[date, int]]:
     return [(day, int(b)) for day in days_of(spark, path) for b in _folders(f"{path}/log_date={day.isoformat()}", "batch_id").values()]
 
 
-def replace_parts(rows: DataFrame, path: str, parts: list[tuple[date, int]]) -> None:
+def replace_parts(rows: DataFrame, path: str, parts: list[tuple[date, int]], note=lambda filled: None) -> None:
     """Put ``rows`` in the place of those partitions, each swapped by Spark's own partition overwrite; those left empty are removed.
 
-    Rows may be read from the table itself: they are staged beside it first.
+    The order: rows, which may be read from the table itself, are staged beside it; ``note`` is told which partitions they fill; these
+    are overwritten; partitions left empty are removed, one by one. A run that breaks before the overwrite changes nothing, one that
+    breaks later leaves old rows only in partitions that were to be removed; the same call again finishes it.
     """
     spark = rows.sparkSession
     stage = f"{path}_stage_{uuid.uuid4().hex}"
-    rows.write.partitionBy(*PARTS).parquet(stage)
-    filled = set(parts_of(spark, stage))
-    if filled:
-        (spark.read.schema(LOG_FILES).parquet(stage).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-         .partitionBy(*PARTS).parquet(path))
-    for day, batch in parts:
-        if (day, batch) not in filled:
-            _drop(f"{path}/log_date={day.isoformat()}/batch_id={batch}")
-    _drop(stage)
+    try:
+        rows.write.partitionBy(*PARTS).parquet(stage)
+        filled = set(parts_of(spark, stage))
+        note(filled)
+        if filled:
+            (written(spark.read.schema(LOG_FILES).parquet(stage).hint("rebalance", "log_date"), "overwrite")
+             .option("partitionOverwriteMode", "dynamic").parquet(path))
+        for day, batch in parts:
+            if (day, batch) not in filled:
+                _drop(f"{path}/log_date={day.isoformat()}/batch_id={batch}")
+    finally:
+        _drop(stage)
 
 
 def delete_log_at(spark: SparkSession, path: str, log_id: str) -> bool:
-    """M1 on disk: only the partitions that hold the log are rewritten. True if it was there."""
+    """M1 on disk: only the partitions that hold the log are rewritten. True if it was there; after a broken run, again."""
     logs = read_log_files(spark, path)
     parts = [tuple(r) for r in logs.filter(F.col("id") == log_id).select(*PARTS).distinct().collect()]
     if parts:
@@ -220,7 +250,10 @@ def delete_log_at(spark: SparkSession, path: str, log_id: str) -> bool:
 
 
 def delete_old_logs_at(spark: SparkSession, path: str, as_of: datetime, days: int = RETENTION_DAYS) -> int:
-    """M2 and M3 on disk: older days go whole, the day of the cutoff is rewritten. Rows that went."""
+    """M2 and M3 on disk: the day of the cutoff is rewritten, then older days go whole. Rows that went.
+
+    The count is of rows that were to go. A run that breaks reports none, and the next one counts and removes what is left.
+    """
     cutoff = as_of - timedelta(days=days)
     last = utc_date(cutoff)
     logs = read_log_files(spark, path)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
@@ -32,21 +34,38 @@ def stream_pages_to_logs(spark: SparkSession, source: str, out: str, checkpoint:
 
 
 # X2
-def stream_daily_stats(logs: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
-    """Count a stream of logs by UTC day; ``read_daily_stats`` has all days seen so far, open ones included.
+def stream_daily_stats(logs: DataFrame, out: str, checkpoint: str, open_for: str = "30 days") -> StreamingQuery:
+    """Count a stream of logs by UTC day, with state; ``read_daily_stats`` has all days seen so far, open ones included.
 
-    Each micro-batch leaves its own counts in ``batch_id=<n>``, a row a day, and replaces them when it is run again. Late rows
-    count as any others.
+    A day's totals stay in the state until the newest time seen is ``open_for`` beyond its end, so the state holds that many days at
+    most. Each micro-batch gives the totals of the days it changed, and each day has a folder of its own that is replaced: the
+    result is a row for each day, and a batch that runs again writes the same. Rows of a closed day are not counted here
+    (the query's progress tells how many); ``recount_days`` counts such days anew from the log table. Rows without a time are of no day.
     """
+    days = logs.withWatermark("timestamp", open_for).groupBy(F.window("timestamp", "1 day").alias("day")).agg(
+        F.count(F.lit(1)).alias("count"), F.count_if(F.coalesce(F.col("status") == "success", F.lit(False))).alias("success"))
+
     def write(batch: DataFrame, batch_id: int) -> None:
-        (batch.groupBy(utc_day(F.col("timestamp")).alias("date"))
-         .agg(F.count(F.lit(1)).alias("count"), F.count_if(F.coalesce(F.col("status") == "success", F.lit(False))).alias("success"))
-         .write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}"))
+        _put_days(batch.withColumn("date", utc_day(F.col("day.start"))), out)
+
+    return (days.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True).start())
+
+
+def _put_days(days: DataFrame, out: str) -> None:
+    (days.select("count", "success", "date").repartition("date").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("date").parquet(out))
+
 
-    return logs.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def recount_days(logs: DataFrame, out: str, days: list[date]) -> None:
+    """Totals of these days out of the log table, in the place of the stream's. For closed days that got rows later."""
+    day = utc_day(F.col("timestamp"))
+    rows = logs.filter(day.isin(*days))
+    rows = rows.filter(F.col("log_date").isin(*days)) if "log_date" in logs.columns else rows
+    _put_days(rows.groupBy(day.alias("date")).agg(
+        F.count(F.lit(1)).alias("count"), F.count_if(F.coalesce(F.col("status") == "success", F.lit(False))).alias("success")), out)
 
 
 def read_daily_stats(spark: SparkSession, out: str) -> DataFrame:
-    """(date, count, success) of all days, out of the counts that the batches left."""
-    parts = spark.read.schema("date date, count long, success long, batch_id long").parquet(out)
-    return parts.groupBy("date").agg(F.sum("count").alias("count"), F.sum("success").alias("success"))
+    """(date, count, success) of all days."""
+    return spark.read.schema("count long, success long, date date").parquet(out).select("date", "count", "success")
