@@ -463,6 +463,13 @@ def blocks(src: str, main: bool, name: str) -> str:
 
 SQL["d9_extract_main_content"] = f"""WITH {LINKED}, {tokens('linked')}, {levels('tk')}, {pruned('lv', _BY_TAG + ' OR ' + _BY_MARK)}, {blocks('pr', True, 'mb')}
   SELECT s.page_id, mb.md AS main_markdown FROM linked s LEFT JOIN mb ON mb.page_id = s.page_id"""
+_LINES = f"list_filter(list_transform(str_split(text, {NL}), lambda x: {collapse('x')}), lambda x: x <> '')"
+SQL["d9_markdown_structure"] = f"""WITH s AS (SELECT *, {_LINES} AS li, {collapse('text')} AS flat FROM documents)
+  SELECT doc_id AS page_id, CASE WHEN flat <> '' THEN array_to_string(list_transform(li, lambda x, i: i || '. ' || x), {NL}) || {NN}
+    || '```' || {NL} || trim(text, chr(13) || chr(10)) || {NL} || '```' || {NN} || '> ' || flat || {NN} ELSE '' END
+    || '| Language | Source |' || {NL} || '| --- | --- |' || {NL} || '| ' || lang || ' | ' || source || ' |' || {NN}
+    || 'By *' || source || '* in **' || lang || '**, `' || doc_id || '` © 2024 ∉' AS main_markdown FROM s"""
+SQL["d12_html5_references"] = "SELECT doc_id AS page_id, 'Structure © 2020 ¬it; ∉ ∳' AS page_title FROM documents"
 SQL["d10_page_fallback_markdown"] = f"""WITH {tokens('pages')}, {blocks('tk', False, 'fb')}
   SELECT s.page_id, fb.md AS fallback_markdown FROM pages s LEFT JOIN fb ON fb.page_id = s.page_id"""
 SQL["d11_choose_extraction"] = """WITH x AS (SELECT doc_id, CASE WHEN doc_id % 5 <> 0 THEN left(text, CAST(length(text) // (doc_id % 6 + 1) AS BIGINT)) END AS e,

@@ -471,6 +471,11 @@ def _(spark, d):
     return D.extract_main_content(V.linked_pages(spark, d))
 
 
+@query("d9_markdown_structure")
+def _(spark, d):
+    return D.extract_main_content(V.structured(spark, d))
+
+
 @query("d10_page_fallback_markdown")
 def _(spark, d):
     return D.page_fallback_markdown(V.pages(spark, d))
@@ -489,6 +494,11 @@ def _(spark, d):
     return D.page_titles(V.linked_pages(spark, d))
 
 
+@query("d12_html5_references")
+def _(spark, d):
+    return D.page_titles(V.structured(spark, d)).select("page_id", "page_title")
+
+
 def _flat_docs(docs: DataFrame) -> DataFrame:
     return docs.select("page_id", "url", "markdown", "title", F.array_join("steps_applied", ",").alias("steps"))
 

@@ -141,6 +141,19 @@ def science(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("doc_id").alias("page_id"), F.concat(host, F.col("doc_id").cast("string")).alias("url"), html.alias("html"))
 
 
+def structured(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as pages with numbered lines, preformatted and quoted text, a table, emphasis and HTML 5 references."""
+    items = F.array_join(F.transform(F.split("text", "\n"), lambda x: F.concat(F.lit("<li>"), _escape(x), F.lit("</li>"))), "")
+    html = F.concat(
+        F.lit("<html><head><title>Structure &copy 2020 &notit; &notin; &CounterClockwiseContourIntegral;</title></head><body><ol>"), items,
+        F.lit("</ol><pre>"), _escape(F.col("text")), F.lit("</pre><blockquote><p>"), _escape(F.col("text")),
+        F.lit("</p></blockquote><table><tr><th>Language</th><th>Source</th></tr><tr><td>"), F.col("lang"), F.lit("</td><td>"), F.col("source"),
+        F.lit("</td></tr></table><p>By <em>"), F.col("source"), F.lit("</em> in <strong>"), F.col("lang"),
+        F.lit("</strong>, <code>"), F.col("doc_id").cast("string"), F.lit("</code> &copy 2024 &notin;</p></body></html>"))
+    return documents(spark, sf_dir).select(
+        F.col("doc_id").alias("page_id"), F.concat(F.lit("https://docs.example/"), F.col("doc_id").cast("string")).alias("url"), html.alias("html"))
+
+
 def pdf_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as PDF files: every line is a page; one file in fifty is too large."""
     d = documents(spark, sf_dir)

@@ -52,10 +52,10 @@ def test_deep_and_wide_pages(apply):
 
 
 @pytest.mark.parametrize("html,expected", [
-    ("<body><h2>T</h2><p>a <b>b</b>\n c</p></body>", "## T\n\na b c"),
+    ("<body><h2>T</h2><p>a <b>b</b>\n c</p></body>", "## T\n\na **b** c"),
     ('<p>see <a href="/q?a=1&amp;b"> the  link </a> here now</p>', "see [ the link ](/q?a=1&b) here now"),
     ("<ul><li>one<li>two</ul>x", "- one\n- two\n\nx"),
-    ("<table><tr><th>a<th>b</tr><tr><td>1</td><td><p>2</p></td></tr></table><p>z</p>", "| a | b |\n| 1 | 2 |\n\nz"),
+    ("<table><tr><th>a<th>b</tr><tr><td>1</td><td><p>2</p></td></tr></table><p>z</p>", "| a | b |\n| --- | --- |\n| 1 | 2 |\n\nz"),
     ('<p><img src="a.png" alt="A"></p>', "![A](a.png)"),
     ("<head><title>no</title></head><body>yes</body>", "yes"),
     ("<title>no</title>yes", "yes"),

@@ -10,7 +10,7 @@ repair. The end tags that HTML lets an author leave out are implied.
 
 from __future__ import annotations
 
-from html.entities import name2codepoint
+from html.entities import html5
 from string import ascii_lowercase, ascii_uppercase
 
 from pyspark.sql import Column
@@ -295,30 +295,53 @@ def elements(tokens: Column) -> Column:
         F.filter(F.transform(toks, describe), lambda t: t["tag"] != ""), start, _PAIRS, step, finish_with(F.size(toks))))
 
 
-_NAMED_ENTITIES = "\x1e".join(f"{name}\x1f{chr(cp)}" for name, cp in name2codepoint.items())
+# HTML 5 names by their first letter, each with what it stands for; a map is searched from its start, so they are kept short.
+_LETTERS = range(ord("A"), ord("z") + 1)
+_NAMES = ["\x1e".join(f"{name[:-1]}\x1f{text}" for name, text in html5.items() if name.endswith(";") and ord(name[0]) == letter) for letter in _LETTERS]
+# Names that need no semicolon, the longest first.
+_BARE_NAMES = "|".join(sorted((name for name in html5 if not name.endswith(";")), key=len, reverse=True))
+# What references to 128 to 159 mean: Windows-1252, where it has a character.
+_WINDOWS = "".join(bytes([n]).decode("cp1252", "ignore") or chr(n) for n in range(128, 160))
 
 
-def decode_entities(text: Column) -> Column:
-    """Character references of HTML 4 and numeric ones decoded, each once; control characters give nothing."""
+def decode_entities(text: Column, attribute: bool = False) -> Column:
+    """Character references of HTML 5, each decoded once; control characters give nothing.
+
+    The longest name counts. Some names, and numbers, need no semicolon: ``&notit`` is ``¬it``, ``&notin;`` is ``∉``. In an attribute
+    a name without one stays as it is before a letter, a digit or ``=``, as in the query of a URL.
+    """
     def numeric(ref: Column) -> Column:
-        digits = F.when(ref.rlike("^&#[xX]"), F.conv(F.regexp_extract(ref, "^&#[xX]([0-9a-fA-F]+)", 1), 16, 10)) \
-            .otherwise(F.regexp_extract(ref, "^&#([0-9]+)", 1))
+        digits = F.when(ref.rlike("^&#[xX]"), F.conv(F.regexp_extract(ref, "^&#[xX]([0-9a-fA-F]{1,12})", 1), 16, 10)) \
+            .otherwise(F.regexp_extract(ref, "^&#([0-9]{1,12})", 1))
         return let(digits.try_cast("long"), lambda n: F.when(
-            n.between(1, 8) | n.between(14, 27) | (n == 127), F.lit("")).when(
-            (n > 0) & (n <= 0x10FFFF) & ~n.between(0xD800, 0xDFFF),
-            F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")).otherwise(F.lit("�")))
+            n.between(1, 8) | n.between(14, 27) | (n == 127), F.lit(""))
+            .when(n.between(128, 159), F.substring(F.lit(_WINDOWS), (n - 127).cast("int"), F.lit(1)))
+            .when((n > 0) & (n <= 0x10FFFF) & ~n.between(0xD800, 0xDFFF),
+                  F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")).otherwise(F.lit("\ufffd")))
+
+    maps = F.array(*[F.str_to_map(F.lit(names or "\x1f"), F.lit("\x1e"), F.lit("\x1f")) for names in _NAMES])
+
+    def meaning(name: Column) -> Column:
+        return F.try_element_at(F.get(maps, F.ascii(name) - _LETTERS[0]), name)
+
+    def bare(part: Column) -> Column:
+        """The part with the name at its start decoded, if one is that needs no semicolon."""
+        return let(F.regexp_extract(part, f"^&({_BARE_NAMES})", 1), lambda name: let(
+            F.substring(part, F.length(name) + 2, F.length(part)), lambda rest: F.when(
+                (name == "") | (rest.rlike("^[a-zA-Z0-9=]") if attribute else F.lit(False)), part).otherwise(F.concat(meaning(name), rest))))
 
-    names = F.str_to_map(F.lit(_NAMED_ENTITIES), F.lit("\x1e"), F.lit("\x1f"))
+    def named(part: Column) -> Column:
+        whole = F.when(part.endswith(";"), meaning(F.regexp_extract(part, "^&([a-zA-Z0-9]+);$", 1)))
+        return let(whole, lambda text: F.when(text.isNotNull(), text).otherwise(bare(part)))
 
     def one(part: Column) -> Column:
         return (
             F.when(~part.startswith("&"), part)
-            .when(part.rlike("^&#(?:[0-9]{1,8}|[xX][0-9a-fA-F]{1,7});$"), numeric(part))
-            .when(part.rlike("^&[a-zA-Z0-9]+;$"), F.coalesce(
-                F.try_element_at(names, F.regexp_extract(part, "^&([a-zA-Z0-9]+);$", 1)), part))
+            .when(part.rlike("^&#(?:[0-9]|[xX][0-9a-fA-F])"), numeric(part))
+            .when(part.rlike("^&[a-zA-Z]"), named(part))
             .otherwise(part))
 
-    parts = F.lit("&#?[a-zA-Z0-9]+;|[^&]+|&")
+    parts = F.lit("&#[0-9]+;?|&#[xX][0-9a-fA-F]+;?|&[a-zA-Z][a-zA-Z0-9]*[;=]?|[^&]+|&")
     return let(text, lambda x: F.when(F.contains(x, F.lit("&")), F.array_join(
         F.transform(F.regexp_extract_all(x, parts, F.lit(0)), one), "")).otherwise(x))
 
@@ -327,6 +350,10 @@ def decode_entities(text: Column) -> Column:
 _CTX, _CTX_END, _BLOCK = "\x01", "\x08", "\x02"
 _HREF, _HREF_END, _LINK_END = "\x03", "\x04", "\x05"
 _BODY, _TITLE, _TITLE_END = "\x0e", "\x0f", "\x10"
+_BOLD, _ITALIC, _CODE = "\x11", "\x12", "\x13"
+INLINE = {"b": _BOLD, "strong": _BOLD, "em": _ITALIC, "i": _ITALIC, "code": _CODE, "kbd": _CODE}
+# Elements whose edges number list items, count cells and open quotes: start and end are blocks without text, named as the tag or "/tag".
+EDGES = ("ul", "ol", "table", "blockquote")
 _LINK_RE = r"\x{3}([^\x{3}\x{4}]*)\x{4}([^\x{3}\x{5}]*)\x{5}"
 
 
@@ -345,7 +372,10 @@ def _piece(tok: Column) -> Column:
             F.when(tag == "", F.lit(""))
             .when(tag.isin(*CONTEXT_TAGS) & ~close, F.concat(F.lit(_CTX), tag, F.lit(_CTX_END)))
             .when((tag == "tr") & ~close, F.lit(_CTX + "tr" + _CTX_END))
+            .when(tag.isin(*EDGES), F.concat(
+                F.lit(_CTX), F.when(close, F.lit("/")).otherwise(F.lit("")), tag, F.lit(_CTX_END + _CTX + _CTX_END)))
             .when(tag.isin(*CONTEXT_TAGS, *CONTEXT_EDGES), F.lit(_CTX + _CTX_END))
+            .when(tag.isin(*INLINE), F.translate(F.substring(tag, 1, 1), "bseick", _BOLD + _BOLD + _ITALIC + _ITALIC + _CODE + _CODE))
             .when((tag == "body") & ~close, F.lit(_BODY))
             .when(tag == "title", F.when(close, F.lit(_TITLE_END)).otherwise(F.lit(_TITLE)))
             .when((tag == "a") & close, F.lit(_LINK_END))
@@ -358,17 +388,18 @@ def _piece(tok: Column) -> Column:
     is_tag = tok.startswith("<") & (F.length(tok) > 1)
     named = let(F.when(is_tag, tag_name(tok)), lambda tag: F.struct(
         tag.alias("tag"), F.when(tag.isNull(), tok).otherwise(payload(tag)).alias("raw")))
-    return let(named, lambda n: let(
-        decode_entities(n["raw"]), lambda text: F.when(n["tag"].isNull(), text).otherwise(tag_piece(n["tag"], text))))
+    return let(named, lambda n: F.when(n["tag"].isNull(), decode_entities(n["raw"])).otherwise(
+        let(decode_entities(n["raw"], attribute=True), lambda text: tag_piece(n["tag"], text))))
 
 
 def page_blocks(tokens: Column) -> Column:
-    """Text blocks of a page: ``array<struct<ctx, vis, md, words, density>>``, empty ones dropped.
+    """Text blocks of a page: ``array<struct<ctx, vis, md, words, density, mark, quoted>>``, empty ones dropped.
 
-    ``ctx`` is the element the block stands in (heading, li, td, th, pre), ``tr`` for a
-    row mark; ``density`` is the share of its non-blank characters that sit in links.
+    ``ctx`` is the element the block stands in (heading, li, td, th, pre), ``tr`` for a row mark; ``density`` is the share of its
+    non-blank characters that sit in links. ``mark`` is what a list item starts with, and the number of a cell in the first row
+    of its table; ``quoted`` how many quotes the block lies in.
     """
-    rendered = F.regexp_replace(F.array_join(F.transform(tokens, _piece), ""), UNI + WS + "+", " ")
+    rendered = F.array_join(F.transform(tokens, _piece), "")
     body = let(F.substring_index(rendered, _BODY, -1), lambda x: F.when(
         F.contains(x, F.lit(_TITLE)), F.regexp_replace(x, r"\x{f}[^\x{10}]*\x{10}", "")).otherwise(x))
 
@@ -376,7 +407,9 @@ def page_blocks(tokens: Column) -> Column:
         has_ctx = F.contains(seg, F.lit(_CTX_END))
         ctx = F.when(has_ctx, F.substring_index(seg, _CTX_END, 1)).otherwise(F.lit(""))
         rest = F.substring_index(seg, _CTX_END, -1)
-        return F.transform(F.split(rest, _BLOCK), lambda b: F.struct(ctx.alias("ctx"), b.alias("raw")))
+        # blanks count in preformatted text, and blocks in it are lines
+        return let(ctx, lambda c: F.when(c == "pre", F.array(F.struct(c.alias("ctx"), F.replace(rest, F.lit(_BLOCK), F.lit("\n")).alias("raw")))).otherwise(
+            F.transform(F.split(F.regexp_replace(rest, UNI + WS + "+", " "), _BLOCK), lambda b: F.struct(c.alias("ctx"), b.alias("raw")))))
 
     def bare(x: Column) -> Column:
         return F.length(F.replace(x, F.lit(" "), F.lit("")))
@@ -384,16 +417,27 @@ def page_blocks(tokens: Column) -> Column:
     def tidy(x: Column) -> Column:
         return F.trim(F.regexp_replace(x, " {2,}", " "))
 
+    marks = r"[\x{3}-\x{5}\x{f}-\x{13}]"
+
     def without(x: Column, pattern: str) -> Column:
-        return F.regexp_replace(F.regexp_replace(x, pattern, ""), r"[\x{3}-\x{5}\x{f}\x{10}]", "")
+        return F.regexp_replace(F.regexp_replace(x, pattern, ""), marks, "")
+
+    def emphasis(x: Column) -> Column:
+        """Marks in pairs around text become those of Markdown."""
+        for mark, code in (("13", "`"), ("11", "**"), ("12", "*")):
+            x = F.regexp_replace(x, rf"\x{{{mark}}}( *)([^\x{{{mark}}} ](?:[^\x{{{mark}}}]*[^\x{{{mark}}} ])?)( *)\x{{{mark}}}", f"$1{code}$2{code}$3")
+        return x
 
     def measure(b: Column) -> Column:
         raw = b["raw"]
-        marked = F.contains(raw, F.lit(_HREF)) | F.contains(raw, F.lit(_LINK_END)) | F.contains(raw, F.lit(_TITLE_END))
+        marked = raw.rlike(marks)
         start_mark = r"\x{3}[^\x{4}]*\x{4}"
-        vis = F.when(marked, tidy(without(raw, start_mark))).otherwise(F.trim(raw))
-        md = F.when(marked, tidy(without(F.regexp_replace(raw, _LINK_RE, r"[$2]($1)"), start_mark)))
-        linked = F.when(marked, bare(F.array_join(F.regexp_extract_all(raw, F.lit(_LINK_RE), F.lit(2)), ""))) \
+        preformatted = F.btrim(without(raw, start_mark), F.lit("\r\n"))
+        vis = F.when(b["ctx"] == "pre", tidy(F.regexp_replace(preformatted, UNI + WS + "+", " "))) \
+            .when(marked, tidy(without(raw, start_mark))).otherwise(F.trim(raw))
+        md = F.when(b["ctx"] == "pre", F.concat(F.lit("```\n"), preformatted, F.lit("\n```"))) \
+            .when(marked, tidy(without(emphasis(F.regexp_replace(raw, _LINK_RE, r"[$2]($1)")), start_mark)))
+        linked = F.when(marked, bare(F.regexp_replace(F.array_join(F.regexp_extract_all(raw, F.lit(_LINK_RE), F.lit(2)), ""), marks, ""))) \
             .otherwise(F.lit(0))
         return let(vis, lambda v: let(bare(v), lambda n: F.struct(
             b["ctx"].alias("ctx"), v.alias("vis"), F.coalesce(md, v).alias("md"),
@@ -401,7 +445,49 @@ def page_blocks(tokens: Column) -> Column:
             F.when(n == 0, F.lit(0.0)).otherwise(linked / n).alias("density"))))
 
     blocks = F.flatten(F.transform(F.split(body, _CTX), segment))
-    return F.filter(F.transform(blocks, measure), lambda b: (b["vis"] != "") | (b["ctx"] == "tr"))
+    found = F.filter(F.transform(blocks, measure), lambda b: (b["vis"] != "") | (b["ctx"] == "tr") | _is_edge(b))
+    return let(found, _numbered)
+
+
+def _is_edge(b: Column) -> Column:
+    return b["ctx"].isin(*EDGES, *[f"/{t}" for t in EDGES])
+
+
+_MARKED = "array<struct<mark:string,quoted:int>>"
+
+
+def _numbered(blocks: Column) -> Column:
+    """Blocks without the edges of lists, tables and quotes, with ``mark`` and ``quoted``.
+
+    One fold carries the open lists (the next number of each, -1 for one without numbers), how many quotes are open, and the
+    rows and cells of the table so far. Pages without numbers, tables and quotes need no fold.
+    """
+    own = F.filter(blocks, lambda b: ~_is_edge(b))
+    plain = F.transform(own, lambda b: F.struct(F.when(b["ctx"] == "li", F.lit("- ")).otherwise(F.lit("")).alias("mark"), F.lit(0).alias("quoted")))
+
+    def step(state: Column, b: Column) -> Column:
+        ctx, lists, top = b["ctx"], state["lists"], F.get(state["lists"], F.lit(0))
+        opens, closes = ctx.isin("ul", "ol"), ctx.isin("/ul", "/ol")
+        counted = (ctx == "li") & (top > 0)
+        rest = F.slice(lists, 2, F.greatest(F.size(lists) - 1, F.lit(0)))
+        cell = ctx.isin("td", "th")
+        rows = F.when(ctx.isin("table", "/table"), F.lit(0)).when(ctx == "tr", state["rows"] + 1).otherwise(state["rows"])
+        cells = F.when(ctx == "tr", F.lit(0)).otherwise(state["cells"] + cell.cast("int"))
+        mark = F.when(counted, F.concat(top.cast("string"), F.lit(". "))).when(ctx == "li", F.lit("- ")) \
+            .when(cell & (rows == 1), cells.cast("string")).otherwise(F.lit(""))
+        quotes = F.greatest(state["quotes"] + F.when(ctx == "blockquote", 1).when(ctx == "/blockquote", -1).otherwise(0), F.lit(0))
+        return F.struct(
+            F.struct(
+                F.when(opens, F.concat(F.array(F.when(ctx == "ol", 1).otherwise(-1)), lists)).when(closes, rest)
+                .when(counted, F.concat(F.array(top + 1), rest)).otherwise(lists).alias("lists"),
+                rows.alias("rows"), cells.alias("cells"), quotes.alias("quotes")).alias("state"),
+            F.when(_is_edge(b), F.array().cast(_MARKED)).otherwise(F.array(F.struct(mark.alias("mark"), quotes.alias("quoted")))).alias("out"))
+
+    start = F.struct(F.array().cast("array<int>").alias("lists"), F.lit(0).alias("rows"), F.lit(0).alias("cells"), F.lit(0).alias("quotes"))
+    folded = F.exists(blocks, lambda b: b["ctx"].isin("ol", "table", "blockquote"))
+    marks = F.when(folded, swept(blocks, start, _MARKED, step)).otherwise(plain)
+    return F.zip_with(own, marks, lambda b, m: F.struct(
+        *[b[c].alias(c) for c in ("ctx", "vis", "md", "words", "density")], m["mark"].alias("mark"), m["quoted"].alias("quoted")))
 
 
 def _is_cell(b: Column) -> Column:
@@ -424,15 +510,19 @@ def blocks_markdown(blocks: Column) -> Column:
             lead = F.when((i == 0) | (row_start & (i == 1)), F.lit(""))
             cell = F.concat(
                 F.when(_is_cell(prev), F.lit(" | ")).otherwise(F.concat(
-                    lead.when(row_start & _is_cell(prev2), F.lit("\n")).otherwise(F.lit("\n\n")), F.lit("| "))),
-                b["md"], F.when(_is_cell(nxt), F.lit("")).otherwise(F.lit(" |")))
+                    lead.when(row_start & _is_cell(prev2) & (b["mark"] == ""), F.lit("\n")).otherwise(F.lit("\n\n")), F.lit("| "))),
+                F.replace(F.replace(b["md"], F.lit("|"), F.lit(r"\|")), F.lit("\n"), F.lit(" ")),
+                F.when(_is_cell(nxt), F.lit("")).otherwise(F.concat(F.lit(" |"), F.when(
+                    b["mark"] != "", F.concat(F.lit("\n|"), F.repeat(F.lit(" --- |"), b["mark"].cast("int")))).otherwise(F.lit("")))))
             plain = F.concat(
                 lead.when((b["ctx"] == "li") & F.coalesce(prev["ctx"] == "li", F.lit(False)), F.lit("\n"))
+                .when((b["quoted"] > 0) & F.coalesce(prev["quoted"] > 0, F.lit(False)), F.concat(F.lit("\n"), F.repeat(F.lit(">"), b["quoted"]), F.lit("\n")))
                 .otherwise(F.lit("\n\n")),
+                F.when(b["quoted"] > 0, F.concat(F.repeat(F.lit(">"), b["quoted"]), F.lit(" "))).otherwise(F.lit("")),
                 F.when(_is_heading(b), F.concat(
                     F.repeat(F.lit("#"), F.right(b["ctx"], F.lit(1)).cast("int")), F.lit(" ")))
-                .when(b["ctx"] == "li", F.lit("- ")).otherwise(F.lit("")),
-                b["md"])
+                .when(b["ctx"] == "li", b["mark"]).otherwise(F.lit("")),
+                F.when(b["quoted"] > 0, F.replace(b["md"], F.lit("\n"), F.concat(F.lit("\n"), F.repeat(F.lit(">"), b["quoted"]), F.lit(" ")))).otherwise(b["md"]))
             return F.when(b["ctx"] == "tr", F.lit("")).when(_is_cell(b), cell).otherwise(plain)
 
         return F.array_join(F.transform(bs, one), "")
@@ -500,7 +590,7 @@ def og_title(tokens: Column) -> Column:
     """Content of the first ``og:title`` meta element; NULL when there is none or it is empty."""
     hits = F.filter(tokens, lambda t: t.startswith("<") & (tag_name(t) == "meta")
                     & (attribute(t, "property") == "og:title"))
-    content = collapse_ws(decode_entities(attribute(F.get(hits, F.lit(0)), "content")))
+    content = collapse_ws(decode_entities(attribute(F.get(hits, F.lit(0)), "content"), attribute=True))
     return let(content, lambda t: F.when(t != "", t))
 
 
@@ -509,7 +599,7 @@ def links_of(tokens: Column) -> Column:
     """Decoded href of every link, in order."""
     hits = F.filter(tokens, lambda t: t.startswith("<") & (tag_name(t) == "a") & ~is_close(t)
                     & has_attribute(t, "href"))
-    return F.transform(hits, lambda t: strip(decode_entities(attribute(t, "href"))))
+    return F.transform(hits, lambda t: strip(decode_entities(attribute(t, "href"), attribute=True)))
 
 
 def count_images(tokens: Column) -> Column:
