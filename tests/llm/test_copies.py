@@ -227,3 +227,17 @@ def test_one_outlier_beside_a_solved_group_costs_a_task_for_each_block(spark, mo
                                  + [(9001, keys, [1.0] * 5)], "node long, keys array<int>, weights array<float>").dropDuplicates(["node"])
     links = {tuple(sorted((r.u, r.v))) for r in near_dedup.blockwise(members, vecs).collect()}
     assert links == {(7, 9000), (9000, 9001)}
+
+
+def test_items_of_very_many_distinct_words(monkeypatch):
+    monkeypatch.setattr(decontaminate.ItemIndex, "embed", lambda self, windows: np.zeros((len(windows), self.tables), np.int64))
+    items = [(k, " ".join(f"w{150 * k + j}" for j in range(150))) for k in range(15_000)]
+    index = decontaminate.ItemIndex(items, 0.2, 0.999)
+    assert len(index.vocab) == 2_250_000
+    for k in (0, 7_000, 14_999):
+        words = decontaminate.words_of(items[k][1])
+        row = np.array([0] * index.pad + [index.vocab.get(w, 0) for w in ["x"] * 20 + words + ["y"] * 20] + [0] * (2 * index.pad), np.int64)
+        starts = dict(index.gate(row))
+        assert any(abs(s - index.pad - 20) <= 30 for s in starts.get(150, []))
+        strange = np.array([0] * index.pad + index.items[k][1][::-1] + [0] * (2 * index.pad), np.int64)
+        assert not any(len(s) for s in dict(index.gate(strange)).values())

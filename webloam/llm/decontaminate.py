@@ -21,6 +21,8 @@ WORD = re.compile(r"\w+")
 BATCH = 1000
 #: Documents' rows are returned for a block of so many items at a time.
 BLOCK_ITEMS = 20_000
+#: Words of windows that are embedded at once.
+CELLS = 4_000_000
 #: Positions that a key samples; the least part of a walk's positions in which a window at the allowed distance agrees with its item.
 SAMPLED, AGREEMENT = 3, 0.6
 #: Keys drawn from one walk.
@@ -87,10 +89,21 @@ class ItemIndex:
                 q, _ = shared_runs(len(ids), rate)
                 if any(len(set(ids[k:k + q + 1])) == 1 for k in range(len(ids) - q)):
                     self.repeats.add(q)
-                own = {self.join(ids[k:k + q]) for k in range(len(ids) - q + 1)}
-                runs.setdefault((q, 0), set()).update(own)
-                runs.setdefault((q, len(ids)), set()).update(own)
-        self.runs = {k: np.array(sorted(x), np.int64) for k, x in runs.items()}
+                runs.setdefault(q, {}).setdefault(len(ids), []).extend(zip(*(ids[k:] for k in range(q))))
+        # runs of q words by number: those of k + 1 words from the number of their first k, so no key outgrows 64 bits
+        self.base, self.starts, self.runs = len(self.vocab) + 1, {}, {}
+        for q, by_size in runs.items():
+            own = np.array([r for some in by_size.values() for r in some], np.int64).reshape(-1, q)
+            key, self.starts[q] = own[:, 0], []
+            for k in range(1, q):
+                key = key * self.base + own[:, k]
+                if k < q - 1:
+                    known, key = np.unique(key, return_inverse=True)
+                    self.starts[q].append(known)
+            self.runs[q, 0], at = np.unique(key), 0
+            for m, some in by_size.items():
+                self.runs[q, m] = np.unique(key[at:at + len(some)])
+                at += len(some)
         self.tables, self.seed = tables_for(recall), seed
         self.longest = max(self.sizes, default=0)
         self.pad = self.longest + allowed(self.longest, rate) + 1
@@ -99,12 +112,6 @@ class ItemIndex:
             keys = self.embed(np.array([self.items[k][1] for k in own], np.int64))
             self.keys[m] = [(np.sort(keys[:, t]), np.array(own)[np.argsort(keys[:, t], kind="stable")]) for t in range(self.tables)]
 
-    def join(self, ids: list[int]) -> int:
-        out = 0
-        for i in ids:
-            out = (out << 21) | i
-        return out
-
     def embed(self, windows):
         """Keys (a column for each table) of windows of one size: CGK walks, each sampled several times."""
         import numpy as np
@@ -140,9 +147,12 @@ class ItemIndex:
             key, known = ids[: len(ids) - q + 1].copy(), ids[: len(ids) - q + 1] > 0
             for k in range(1, q):
                 part = ids[k: len(ids) - q + 1 + k]
-                key, known = (key << 21) | part, known & (part > 0)
+                key, known = key * self.base + part, known & (part > 0)
+                if k < q - 1:
+                    known &= self.held(key, self.starts[q][k - 1])
+                    key = np.searchsorted(self.starts[q][k - 1], key)
             if q not in self.repeats:  # no item has a run twice in a row, so only the first of such counts
-                known[1:] &= key[1:] != key[:-1]
+                known[1:] &= (key[1:] != key[:-1]) | ~known[:-1]
             where = np.flatnonzero(known)
             where = where[self.held(key[where], self.runs[q, 0])]
             hit = np.zeros(len(ids) + 1, np.int32)
@@ -178,8 +188,8 @@ class ItemIndex:
         begins = np.array(begins + [n])
         pairs: dict[tuple[int, int], list[int]] = {}
         for m, starts in self.gate(ids):
-            for cut in range(0, len(starts), 50_000):
-                some = starts[cut:cut + 50_000]
+            for cut in range(0, len(starts), max(1, CELLS // m)):
+                some = starts[cut:cut + max(1, CELLS // m)]
                 keys = self.embed(ids[some[:, None] + np.arange(m)])
                 for t, (known, own) in enumerate(self.keys[m]):
                     lo, hi = np.searchsorted(known, keys[:, t]), np.searchsorted(known, keys[:, t], side="right")
@@ -224,7 +234,7 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     blocks = max(1, -(-asked.count() // block_items))
     out = None
     for b in range(blocks):
-        own = asked.filter(F.pmod(F.xxhash64(F.col(item_text_col)), F.lit(blocks)) == b) if blocks > 1 else asked
+        own = asked.filter(F.pmod(F.xxhash64(F.col(item_col), F.col(item_text_col)), F.lit(blocks)) == b) if blocks > 1 else asked
         block = [tuple(r) for r in own.collect()]
 
         def search(batches: Iterator, block=block) -> Iterator:
