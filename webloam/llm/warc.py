@@ -316,7 +316,9 @@ def page_records(pages: DataFrame, least: int = 1000, date: str = "1970-01-01T00
         .agg(F.max("page_id").alias("_first"), F.count(F.lit(1)).alias("_n")).filter("_n > 1").drop("_n")
     revisit = F.col("_first").isNotNull() & (F.col("page_id").isNull() | (F.col("page_id") < F.col("_first")))
     named = lambda c: F.concat(F.lit("urn:page:"), F.coalesce(c.cast("string"), F.lit("none")))
-    return rows.join(first, F.col("_digest") == F.col("_d"), "left").select(
+    # short payloads, which are often equal, match none: each goes by its own key
+    key = F.when(F.col("payload_length") >= least, F.col("_digest")).otherwise(F.concat(F.lit("page "), F.xxhash64("page_id", "url").cast("string")))
+    return rows.withColumn("_key", key).join(first, F.col("_key") == F.col("_d"), "left").select(
         named(F.col("page_id")).alias("record_id"), F.when(revisit, "revisit").otherwise("response").alias("record_type"),
         F.col("url").alias("target_uri"), F.lit(date).alias("date"), F.concat(F.lit("sha1:"), "_digest").alias("payload_digest"), "payload_length",
         F.when(revisit, named(F.col("_first"))).alias("refers_to"), F.when(~revisit, F.col("payload")).alias("payload"))
