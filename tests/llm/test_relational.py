@@ -195,3 +195,28 @@ def test_archives_of_other_writers(tmp_path):
             ids = ["0", "1", "2"] if wanted is None else ["0", "2"]
             assert [r["record_id"] for r in rows] == ids * 3
             assert all(r["payload"] == (b"p" * (5000 * int(r["record_id"])) if payload else None) for r in rows)
+
+
+def test_strings_that_begin_alike_are_told_apart(spark):
+    rng = random.Random(8)
+    urls = [f"https://www.example.com/{rng.choice('abcdef')}/{rng.randrange(10 ** 6)}" for _ in range(2000)] + ["https://www.example.com/same"] * 500
+    df = spark.createDataFrame([(k, u, k % 97) for k, u in enumerate(urls)] + [(9999, None, None)], "id int, url string, n int")
+    found = sharding.quantised(df, ["url", "n"], bits=3).collect()
+    cells = {}
+    for r in found:
+        cells.setdefault(r._cell_url, []).append(r.url)
+    assert cells.pop(0) == [None] and sorted(cells) == list(range(1, max(cells) + 1)) and max(cells) >= 5
+    assert all(max(cells[k]) < min(cells[k + 1]) for k in range(1, max(cells)))
+    ordered = sorted(urls)
+    cuts = sorted({ordered[-(-k * len(ordered) // 7) - 1] for k in range(1, 7)})
+    assert sharding.string_cuts(df, "url", 7) == cuts
+    assert sharding.string_cuts(df.limit(0), "url", 7) == []
+
+
+def test_equal_short_payloads_are_no_group(spark):
+    pages = spark.createDataFrame([(k, f"u{k}", "" if k % 2 else "short") for k in range(400)] + [(400 + k, f"v{k}", "x" * 1000) for k in range(3)],
+                                  "page_id long, url string, html string")
+    rows = warc.page_records(pages).collect()
+    kinds = {r.record_id: (r.record_type, r.refers_to) for r in rows}
+    assert len(rows) == 403 and sum(k == "revisit" for k, _ in kinds.values()) == 2
+    assert kinds["urn:page:400"] == ("revisit", "urn:page:402") and kinds["urn:page:7"] == ("response", None)

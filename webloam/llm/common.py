@@ -19,8 +19,10 @@ SHELF = 8
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; one of our own only where it names none, as in tests."""
+    """The shared folder that the cluster names; one of our own only where all runs in one process, as in tests."""
     root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     return root or os.path.join(tempfile.gettempdir(), "webloam-llm")
 
 

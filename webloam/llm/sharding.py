@@ -44,28 +44,45 @@ def curve_index(cells, bits: int):
 
 
 def ordinal(column: Column, kind: str) -> Column:
-    """A number that orders as the column does: of strings, their first seven bytes."""
+    """What orders as the column does: a number, or the string itself."""
     if kind == "string":
-        head = F.rpad(F.hex(F.substr(F.encode(column, "UTF-8"), F.lit(1), F.lit(7))), 14, "0")
-        return F.conv(head, 16, 10).cast("double")
+        return column
     if kind in ("date", "timestamp"):
         return F.unix_timestamp(column).cast("double")
     return column.cast("double")
 
 
+def string_cuts(df: DataFrame, column: str, parts: int) -> list[str]:
+    """The values at which the share of rows up to them reaches 1, 2, ... parts - 1 of ``parts``; at most that many reach the driver.
+
+    Exact: distinct values are counted, and running totals over their order tell which of them hold a cut.
+    """
+    counts = df.filter(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("_n"))
+    placed = settled(with_running(counts, [column], ["_n"], "strings"), "strings")
+    total = placed.agg(F.sum("_n")).first()[0] or 1
+    share = lambda n: F.floor(n * parts / total)
+    last = F.col("_n_before") + F.col("_n")
+    held = placed.filter((share(last) > share(F.col("_n_before"))) & (share(F.col("_n_before")) < parts - 1))
+    return sorted(r[0] for r in held.select(column).collect())
+
+
 def quantised(df: DataFrame, dims: list[str], bits: int = BITS) -> DataFrame:
     """df with ``_cell_<d>`` (int): which of 2**bits - 1 quantile ranges a value lies in, from 1; 0 for NULL.
 
-    Quantiles are over all rows, in one aggregate; equal values share a cell.
+    Quantiles are over all rows, of numbers in one aggregate, of strings by their counts; equal values share a cell.
     """
     kinds, parts = dict(df.dtypes), (1 << bits) - 1
     share = F.array(*[F.lit(k / parts) for k in range(1, parts)])
-    cuts = df.select(*[ordinal(F.col(d), kinds[d]).alias(d) for d in dims]).agg(*[F.percentile_approx(d, share, F.lit(1_000)).alias(d) for d in dims]).first()
-    found = {d: sorted(set(cuts[d] or [])) for d in dims}
+    texts, numbers = [d for d in dims if kinds[d] == "string"], [d for d in dims if kinds[d] != "string"]
+    found = {d: string_cuts(df, d, parts) for d in texts}
+    if numbers:
+        cuts = df.select(*[ordinal(F.col(d), kinds[d]).alias(d) for d in numbers]).agg(*[F.percentile_approx(d, share, F.lit(1_000)).alias(d) for d in numbers]).first()
+        found |= {d: sorted(set(cuts[d] or [])) for d in numbers}
 
     def cell(d: str) -> Column:
         value = ordinal(F.col(d), kinds[d])
-        edges = F.array(*[F.lit(x) for x in found[d]]) if found[d] else F.array().cast("array<double>")
+        empty = F.array().cast("array<string>" if d in texts else "array<double>")
+        edges = F.array(*[F.lit(x) for x in found[d]]) if found[d] else empty
         return F.when(value.isNull(), 0).otherwise(1 + F.size(F.filter(edges, lambda e: e < value))).cast("int").alias(f"_cell_{d}")
 
     return df.select("*", *[cell(d) for d in dims])
