@@ -18,17 +18,23 @@ FAILED = ("error", "signup")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh folder name: in the shared folder of the cluster, or in a local one where none is set."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     root = shared or tempfile.mkdtemp(prefix="webloam-")
     return f"{root}/{name}-{uuid.uuid4().hex}"
 
 
+def utc_instant(column: str) -> Column:
+    """The instant of a UTC time that is stored without a zone, whatever the session's zone."""
+    return F.timestamp_micros(F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', {column})"))
+
+
 def _count(df: DataFrame) -> Column:
     return df.agg(F.count(F.lit(1))).scalar()
 
@@ -47,7 +53,7 @@ def logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.col("event_type")
     failed = kind.isin(*FAILED)
     e = table(spark, sf_dir, "events").select(
-        "event_id", F.col("ts").cast("timestamp").alias("timestamp"), "event_type", "value",
+        "event_id", utc_instant("ts").alias("timestamp"), "event_type", "value",
         (F.col("event_id") % _count(p)).alias("page_id"), (F.col("event_id") % _count(d)).alias("doc_id"))
     texts = d.select("doc_id", "text", F.sha2("text", 256).alias("hash"), F.length("text").cast("long").alias("len"))
     joined = e.join(p.select("page_id", "url"), "page_id").join(texts, "doc_id")

@@ -6,11 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from webloam.functions.html import html_tokens
 from webloam.functions.outcome import classify_status, result_content_type
-from webloam.functions.reuse import per_application
 from webloam.functions.text import content_hash, content_length
-from webloam.operators.pages import link_counts
 from webloam.operators.pdf import pdf_results
 from webloam.plans.documents import process_pages
 from webloam.schemas import LOG, RESULT, PipelineConfig
@@ -53,11 +50,6 @@ def to_log_row(results: DataFrame) -> DataFrame:
     return conform(logs, T.StructType([f for f in LOG if f.name not in ("id", "timestamp")]))
 
 
-@per_application
-def _counts() -> Column:
-    return link_counts(html_tokens(F.col("html")), F.col("url"))
-
-
 def page_outcomes(pages: DataFrame, config: PipelineConfig = PipelineConfig(),
                   responses: DataFrame | None = None) -> DataFrame:
     """Outcomes of the HTML branch; a page that carries ``fetch_error`` failed and yields no document."""
@@ -69,8 +61,7 @@ def page_outcomes(pages: DataFrame, config: PipelineConfig = PipelineConfig(),
         present.append("fetch_error")
     # Failed pages enter no step: their html is emptied.
     df = df.withColumn("html", F.when(F.col("fetch_error").isNull(), F.col("html")).otherwise(F.lit("")))
-    df = df.withColumn("_counts", _counts())
-    docs = process_pages(df, config, responses, keep=(*present, "_counts"))
+    docs = process_pages(df, config, responses, keep=tuple(present), counts=True)
     ok = F.col("fetch_error").isNull()
     return docs.select(
         "url", ok.alias("success"), F.when(ok, F.col("markdown")).otherwise(F.lit("")).alias("markdown"),

@@ -9,7 +9,7 @@ from webloam.functions import html as H
 from webloam.functions.reuse import per_application
 from webloam.functions.text import inject_section, inject_title
 from webloam.operators import content as C
-from webloam.operators.pages import pruned_tokens
+from webloam.operators.pages import link_counts, pruned_tokens
 from webloam.operators.scientific import scientific_preprocess
 from webloam.schemas import PipelineConfig
 
@@ -40,14 +40,20 @@ def _finished(config: PipelineConfig) -> Column:
     return C.strip_interface_residue(markdown) if config.strip_residue else markdown
 
 
+@per_application
+def _links() -> Column:
+    return link_counts(F.col("_whole"), F.col("url"))
+
+
 # D13
 def process_pages(pages: DataFrame, config: PipelineConfig = PipelineConfig(),
-                  responses: DataFrame | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+                  responses: DataFrame | None = None, keep: tuple[str, ...] = (), counts: bool = False) -> DataFrame:
     """(page_id, url, markdown, title, steps_applied): one document per page.
 
     Without a responses table the chain is one map-only stage. With one, the answers are
     joined by page_id and only unanswered pages go through the classic steps. ``keep``
-    names further page columns to carry along.
+    names further page columns to carry along. ``counts`` adds ``_counts``, links and images of
+    the page as it was fetched, out of the same tokens.
     """
     df = pages
     for name in ("fallback_markdown", "page_title", "og_title"):
@@ -74,7 +80,9 @@ def process_pages(pages: DataFrame, config: PipelineConfig = PipelineConfig(),
     df = df.withColumn("_classic", classic)
     df = df.select(
         "page_id", "url", "html_answer", "scientific_content", "is_scientific", "fallback_markdown", *keep,
-        _texts(config).alias("_texts"), _titles().alias("_titles"), "page_title", "og_title")
+        _texts(config).alias("_texts"), _titles().alias("_titles"), "page_title", "og_title",
+        *([_links().alias("_counts")] if counts else []))
+    keep = (*keep, "_counts") if counts else keep
     df = df.withColumn("_main", F.col("_texts")[0]).withColumn(
         "_fallback", F.coalesce("fallback_markdown", F.col("_texts")[1]))
     df = df.withColumn("_pick", C.choose_extraction(F.col("_main"), F.col("_fallback"), config))
