@@ -17,7 +17,8 @@ from webloam.llm import common
 from webloam.llm.common import block_of, blocks, of_block, put_by_block, settled, shelves_for, tuples
 
 ORDER = 4
-#: Bits of a symbol. Code points below half the symbols' number stand for themselves, others share the upper half.
+#: Bits of a symbol. Code points below half the symbols' number stand for themselves, others share the upper half: Latin, Greek, Cyrillic,
+#: Hebrew and Arabic letters are exact, while Chinese, Japanese and Korean ones, and emoji, share a symbol with every 2,048th.
 BITS = 12
 SYMBOLS = 1 << BITS
 START, END = 0, 1
@@ -256,7 +257,7 @@ def classify(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_c
     """``id_col``, ``lang`` (NULL: ''), ``n_symbols``, ``perplexity``, ``threshold`` and ``kept``, for each row of docs.
 
     A language's threshold is the ``quantile`` of perplexities of its trusted texts, each by a model that it is not in; documents
-    above it are rejected. Where a language has no trusted text to train on, or all its trusted texts are in one fold, nothing is known
+    above it are rejected, trusted ones too by the model that they are not in. Where a language has no trusted text to train on, or all its trusted texts are in one fold, nothing is known
     against its documents: perplexity or threshold is NULL and they are kept. NULL texts are empty (their only symbol is the end); repeated rows count
     each; other columns are ignored, so they may have any names; an empty table gives no rows.
     """
@@ -268,4 +269,4 @@ def classify(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_c
     salt = F.pmod(F.xxhash64(F.col("id").cast("string")), F.lit(SALTS)).cast("int")
     return rows.join(limits, (F.col("lang") == F.col("_lang")) & (salt == F.col("_salt")), "left").select(
         F.col("id").alias(id_col), "lang", "n_symbols", "perplexity", "threshold",
-        F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True)).alias("kept"))
+        F.coalesce(F.coalesce("held_perplexity", "perplexity") <= F.col("threshold"), F.lit(True)).alias("kept"))
