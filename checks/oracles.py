@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import unicodedata
 
+from webloam.functions.html import BOUNDARY_TAGS, PRUNED_MARKS, PRUNED_TAGS, VOID_TAGS
+
 # White space as Python sees it, as text and as a pattern class.
 _WS_TEXT = (
     "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
@@ -379,12 +381,11 @@ SQL["n22_truncate_chars"] = "SELECT doc_id, substr(text, 1, 5000) AS text FROM d
 
 _TOKEN = (r"(?is)<!--.*?(?:-->|\z)|<script\b[^>]*>.*?(?:</script\s*>|\z)|<style\b[^>]*>.*?(?:</style\s*>|\z)"
           r"|</?[a-z][^>=]*(?:=\s*(?:\"[^\"]*\"|''[^'']*'')?[^>=]*)*>|</?[a-z][^>]*>|<![^>]*>|[^<]+|<").replace('\\"', '"')
-_VOID = "('area','base','br','col','embed','hr','img','input','link','meta','param','source','track','wbr','script','style')"
-_FURNITURE = "('nav','footer','header','aside','script','style','noscript','form','iframe','svg','canvas','video','audio')"
-_MARKS = ("cookie|widget|popup|modal|banner|advert|sidebar|comment|share|social|newsletter|subscribe|related|recommended|breadcrumb|"
-          "pagination|menu|navbar|toolbar")
-_BOUNDARY = ("('p','div','section','article','main','ul','ol','li','table','tr','td','th','h1','h2','h3','h4','h5','h6','blockquote','pre','br','hr',"
-             "'title','body','nav','header','footer','aside','form','fieldset','figure','figcaption','dl','dt','dd','address','option')")
+_names = lambda tags: "('" + "','".join(tags) + "')"
+_VOID = _names((*VOID_TAGS, "script", "style"))
+_FURNITURE = _names(PRUNED_TAGS)
+_MARKS = "|".join(PRUNED_MARKS)
+_BOUNDARY = _names(BOUNDARY_TAGS)
 
 
 def tokens(src: str, name: str = "tk") -> str:

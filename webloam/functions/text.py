@@ -73,11 +73,19 @@ def parse_pdf_date(value: Column) -> Column:
     return F.when(F.length(value) == 0, F.lit(None)).when(value.rlike(pattern), iso).otherwise(value)
 
 
+# What is taken out of PDF texts, pattern and replacement, in this order.
+PDF_RULES = (
+    (r"[\x{0}-\x{8}\x{b}\x{c}\x{e}-\x{1f}\x{7f}]", ""),
+    ("[ \t]+", " "),
+    ("\n{3,}", "\n\n"),
+)
+
+
 # N11
 def clean_pdf_text(text: Column) -> Column:
-    x = F.regexp_replace(text, r"[\x{0}-\x{8}\x{b}\x{c}\x{e}-\x{1f}\x{7f}]", "")
-    x = F.regexp_replace(x, "[ \t]+", " ")
-    return strip(F.regexp_replace(x, "\n{3,}", "\n\n"))
+    for pattern, replacement in PDF_RULES:
+        text = F.regexp_replace(text, pattern, replacement)
+    return strip(text)
 
 
 # N12, also the last rule of regex_clean
@@ -99,15 +107,22 @@ def normalize_markdown_spacing(markdown: Column) -> Column:
     return F.btrim(F.regexp_replace(joined, "\n{3,}", "\n\n"), F.lit("\n"))
 
 
+# Marks of Markdown and what is left of them, in this order: headings, links, images, emphasis, code.
+MARK_RULES = (
+    ("(?Umd)^#{1,6}" + WS + "+", ""),
+    (r"\[([^\]]+)\]\([^)]+\)", "$1"),
+    (r"!\[[^\]]*\]\([^)]+\)", ""),
+    (r"[*_]{1,3}([^*_]+)[*_]{1,3}", "$1"),
+    ("`[^`]+`", ""),
+)
+
+
 # N14
 def extract_text_content(markdown: Column) -> Column:
     """Markdown without marks. Links go before images, so ``![alt](x)`` leaves ``!alt``."""
-    x = F.regexp_replace(markdown, "(?Umd)^#{1,6}" + WS + "+", "")
-    x = F.regexp_replace(x, r"\[([^\]]+)\]\([^)]+\)", "$1")
-    x = F.regexp_replace(x, r"!\[[^\]]*\]\([^)]+\)", "")
-    x = F.regexp_replace(x, r"[*_]{1,3}([^*_]+)[*_]{1,3}", "$1")
-    x = F.regexp_replace(x, "`[^`]+`", "")
-    return collapse_ws(x)
+    for pattern, replacement in MARK_RULES:
+        markdown = F.regexp_replace(markdown, pattern, replacement)
+    return collapse_ws(markdown)
 
 
 # N15
