@@ -223,7 +223,7 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
 
     Whole texts against all items, in blocks of about ``block_items``, each of which is sent to the executors; documents are read
     once a block and never shuffled. ``recall``: for a window at the allowed distance, from which the number of keys follows.
-    NULL and empty texts hold nothing, items without a word are in nothing. Equal items are each reported; repeated documents
+    Items may be of any length: their windows are embedded some at a time. NULL and empty texts hold nothing, items without a word are in nothing. Equal items are each reported; repeated documents
     give repeated rows; other columns are ignored; an empty table on either side gives no rows.
     """
     rows = docs.select(F.col(id_col), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))

@@ -295,7 +295,8 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Ids are integers; rows of one id are one document. Texts are linked where they share a band and their weighted Jaccard
     similarity is 0.8 or more; classes are the connected components of links and equal texts. NULL texts are empty, and equal
-    to each other; texts without words are linked to none. Other columns are ignored, an empty table gives no rows.
+    to each other; texts without words are linked to none. A row without an id is in the class of an equal text that has one, and else in
+    none: copy_of and class_id are NULL. Other columns are ignored, an empty table gives no rows.
 
     Documents are read three times and never shuffled; rows must lie in the same partitions each time, as those of files do.
     Equal texts are one node. Of each band's bucket, first the member with the most company is compared with all others, twice, which
