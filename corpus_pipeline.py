@@ -25,7 +25,10 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near copies, the document of the least id, once. Documents without an id stay."""
+    """Of each class of near copies, the document of the least id, once. Documents without an id stay.
+
+    Of rows of one id that is kept, whatever their texts, any one stays.
+    """
     classes = settled(near_dedup.near_classes(docs.filter("doc_id IS NOT NULL")), "classes")
     again = classes.filter("doc_id = class_id").groupBy("doc_id").count().filter("count > 1").select("doc_id")
     gone = classes.filter("doc_id <> class_id").select("doc_id")
