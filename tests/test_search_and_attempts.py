@@ -67,6 +67,15 @@ def test_search_matches_brute_force(corpus, terms):
         assert {r["id"] for r in got.collect()} == expected
 
 
+def test_postings_sort_words_without_an_interpreted_comparison(spark):
+    logs = spark.createDataFrame([("1", "https://b.a/c", "b a b Á c"), ("2", None, None), (None, "", "x x")], "id string, url string, markdown_content string")
+    postings = J.build_postings(logs)
+    found = {(r["field"], r["term"], r["id"], tuple(r["positions"])) for r in postings.filter("field = 'markdown'").collect()}
+    assert found == {("markdown", "a", "1", (1, 3)), ("markdown", "b", "1", (0, 2)), ("markdown", "c", "1", (4,)), ("markdown", "x", None, (0, 1))}
+    plan = postings._jdf.queryExecution().optimizedPlan().toString()
+    assert "sort_array(" in plan and "array_sort(" not in plan
+
+
 def test_postings_follow_the_table(spark, corpus, tmp_path):
     df, _ = corpus
     logs_path, postings_path = str(tmp_path / "logs"), str(tmp_path / "postings")

@@ -102,7 +102,8 @@ def build_postings(logs: DataFrame) -> DataFrame:
             F.get(words, s - 1)["w"].alias("term"),
             F.transform(F.slice(words, s, F.coalesce(F.get(ss, k + 1), F.size(words) + 1) - s), lambda x: x["i"]).alias("positions")))))
 
-    placed = lambda text: F.array_sort(F.transform(search_tokens(text), lambda w, i: F.struct(w.alias("w"), i.alias("i"))))
+    # sort_array compares structs by itself, array_sort by an expression that is interpreted for every comparison
+    placed = lambda text: F.sort_array(F.transform(search_tokens(text), lambda w, i: F.struct(w.alias("w"), i.alias("i"))))
     return (
         logs.select("id", *day, F.explode(fields).alias("f"))
         .select("id", *day, F.col("f.field").alias("field"), F.explode_outer(let(placed(F.col("f.text")), postings)).alias("p"))
