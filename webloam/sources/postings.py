@@ -81,9 +81,11 @@ def merge_postings(spark: SparkSession, path: str) -> int:
     last = max([b for _, b in parts if b >= 0] + [int(v) for v in _folders(f"{path}_removed", "batch_id").values()], default=-1)
     days = {day for day, own in batches.items() if len(own) > 1}
     if _folders(f"{path}_removed", "batch_id"):
+        rest = [day for day in batches if day not in days]
         gone = spark.read.schema(REMOVED).parquet(f"{path}_removed").select("id").distinct()
-        found = spark.read.schema(POSTINGS).parquet(path).join(gone, "id", "left_semi").select("log_date").distinct().collect()
-        days |= {r["log_date"] for r in found}
+        # days of several batches are merged anyway: only the others are looked through
+        found = spark.read.schema(POSTINGS).parquet(path).filter(F.col("log_date").isin(*rest)).join(gone, "id", "left_semi") if rest else None
+        days |= {r["log_date"] for r in found.select("log_date").distinct().collect()} if rest else set()
     if last >= 0 and days:
         rows = _batches(spark, path).filter(F.col("log_date").isin(*days))
         stage = f"{path}_stage"
