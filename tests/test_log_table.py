@@ -41,6 +41,16 @@ def test_files_carry_bloom_filters_of_ids(spark, tmp_path):
     assert A.get_log(L.read_log_files(spark, path), "77").count() == 1 and A.get_log(L.read_log_files(spark, path), "-77").count() == 0
 
 
+def test_files_are_packed_tightly(spark, tmp_path):
+    pq = pytest.importorskip("pyarrow.parquet")
+    path = str(tmp_path / "logs")
+    L.append_logs(log_rows(spark, 100), path)
+    L.write_batch(log_rows(spark, 50).drop("id"), path, 4)
+    assert L.delete_log_at(spark, path, "7")
+    files = [str(f) for f in (tmp_path / "logs").rglob("*.parquet")]
+    assert files and {pq.ParquetFile(f).metadata.row_group(0).column(k).compression for f in files for k in range(3)} == {"ZSTD"}
+
+
 @pytest.mark.parametrize("step", [40_000, 3600, 1, 0])
 def test_far_pages_equal_skipping_row_by_row(spark, step):
     rng = random.Random(step)
