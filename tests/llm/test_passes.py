@@ -28,3 +28,26 @@ def test_a_pass_over_other_blocks_is_an_error(spark):
     assert kneser_ney.counted(rows.coalesce(1), marks, 1).filter("n > 0").count() == 0
     with pytest.raises(Exception, match="two passes over the documents disagree"):
         kneser_ney.counted(rows.coalesce(2), marks, 1).count()
+
+
+def test_few_rows_of_a_batch_are_tuples_at_once():
+    import pyarrow as pa
+
+    class Batch:
+        """A batch that tells the most rows it was asked for."""
+        def __init__(self, rows):
+            self.rows, self.num_rows, self.most = rows, rows.num_rows, 0
+
+        def slice(self, at, n):
+            part = self.rows.slice(at, n)
+            self.most = max(self.most, part.num_rows)
+            return part
+
+        @property
+        def columns(self):
+            self.most = self.num_rows
+            return self.rows.columns
+
+    batch = Batch(pa.RecordBatch.from_pydict({"id": list(range(2000)), "text": [None, "t"] * 1000}))
+    assert list(common.tuples(iter([batch]))) == [(k, [None, "t"][k % 2]) for k in range(2000)]
+    assert batch.most <= common.TUPLES

@@ -14,6 +14,8 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 #: Characters of documents that make a block, about.
 BLOCK_CHARS = 16 << 20
+#: Rows of a batch that are turned into tuples at once.
+TUPLES = 512
 #: Blocks whose answers lie in one folder.
 SHELF = 8
 
@@ -82,7 +84,8 @@ def blocks(rows: Iterator, size_of) -> Iterator:
 
 def tuples(batches: Iterator) -> Iterator:
     for batch in batches:
-        yield from zip(*[c.to_pylist() for c in batch.columns])
+        for at in range(0, batch.num_rows, TUPLES):  # few at once: texts stand twice while they are both Arrow's and Python's
+            yield from zip(*[c.to_pylist() for c in batch.slice(at, TUPLES).columns])
 
 
 def put_by_block(rows: DataFrame, shelves: int, name: str) -> str:
@@ -95,7 +98,9 @@ def put_by_block(rows: DataFrame, shelves: int, name: str) -> str:
 
 
 def of_block(path: str, shelves: int, block: int, columns: list[str]):
-    """The rows of a block, as an Arrow table; none where the block has none."""
+    """The rows of a block, as an Arrow table; none where the block has none. Row groups are read one after the other: all at once, they
+    and what is read ahead would take far more memory than the block's rows."""
+    import pyarrow as pa
     import pyarrow.dataset as ds
     from pyarrow import fs
 
@@ -103,7 +108,10 @@ def of_block(path: str, shelves: int, block: int, columns: list[str]):
     folder = f"{root}/shelf={block % shelves}"
     if system.get_file_info(folder).type == fs.FileType.NotFound:
         return None
-    return ds.dataset(folder, filesystem=system, format="parquet").to_table(columns=columns, filter=ds.field("block") == block)
+    found = ds.dataset(folder, filesystem=system, format="parquet").to_table(
+        columns=columns, filter=ds.field("block") == block, use_threads=False, batch_readahead=1, fragment_readahead=1)
+    pa.default_memory_pool().release_unused()
+    return found
 
 
 def block_of(texts: DataFrame) -> DataFrame:

@@ -24,6 +24,8 @@ SYMBOLS = 1 << BITS
 START, END = 0, 1
 #: Characters whose n-grams are in memory at once.
 PART_CHARS = 1 << 20
+#: The same where n-grams are looked up and nothing of a part is kept but its sums.
+SCORED_CHARS = 1 << 17
 #: Trusted texts are dealt into so many folds, each scored by a model of the others. The first fold trains no model of documents.
 FOLDS = 5
 COUNTS = [f"n{f}" for f in range(FOLDS)]
@@ -64,13 +66,13 @@ def by_language(held: list[tuple]) -> Iterator:
     return iter(places.items())
 
 
-def parts(held: list[tuple]) -> Iterator:
-    """Rows (id, text, ...) of a block, about PART_CHARS characters at a time, which bounds the arrays made of them."""
+def parts(held: list[tuple], chars: int = PART_CHARS) -> Iterator:
+    """Rows (id, text, ...) of a block, about ``chars`` characters at a time, which bounds the arrays made of them."""
     part, size = [], 0
     for row in held:
         part.append(row)
         size += len(row[1])
-        if size >= PART_CHARS:
+        if size >= chars:
             yield part
             part, size = [], 0
     if part:
@@ -168,16 +170,21 @@ def scored(texts: DataFrame, marks: str, answers: str, shelves: int) -> DataFram
     def run(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
+        import pyarrow.compute as pc
 
         for block, held in blocks(tuples(batches), lambda r: len(r[1])):
             fold = folds_of(marks, shelves, block)
             found = of_block(answers, shelves, block, ["lang", "gram", "nats"])
             if found is None or not len(found):
                 raise RuntimeError("two passes over the documents disagree; settle them first")
-            langs, gram, nats = (found[c].to_numpy() if c != "lang" else found[c].to_numpy(zero_copy_only=False) for c in ("lang", "gram", "nats"))
+            # names as numbers: a Python string for each n-gram would take more than all the rest
+            names = {name: k for k, name in enumerate(pc.unique(found["lang"]).to_pylist())}
+            langs = pc.index_in(found["lang"], pa.array(names, pa.string())).to_numpy()
+            gram, nats = found["gram"].to_numpy(), found["nats"].to_numpy()
+            del found
             for lang, own in by_language(held):
                 def answers_of(f):
-                    mine = np.flatnonzero(langs == name_of(f, lang))
+                    mine = np.flatnonzero(langs == names.get(name_of(f, lang), -1))
                     mine = mine[np.argsort(gram[mine])]
                     return gram[mine], nats[mine].astype(np.float64)
 
@@ -190,7 +197,7 @@ def scored(texts: DataFrame, marks: str, answers: str, shelves: int) -> DataFram
                     return sizes, np.add.reduceat(cost[at], np.cumsum(sizes) - sizes)
 
                 models = {f: answers_of(f) for f in {0, *(fold[r[0]] for r in own if r[0] in fold)}}
-                for part in parts(own):
+                for part in parts(own, SCORED_CHARS):
                     sizes, total = cost_of([r[1] for r in part], models[0])
                     folds = [fold.get(r[0]) for r in part]
                     other = [None if f is None else total[k] for k, f in enumerate(folds)]
