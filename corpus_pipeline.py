@@ -14,9 +14,12 @@ from webloam.llm.common import settled, without
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose perplexity under the model of trusted text of their language is no worse than its threshold."""
+    """Documents whose perplexity under the model of trusted text of their language is no worse than its threshold, and all trusted ones.
+
+    The threshold is a quantile of trusted texts, so some of them lie above it however good they are; their labels say more than the model.
+    """
     trusted = spark.read.parquet(f"{sf_dir}/labels.parquet").filter("quality = 1 AND toxic = 0")
-    return without(docs, kneser_ney.classify(docs, trusted).filter("NOT kept"))
+    return without(docs, kneser_ney.classify(docs, trusted, keep_trusted=True).filter("NOT kept"))
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

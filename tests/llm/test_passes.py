@@ -51,3 +51,28 @@ def test_few_rows_of_a_batch_are_tuples_at_once():
     batch = Batch(pa.RecordBatch.from_pydict({"id": list(range(2000)), "text": [None, "t"] * 1000}))
     assert list(common.tuples(iter([batch]))) == [(k, [None, "t"][k % 2]) for k in range(2000)]
     assert batch.most <= common.TUPLES
+
+
+def test_plans_of_the_model_do_not_hold_the_plans_of_all_levels(spark, monkeypatch, capsys):
+    plans, settled = {}, kneser_ney.settled
+
+    def seen(df, name):
+        df.explain()
+        plans[name] = capsys.readouterr().out
+        return settled(df, name)
+
+    monkeypatch.setattr(kneser_ney, "settled", seen)
+    docs = spark.createDataFrame([(k, f"some text of number {k}", "en") for k in range(40)], "doc_id long, text string, lang string")
+    assert kneser_ney.classify(docs, docs.filter("doc_id < 30")).count() == 40
+    assert {f"order{k}" for k in range(1, 5)} < set(plans)
+    assert max(p.count("HashAggregate") for p in plans.values()) <= 6
+    assert max(p.count("Scan parquet") for p in plans.values()) <= 5  # the level, its discounts, both again for contexts, and the order below
+
+
+def test_trusted_documents_stay_where_the_caller_asks(spark):
+    rows = [(k, "plain words of a text that is like all others", "en") for k in range(200)] + [(k, "#$%&QXZ" * (k - 199), "en") for k in range(200, 204)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    trusted = docs.filter("doc_id < 202")
+    kept = lambda **more: {r.doc_id for r in kneser_ney.classify(docs, trusted, **more).filter("kept").collect()}
+    assert not {200, 201} <= kept()
+    assert {r.doc_id for r in trusted.collect()} <= kept(keep_trusted=True) and 203 not in kept(keep_trusted=True)

@@ -92,6 +92,12 @@ def name_of(fold, lang):
     return F.concat(F.lit(f"{fold}:"), lang) if isinstance(lang, Column) else f"{fold}:{lang}"
 
 
+def for_models(rows: DataFrame, columns: list[str], value) -> DataFrame:
+    """``lang`` (a model's name), ``columns`` and ``n`` of each row, for each model whose ``value(fold)`` is not NULL. One pass over the rows."""
+    each = F.array(*[F.struct(name_of(f, F.col("lang")).alias("lang"), value(f).cast("long").alias("n")) for f in range(FOLDS)])
+    return rows.select(*columns, F.explode(each).alias("_model")).select("_model.lang", *columns, "_model.n").filter("n IS NOT NULL")
+
+
 def counted(texts: DataFrame, marks: str, shelves: int) -> DataFrame:
     """For each block: every n-gram of its documents by language, once, with its counts in trusted texts of each fold (0 where none has it)
     and ``n``, those of the folds that train."""
@@ -148,7 +154,9 @@ def probabilities(top: DataFrame) -> DataFrame:
     levels = {ORDER: top}
     for k in range(ORDER - 1, 0, -1):
         mask = (1 << (BITS * k)) - 1
-        levels[k] = levels[k + 1].groupBy("lang", F.col("gram").bitwiseAND(F.lit(mask)).alias("gram")).agg(F.sum((F.col("n") > 0).cast("long")).alias("n"))
+        # settled, since an order reads its level three times: the plan of the lowest one would hold all levels as often, which the driver pays
+        levels[k] = settled(
+            levels[k + 1].groupBy("lang", F.col("gram").bitwiseAND(F.lit(mask)).alias("gram")).agg(F.sum((F.col("n") > 0).cast("long")).alias("n")), f"level{k}")
     lower = None
     for k in range(1, ORDER + 1):
         rows = levels[k].join(discounts(levels[k]), "lang").withColumn("context", F.shiftright("gram", BITS))
@@ -240,12 +248,8 @@ def perplexities(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", te
     total = sum((F.col(c) for c in COUNTS), F.lit(0).cast("long"))
     whole = settled(asked.groupBy("lang", "gram").agg(*[F.sum(c).alias(c) for c in COUNTS], F.sum("n").alias("n")), "whole")
     # the model of documents knows all their n-grams; those that leave another fold out need only the trusted texts'
-    tops = whole.select(name_of(0, F.col("lang")).alias("lang"), "gram", "n")
-    wanted = asked.select("block", name_of(0, F.col("lang")).alias("lang"), "gram")
-    for f in range(1, FOLDS):
-        own = name_of(f, F.col("lang")).alias("lang")
-        tops = tops.unionByName(whole.filter(total > 0).select(own, "gram", (total - F.col(f"n{f}")).alias("n")))
-        wanted = wanted.unionByName(asked.filter(F.col(f"n{f}") > 0).select("block", own, "gram"))
+    tops = for_models(whole, ["gram"], lambda f: F.col("n") if f == 0 else F.when(total > 0, total - F.col(f"n{f}")))
+    wanted = for_models(asked, ["block", "gram"], lambda f: F.lit(0) if f == 0 else F.when(F.col(f"n{f}") > 0, 0)).drop("n")
     model = probabilities(tops)
     answers = put_by_block(wanted.join(model, ["lang", "gram"]).select("block", "lang", "gram", (-F.log("p")).cast("float").alias("nats")), shelves, "answers")
     others = F.array(*[F.max(total - F.col(c)) > 0 for c in COUNTS]).alias("_others")
@@ -260,11 +264,11 @@ def perplexities(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", te
 
 
 def classify(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-             quantile: float = 0.99) -> DataFrame:
+             quantile: float = 0.99, keep_trusted: bool = False) -> DataFrame:
     """``id_col``, ``lang`` (NULL: ''), ``n_symbols``, ``perplexity``, ``threshold`` and ``kept``, for each row of docs.
 
     A language's threshold is the ``quantile`` of perplexities of its trusted texts, each by a model that it is not in; documents
-    above it are rejected, trusted ones too by the model that they are not in. Where a language has no trusted text to train on, or all its trusted texts are in one fold, nothing is known
+    above it are rejected, trusted ones too by the model that they are not in, unless ``keep_trusted``. Where a language has no trusted text to train on, or all its trusted texts are in one fold, nothing is known
     against its documents: perplexity or threshold is NULL and they are kept. NULL texts are empty (their only symbol is the end); repeated rows count
     each; other columns are ignored, so they may have any names; an empty table gives no rows.
     """
@@ -274,6 +278,7 @@ def classify(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_c
     # most rows may be of one language: each threshold stands SALTS times, and rows choose one by their id
     limits = limits.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     salt = F.pmod(F.xxhash64(F.col("id").cast("string")), F.lit(SALTS)).cast("int")
+    kept = F.coalesce(F.coalesce("held_perplexity", "perplexity") <= F.col("threshold"), F.lit(True))
     return rows.join(limits, (F.col("lang") == F.col("_lang")) & (salt == F.col("_salt")), "left").select(
         F.col("id").alias(id_col), "lang", "n_symbols", "perplexity", "threshold",
-        F.coalesce(F.coalesce("held_perplexity", "perplexity") <= F.col("threshold"), F.lit(True)).alias("kept"))
+        (kept | F.col("held_perplexity").isNotNull() if keep_trusted else kept).alias("kept"))
