@@ -76,3 +76,20 @@ def test_trusted_documents_stay_where_the_caller_asks(spark):
     kept = lambda **more: {r.doc_id for r in kneser_ney.classify(docs, trusted, **more).filter("kept").collect()}
     assert not {200, 201} <= kept()
     assert {r.doc_id for r in trusted.collect()} <= kept(keep_trusted=True) and 203 not in kept(keep_trusted=True)
+
+
+def test_a_block_asks_once_for_an_ngram(spark, monkeypatch):
+    paths, put = {}, kneser_ney.put_by_block
+
+    def seen(rows, shelves, name):
+        paths[name] = put(rows, shelves, name)
+        return paths[name]
+
+    monkeypatch.setattr(kneser_ney, "put_by_block", seen)
+    docs = spark.createDataFrame([(k, f"text {'ab' * (k % 5)} of a {'trusted' if k < 30 else 'plain'} kind", ["en", "0:x", None][k % 3]) for k in range(40)], "doc_id long, text string, lang string")
+    rows = kneser_ney.perplexities(docs, docs.filter("doc_id < 30")).collect()
+    assert len(rows) == 40 and all(r.perplexity > 0 for r in rows)
+    answers = spark.read.parquet(paths["answers"])
+    assert answers.count() == answers.select("block", "lang", "gram").distinct().count()
+    assert {r.lang for r in answers.select("lang").distinct().collect()} == {"en", "0:x", ""}
+    assert answers.filter("nats0 IS NULL").isEmpty() and not answers.filter("nats1 IS NULL").isEmpty()

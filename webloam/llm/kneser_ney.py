@@ -29,6 +29,7 @@ SCORED_CHARS = 1 << 17
 #: Trusted texts are dealt into so many folds, each scored by a model of the others. The first fold trains no model of documents.
 FOLDS = 5
 COUNTS = [f"n{f}" for f in range(FOLDS)]
+NATS = [f"nats{f}" for f in range(FOLDS)]
 SALTS = 64
 
 
@@ -182,29 +183,27 @@ def scored(texts: DataFrame, marks: str, answers: str, shelves: int) -> DataFram
 
         for block, held in blocks(tuples(batches), lambda r: len(r[1])):
             fold = folds_of(marks, shelves, block)
-            found = of_block(answers, shelves, block, ["lang", "gram", "nats"])
+            found = of_block(answers, shelves, block, ["lang", "gram", *NATS])
             if found is None or not len(found):
                 raise RuntimeError("two passes over the documents disagree; settle them first")
             # names as numbers: a Python string for each n-gram would take more than all the rest
             names = {name: k for k, name in enumerate(pc.unique(found["lang"]).to_pylist())}
             langs = pc.index_in(found["lang"], pa.array(names, pa.string())).to_numpy()
-            gram, nats = found["gram"].to_numpy(), found["nats"].to_numpy()
+            gram, nats = found["gram"].to_numpy(), [found[c].to_numpy() for c in NATS]  # NULL: NaN
             del found
             for lang, own in by_language(held):
-                def answers_of(f):
-                    mine = np.flatnonzero(langs == names.get(name_of(f, lang), -1))
-                    mine = mine[np.argsort(gram[mine])]
-                    return gram[mine], nats[mine].astype(np.float64)
+                mine = np.flatnonzero(langs == names.get(lang, -1))
+                mine = mine[np.argsort(gram[mine])]
+                known = gram[mine]
 
-                def cost_of(texts_, model):
-                    known, cost = model
+                def cost_of(texts_, cost):
                     key, sizes = grams(texts_)
                     at = np.minimum(np.searchsorted(known, key), len(known) - 1)
-                    if not len(known) or not (known[at] == key).all():
+                    if not len(known) or not (known[at] == key).all() or np.isnan(cost[at]).any():
                         raise RuntimeError("two passes over the documents disagree; settle them first")
                     return sizes, np.add.reduceat(cost[at], np.cumsum(sizes) - sizes)
 
-                models = {f: answers_of(f) for f in {0, *(fold[r[0]] for r in own if r[0] in fold)}}
+                models = {f: nats[f][mine].astype(np.float64) for f in {0, *(fold[r[0]] for r in own if r[0] in fold)}}
                 for part in parts(own, SCORED_CHARS):
                     sizes, total = cost_of([r[1] for r in part], models[0])
                     folds = [fold.get(r[0]) for r in part]
@@ -249,9 +248,13 @@ def perplexities(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", te
     whole = settled(asked.groupBy("lang", "gram").agg(*[F.sum(c).alias(c) for c in COUNTS], F.sum("n").alias("n")), "whole")
     # the model of documents knows all their n-grams; those that leave another fold out need only the trusted texts'
     tops = for_models(whole, ["gram"], lambda f: F.col("n") if f == 0 else F.when(total > 0, total - F.col(f"n{f}")))
-    wanted = for_models(asked, ["block", "gram"], lambda f: F.lit(0) if f == 0 else F.when(F.col(f"n{f}") > 0, 0)).drop("n")
-    model = probabilities(tops)
-    answers = put_by_block(wanted.join(model, ["lang", "gram"]).select("block", "lang", "gram", (-F.log("p")).cast("float").alias("nats")), shelves, "answers")
+    # a row of all models' answers for each n-gram, so that a block asks once and not for each model
+    model = probabilities(tops).select(
+        F.substring_index("lang", ":", 1).alias("_fold"), F.expr("substring(lang, instr(lang, ':') + 1)").alias("lang"), "gram", (-F.log("p")).cast("float").alias("_nats"))
+    model = model.groupBy("lang", "gram").agg(*[F.max(F.when(F.col("_fold") == str(f), F.col("_nats"))).alias(NATS[f]) for f in range(FOLDS)])
+    wanted = asked.select("block", "lang", "gram", *[(F.lit(f == 0) | (F.col(COUNTS[f]) > 0)).alias(f"_wants{f}") for f in range(FOLDS)])
+    answers = put_by_block(wanted.join(model, ["lang", "gram"]).select(
+        "block", "lang", "gram", *[F.when(F.col(f"_wants{f}"), F.col(NATS[f])).alias(NATS[f]) for f in range(FOLDS)]), shelves, "answers")
     others = F.array(*[F.max(total - F.col(c)) > 0 for c in COUNTS]).alias("_others")
     trained = whole.groupBy("lang").agg(others).select(F.col("lang").alias("_lang"), "_others")
     salt = F.pmod(F.xxhash64(F.col("id").cast("string")), F.lit(SALTS)).cast("int")
