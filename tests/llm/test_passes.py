@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from webloam.llm import common, kneser_ney
+from webloam.llm import common, fertility, kneser_ney, near_dedup
 
 
 def test_ids_are_left_out_also_when_splits_change(spark, tmp_path):
@@ -93,3 +93,32 @@ def test_a_block_asks_once_for_an_ngram(spark, monkeypatch):
     assert answers.count() == answers.select("block", "lang", "gram").distinct().count()
     assert {r.lang for r in answers.select("lang").distinct().collect()} == {"en", "0:x", ""}
     assert answers.filter("nats0 IS NULL").isEmpty() and not answers.filter("nats1 IS NULL").isEmpty()
+
+
+def test_workers_hold_the_words_of_few_texts():
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    texts = [" ".join(f"w{(k * 300 + j) % 20_000}" for j in range(300)) for k in range(1000)]
+    memo, idf = near_dedup.word_memo(), np.ones(near_dedup.BUCKETS)
+    near_dedup.word_hashes(texts, memo)  # what is remembered between texts is not what is looked at
+
+    def peak(work):
+        work()  # what is loaded once
+        tracemalloc.start()
+        work()
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return most / 2**20
+
+    def signed():
+        for part in near_dedup.parts(iter([pa.RecordBatch.from_pydict({"text": texts})])):
+            near_dedup.shingles(part.column(0).to_pylist(), memo, idf)
+
+    def ruled():
+        for at in range(0, len(texts), fertility.BATCH):
+            [fertility.base_counts(t) for t in texts[at:at + fertility.BATCH]]
+
+    assert peak(signed) < 20 and peak(ruled) < 10

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from webloam.llm.common import settled
 from webloam.llm.tokens import Memo
 
-BATCH = 1000
+#: Texts whose words are held at once.
+BATCH = 250
 #: Values that mean a byte rather than a piece in vocabularies with byte fallback: the marks <0x00> to <0xFF>.
 BYTE_MARK = "<0x"
 SYMBOLS = "#*$%&|<>"

@@ -18,8 +18,8 @@ SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 16, 4
 #: Words are counted in so many buckets, which bounds the table of document frequencies whatever the input.
 BUCKETS = 1 << 18
-#: Values a draw picks from, texts that are worked on together, rows of a draw at a time.
-DRAWS, BATCH, CUT = 1 << 16, 1000, 1 << 15
+#: Values a draw picks from, texts that are worked on together (their words and shingles are a worker's memory), rows of a draw at a time.
+DRAWS, BATCH, CUT = 1 << 16, 250, 1 << 15
 #: Members of a block that are compared within one task.
 BLOCK = 400
 
