@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import functools
 import re
+import sys
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, Window
@@ -10,7 +12,6 @@ from pyspark.sql import functions as F
 
 from webloam.llm.common import blocks, of_block, put_by_block, settled, shelves_for, tuples
 from webloam.llm.components import components
-from webloam.llm.tokens import Memo
 
 WORD = re.compile(r"\w+")
 SHINGLE, SIMILARITY = 5, 0.8
@@ -18,26 +19,88 @@ SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 16, 4
 #: Words are counted in so many buckets, which bounds the table of document frequencies whatever the input.
 BUCKETS = 1 << 18
-#: Values a draw picks from, texts that are worked on together (their words and shingles are a worker's memory), rows of a draw at a time.
+#: Values a draw picks from, texts that are worked on together (their words and shingles are a worker's memory), shingles of a draw at a time.
 DRAWS, BATCH, CUT = 1 << 16, 250, 1 << 15
 #: Members of a block that are compared within one task.
 BLOCK = 400
+#: How far a text's draw may lie above what its weight makes likely before all shingles are worked out; steps of 1 in bounds of values.
+LIKELY, STEPS = 2, 1000
 
 
-def word_memo() -> Memo:
-    import xxhash
+@functools.cache
+def word_characters():
+    """Whether a code point is part of a word."""
+    import numpy as np
 
-    return Memo(lambda w: xxhash.xxh64_intdigest(w) >> 1)
+    out = np.zeros(sys.maxunicode + 1, bool)
+    for m in WORD.finditer("".join(map(chr, range(sys.maxunicode + 1)))):
+        out[m.start():m.end()] = True
+    return out
 
 
-def word_hashes(texts: list[str], memo: Memo):
+def xxh64(data: bytes, starts, sizes):
+    """XXH64 (seed 0) of words of 1 to 31 bytes, at starts in data; the steps of words of equal length are taken together."""
+    import numpy as np
+
+    p1, p2, p3, p4, p5 = (np.uint64(p) for p in (
+        0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+    left = lambda x, n: (x << np.uint64(n)) | (x >> np.uint64(64 - n))
+    eights = np.frombuffer(data + bytes(16 + -len(data) % 8), "<u8")
+
+    def lane(at):
+        """8 bytes from any place."""
+        k, shift = at >> 3, ((at & 7) << 3).astype(np.uint64)
+        return (eights[k] >> shift) | (eights[k + 1] << np.uint64(1) << (np.uint64(63) - shift))
+
+    order = np.argsort(sizes.astype(np.uint8), kind="stable")
+    edges = np.concatenate([[0], np.cumsum(np.bincount(sizes, minlength=32))])
+    out = np.empty(len(starts), np.uint64)
+    for size in range(1, 32):
+        own = order[edges[size]:edges[size + 1]]
+        if not len(own):
+            continue
+        lanes = [lane(starts[own] + k) for k in range(0, size, 8)]
+        h = np.full(len(own), int(p5) + size, np.uint64)
+        for x in lanes[:size // 8]:
+            h = left(h ^ (left(x * p2, 31) * p1), 27) * p1 + p4
+        at = size & ~7
+        if size & 4:
+            h = left(h ^ ((lanes[-1] & np.uint64(0xFFFFFFFF)) * p1), 23) * p2 + p3
+            at += 4
+        for k in range(at, size):
+            h = left(h ^ (((lanes[-1] >> np.uint64(k % 8 * 8)) & np.uint64(255)) * p5), 11) * p1
+        h = (h ^ (h >> np.uint64(33))) * p2
+        h = (h ^ (h >> np.uint64(29))) * p3
+        out[own] = h ^ (h >> np.uint64(32))
+    return out
+
+
+def word_memo() -> dict:
+    """Hashes of long words."""
+    return {}
+
+
+def word_hashes(texts: list[str], memo: dict):
     """Hashes of the words of all texts in a row, and how many words each text has."""
     import numpy as np
+    import xxhash
 
-    found = [WORD.findall(t.lower()) for t in texts]
-    get = memo.__getitem__
-    hashes = np.array([get(w) for words in found for w in words], dtype=np.uint64)
-    return hashes, np.array([len(words) for words in found], dtype=np.int64)
+    lower = [t.lower() for t in texts]
+    whole = "\n".join(["", *lower, ""])  # words are found in all texts at once, as WORD would find them in each
+    code = np.frombuffer(whole.encode("utf-32-le"), "<u4")
+    inside = word_characters().take(code)
+    edges = np.flatnonzero(inside[1:] != inside[:-1]) + 1
+    begin = np.cumsum([0, *[len(t) + 1 for t in lower]])
+    counts = np.diff(np.searchsorted(edges[::2], begin)).astype(np.int64)
+    # where words lie in UTF-8
+    more = [np.flatnonzero(code >= x) for x in (0x80, 0x800, 0x10000)]
+    edges = edges + sum(np.searchsorted(x, edges) for x in more)
+    data, starts, sizes = whole.encode(), edges[::2], edges[1::2] - edges[::2]
+    short, long = np.flatnonzero(sizes < 32), np.flatnonzero(sizes >= 32)
+    hashes = np.empty(len(starts), np.uint64)
+    hashes[short] = xxh64(data, starts[short], sizes[short])
+    hashes[long] = [xxhash.xxh64_intdigest(data[i:i + n]) for i, n in zip(starts[long].tolist(), sizes[long].tolist())]
+    return hashes >> np.uint64(1), counts
 
 
 def mixed(x):
@@ -80,7 +143,8 @@ def shingles(texts: list[str], memo: Memo, idf):
             keys.append(x[0])
             weights.append(value[begin[t]:begin[t] + sizes[t]].mean())
         full, key, weight = np.concatenate([full, short]), np.concatenate([key, np.array(keys, np.uint64)]), np.concatenate([weight, weights])
-    order = np.lexsort((key, full))
+    order = np.argsort(key)  # equal shingles of a text weigh the same, so their order does not matter
+    order = order[np.argsort(full[order].astype(np.min_scalar_type(len(texts))), kind="stable")]
     full, key, weight = full[order], key[order], weight[order]
     first = np.flatnonzero(np.concatenate([[True], (full[1:] != full[:-1]) | (key[1:] != key[:-1])]))
     return full[first], key[first], np.add.reduceat(weight, first)
@@ -88,7 +152,12 @@ def shingles(texts: list[str], memo: Memo, idf):
 
 class Sampler:
     """Improved consistent weighted sampling. Each draw's gamma and uniform values are picked, by the shingle's hash, from tables
-    of DRAWS values of those distributions."""
+    of DRAWS values of those distributions.
+
+    A draw takes the shingle of the least value. The exponential of a text's least value is distributed exponentially, with the text's
+    weight as rate, so the least value hardly ever exceeds LIKELY - log(weight). Values are worked out for shingles that may lie
+    below that, and for all of a text where none does.
+    """
 
     def __init__(self, draws: int = BANDS * ROWS, seed: int = 11):
         import numpy as np
@@ -98,29 +167,54 @@ class Sampler:
         self.log_c = np.log(rng.gamma(2, 1, DRAWS))
         self.beta = rng.random(DRAWS)
         self.seeds = rng.integers(1, 1 << 63, (draws, 2), dtype=np.uint64) | np.uint64(1)
+        # a value is at least log_c - r - log(weight): that bound in whole steps, rounded down, from tables that stay in the cache
+        self.low_c, self.high_r = np.floor(self.log_c * STEPS).astype(np.int16), np.ceil(self.r * STEPS).astype(np.int16)
+
+    def least(self, h, log_w, starts):
+        """Of each text, whose shingles begin at starts: the least value, the first shingle that has it, and its level."""
+        import numpy as np
+
+        r = self.r[h >> np.uint64(48)]
+        beta = self.beta[(h >> np.uint64(32)) & np.uint64(DRAWS - 1)]
+        level = np.floor(log_w / r + beta)
+        a = self.log_c[(h >> np.uint64(16)) & np.uint64(DRAWS - 1)] - r * (level - beta + 1)
+        value = np.minimum.reduceat(a, starts)
+        best = np.flatnonzero(a == np.repeat(value, np.diff(np.append(starts, len(a)))))
+        best = best[np.searchsorted(best, starts)]  # the first of equal ones in each text
+        return value, best, level[best]
 
     def samples(self, starts, key, weight):
         """A row for each text, a column for each draw: the hash of the shingle and the level that the draw takes."""
         import numpy as np
 
         out = np.empty((len(starts), len(self.seeds)), np.uint64)
-        log_w, ends = np.log(weight), np.append(starts[1:], len(key))
-        at = 0
-        while at < len(starts):  # whole texts, about CUT shingles at a time, so that temporary arrays stay in the cache
-            to = max(at + 1, int(np.searchsorted(ends, starts[at] + CUT, side="right")))
-            lo, hi = starts[at], ends[to - 1]
-            own, lw, here = key[lo:hi], log_w[lo:hi], starts[at:to] - lo
-            lens = np.diff(np.append(here, hi - lo))
-            for d, (x, m) in enumerate(self.seeds):
-                h = (own ^ x) * m
-                r = self.r[h >> np.uint64(48)]
-                beta = self.beta[(h >> np.uint64(32)) & np.uint64(DRAWS - 1)]
-                level = np.floor(lw / r + beta)
-                a = self.log_c[(h >> np.uint64(16)) & np.uint64(DRAWS - 1)] - r * (level - beta + 1)
-                best = np.flatnonzero(a == np.repeat(np.minimum.reduceat(a, here), lens))
-                best = best[np.searchsorted(best, here)]  # the first of equal ones in each text
-                out[at:to, d] = mixed(own[best] + (level[best].astype(np.int64) + 4096).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-            at = to
+        if not len(starts):
+            return out
+        bounds, log_w, likely = np.append(starts, len(key)), np.log(weight), LIKELY - np.log(np.add.reduceat(weight, starts))
+        limit = np.repeat(likely, np.diff(bounds)) + log_w
+        limit = np.clip(np.ceil(limit * STEPS) + 1, -(1 << 15), (1 << 15) - 1).astype(np.int16)
+        buffer = np.empty(CUT, np.uint64)
+
+        def candidates(x, m):
+            for lo in range(0, len(key), CUT):  # so that temporary arrays stay in the cache
+                own = key[lo:lo + CUT]
+                h = buffer[:len(own)]
+                np.multiply(np.bitwise_xor(own, x, out=h), m, out=h)
+                low = self.low_c.take(((h >> np.uint64(16)) & np.uint64(DRAWS - 1)).view(np.int64)) - self.high_r.take((h >> np.uint64(48)).view(np.int64))
+                yield np.flatnonzero(low <= limit[lo:lo + CUT]) + lo
+
+        for d, (x, m) in enumerate(self.seeds):
+            some, sure = np.concatenate([*candidates(x, m)]), np.zeros(len(starts), bool)
+            for _ in range(2):  # shingles that may have the least value, then all of those texts where these were not enough
+                edges = np.searchsorted(some, bounds)
+                found = np.flatnonzero(edges[1:] > edges[:-1])
+                if len(found):
+                    value, best, level = self.least((key[some] ^ x) * m, log_w[some], edges[found])
+                    out[found, d] = mixed(key[some[best]] + (level.astype(np.int64) + 4096).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+                    sure[found] = value <= likely[found]
+                if sure.all():
+                    break
+                some = np.flatnonzero(np.repeat(~sure, np.diff(bounds)))
         return out
 
     def bands(self, starts, key, weight):
@@ -196,11 +290,9 @@ def vectors(texts: DataFrame, idf, wanted: str, shelves: int) -> DataFrame:
             for at in range(0, len(own), BATCH):
                 some = own[at:at + BATCH]
                 text, key, weight = shingles([r[1] for r in some], memo, table)
-                short = (key >> np.uint64(32)).astype(np.int64)
-                order = np.lexsort((short, text))
-                ends = np.searchsorted(text[order], np.arange(len(some) + 1)).astype(np.int32)
+                ends = np.searchsorted(text, np.arange(len(some) + 1)).astype(np.int32)
                 lists = [pa.ListArray.from_arrays(pa.array(ends), x) for x in (
-                    pa.array(short[order].astype(np.uint32).view(np.int32)), pa.array(weight[order].astype(np.float32)))]
+                    pa.array((key >> np.uint64(32)).astype(np.uint32).view(np.int32)), pa.array(weight.astype(np.float32)))]
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in some], pa.int64()), *lists], ["node", "keys", "weights"])
 
     return texts.mapInArrow(run, "node long, keys array<int>, weights array<float>")
