@@ -41,6 +41,20 @@ def test_files_carry_bloom_filters_of_ids(spark, tmp_path):
     assert A.get_log(L.read_log_files(spark, path), "77").count() == 1 and A.get_log(L.read_log_files(spark, path), "-77").count() == 0
 
 
+def test_bloom_filters_are_as_large_as_their_ids_ask(spark, tmp_path):
+    duckdb = pytest.importorskip("duckdb")
+    few, many = str(tmp_path / "few"), str(tmp_path / "many")
+    L.append_logs(log_rows(spark, 100, 60), few)
+    L.append_logs(log_rows(spark, 20_000, 1).coalesce(1), many)
+    assert L.delete_log_at(spark, few, "7")
+    sizes = lambda path: [r[0] for r in duckdb.sql(
+        f"SELECT bloom_filter_length FROM parquet_metadata('{path}/*/*/*.parquet') WHERE path_in_schema = 'id'").fetchall()]
+    assert max(sizes(few)) < 2_000 and 10_000 < max(sizes(many)) < 200_000
+    found = duckdb.sql(" UNION ALL ".join(
+        f"SELECT bloom_filter_excludes FROM parquet_bloom_probe('{many}/*/*/*.parquet', 'id', 'no{k}')" for k in range(300))).fetchall()
+    assert sum(not r[0] for r in found) <= 0.01 * len(found)
+
+
 def test_files_are_packed_tightly(spark, tmp_path):
     pq = pytest.importorskip("pyarrow.parquet")
     path = str(tmp_path / "logs")

@@ -44,8 +44,8 @@ def prepare_logs(df: DataFrame, now: datetime | None = None) -> DataFrame:
 
 #: How files of the log table are packed: texts take about half of what Spark's default leaves.
 CODEC = "zstd"
-#: Rows of a file that an id may be looked for in. Bounds sizes of bloom filters, not of files.
-_IDS = 1_000_000
+#: Sizes that a bloom filter of ids may have: from 1 MB, halved each time, to 512 bytes. A file keeps the least one that suits its ids.
+_SIZES = 12
 
 
 def written(rows: DataFrame, mode: str):
@@ -53,8 +53,9 @@ def written(rows: DataFrame, mode: str):
     range of time skips row groups. A dictionary of ids would take the filter's place and is left out. Texts are most of a table,
     and are packed by ``CODEC``."""
     return (rows.sortWithinPartitions(*PARTS, "timestamp").write.mode(mode).partitionBy(*PARTS).option("compression", CODEC)
-            .option("parquet.bloom.filter.enabled#id", "true").option("parquet.bloom.filter.expected.ndv#id", str(_IDS))
-            .option("parquet.bloom.filter.adaptive.enabled", "true").option("parquet.enable.dictionary#id", "false"))
+            .option("parquet.bloom.filter.enabled#id", "true").option("parquet.bloom.filter.adaptive.enabled", "true")
+            .option("parquet.bloom.filter.candidates.number#id", str(_SIZES)).option("parquet.bloom.filter.fpp#id", "0.001")
+            .option("parquet.enable.dictionary#id", "false"))
 
 
 # S3
