@@ -65,6 +65,30 @@ def test_files_are_packed_tightly(spark, tmp_path):
     assert files and {pq.ParquetFile(f).metadata.row_group(0).column(k).compression for f in files for k in range(3)} == {"ZSTD"}
 
 
+def test_rows_are_exchanged_only_where_files_would_be_small(spark, tmp_path, monkeypatch):
+    pq = pytest.importorskip("pyarrow.parquet")
+    exchanged, real = [], L.written
+
+    def spied(rows, mode):
+        exchanged.append("RebalancePartitions" in rows._jdf.queryExecution().optimizedPlan().toString())
+        return real(rows, mode)
+
+    monkeypatch.setattr(L, "written", spied)
+    mixed = log_rows(spark, 20_000, 10).withColumn("id", F.when(F.col("id").cast("int") % 9 != 0, F.col("id")))  # some have no id, some come twice
+    mixed = mixed.unionByName(mixed.filter("id like '%7'")).repartition(4)
+    sparse = log_rows(spark, 500).withColumn("timestamp", F.when(F.col("id") != "3", F.col("timestamp")))
+    for name, rows in (("full", mixed), ("thin", sparse), ("one task", mixed.coalesce(1)), ("none", sparse.limit(0))):
+        path, now = str(tmp_path / name), datetime(2023, 11, 14, tzinfo=UTC)
+        L.append_logs(rows, path, now)
+        kept = lambda df: sorted((r["id"] or "", r["timestamp"], r["log_date"]) for r in df.select(
+            F.when(F.length("id") < 9, F.col("id")).alias("id"), "timestamp", "log_date").collect())
+        assert kept(L.read_log_files(spark, path)) == kept(L.prepare_logs(rows, now)), name
+        for f in (tmp_path / name).rglob("*.parquet"):
+            times = pq.ParquetFile(f).read(["timestamp"])["timestamp"].to_pylist()
+            assert times == sorted(times)
+    assert exchanged[:3] == [False, True, True]
+
+
 @pytest.mark.parametrize("step", [40_000, 3600, 1, 0])
 def test_far_pages_equal_skipping_row_by_row(spark, step):
     rng = random.Random(step)

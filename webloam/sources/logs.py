@@ -58,11 +58,34 @@ def written(rows: DataFrame, mode: str):
             .option("parquet.enable.dictionary#id", "false"))
 
 
+#: Rows of a file, on average, from which rows are written where they are. With texts some 1 MB.
+FILE_ROWS = 500
+
+
+def by_day(rows: DataFrame) -> DataFrame:
+    """Rows as they go to ``written``: rebalanced by day, so that a day has few files and a hot one is split, or as they are where files
+    hold enough rows without that and tasks share the work well.
+
+    An exchange of whole rows takes about as much disk as the table itself. So rows are first counted by task and partition; no texts
+    are read for that. Where so few columns are read, Spark may merge more of its shuffle partitions than it does for whole rows, so
+    tasks count as no fewer than these.
+    """
+    spark = rows.sparkSession
+    tasks = (rows.select(F.spark_partition_id().alias("task"), *PARTS).groupBy("task", *PARTS).agg(F.count(F.lit(1)).alias("n"))
+             .groupBy("task").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("files")))
+    total, most, files, n = tasks.agg(F.sum("n"), F.max("n"), F.sum("files"), F.count(F.lit(1))).first()
+    if n:
+        files *= max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) / n)
+        if total >= FILE_ROWS * files and most * spark.sparkContext.defaultParallelism <= 2 * total:
+            return rows
+    return rows.hint("rebalance", "log_date")
+
+
 # S3
 def append_logs(df: DataFrame, path: str, now: datetime | None = None) -> None:
-    """Rows are rebalanced by day before they are written: a day has few files, and a hot one is split."""
+    """Rows go to their days, by way of an exchange only where files would be small without it (``by_day``)."""
     rows = prepare_logs(df, now).withColumn("batch_id", F.lit(APPENDED).cast("long"))
-    written(rows.hint("rebalance", "log_date"), "append").parquet(path)
+    written(by_day(rows), "append").parquet(path)
 
 
 def write_batch(df: DataFrame, path: str, batch_id: int, now: datetime | None = None) -> None:
